@@ -5,15 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, exact_dedup, mixing, oracles
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Weights of the sources in order, repeating.
+WEIGHTS = (5, 2, 1)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLES: dict[str, str] = {}
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS).drop("source")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_exact_dedup": op3_exact_dedup, "op10_mixing": op10_mixing}
+ORACLES = {"op3_exact_dedup": oracles.EXACT_DEDUP, "op10_mixing": oracles.MIXING}
