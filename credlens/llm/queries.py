@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, oracles
+from . import bpe, chat, exact_dedup, mixing, oracles, secrets, topk
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -21,9 +22,32 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digests(chat.format_turns(turns))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    base = joined(F.filter("spans", lambda s: s["kind"] != "guess"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS).drop("source")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_exact_dedup": op3_exact_dedup, "op10_mixing": op10_mixing}
-ORACLES = {"op3_exact_dedup": oracles.EXACT_DEDUP, "op10_mixing": oracles.MIXING}
+QUERIES = {
+    "op1_bpe": op1_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_topk": op4_topk, "op7_chat": op7_chat,
+    "op8_secrets": op8_secrets, "op10_mixing": op10_mixing,
+}
+ORACLES = {"op3_exact_dedup": oracles.EXACT_DEDUP, "op4_topk": oracles.TOPK, "op7_chat": oracles.CHAT, "op10_mixing": oracles.MIXING}
