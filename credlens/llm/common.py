@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the operators' contracts spell it.
@@ -56,6 +56,24 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def fold(doc_id, n: int):
-    """crc32 of doc_id as text, modulo n: the split into learning and held-out rows."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % n
+def fold(doc_id: str, n: int) -> Column:
+    """crc32 of doc_id as text (null: empty), modulo n: the split into learning and held-out rows."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def bounded_sample(rows: DataFrame, by: str, each: int) -> DataFrame:
+    """About `each` rows of every value of `by` (all, if there are fewer), the same ones in each run; at most twice as many
+    in all as values times `each`, up to 64 values. Rows are chosen by the hash of doc_id, without a sort of the table."""
+    counts = rows.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.col("count").desc(), by).limit(64)
+    share = counts.select(F.col(by).alias("_value"), (F.lit(each) / F.col("count")).alias("_share"))
+    spread = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003)) / 1_000_003.0
+    chosen = rows.join(F.broadcast(share), F.col(by) == F.col("_value")).where(spread < F.col("_share")).drop("_value", "_share")
+    return chosen.orderBy(spread, "doc_id").limit(2 * 64 * each)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, each: int, longest: int) -> DataFrame:
+    """doc_id, text and label of a bounded sample of labelled documents whose text has at most `longest` characters."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = F.broadcast(bounded_sample(known, "label", each))  # at most 128 * each rows of two numbers
+    return texts_of(docs).where(F.length("text") <= longest).join(chosen, "doc_id")

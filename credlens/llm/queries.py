@@ -6,18 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, oracles, secrets, topk
-from .common import table
+from . import bpe, chat, exact_dedup, langid, mixing, oracles, quality, secrets, topk, toxicity
+from .common import fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
+#: Scores from which a document counts as toxic.
+TOXIC = 0.7
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.score(docs, quality.fit(docs, quality.learning(labels)))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,12 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, toxicity.fit(docs, toxicity.learning(labels)))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -42,12 +56,19 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(langid.learning(docs)))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS).drop("source")
 
 
 QUERIES = {
-    "op1_bpe": op1_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_topk": op4_topk, "op7_chat": op7_chat,
-    "op8_secrets": op8_secrets, "op10_mixing": op10_mixing,
+    "op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_topk": op4_topk,
+    "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_secrets": op8_secrets, "op9_langid": op9_langid,
+    "op10_mixing": op10_mixing,
 }
 ORACLES = {"op3_exact_dedup": oracles.EXACT_DEDUP, "op4_topk": oracles.TOPK, "op7_chat": oracles.CHAT, "op10_mixing": oracles.MIXING}
