@@ -56,6 +56,18 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+#: Ids that are broadcast at most (16 bytes each); more are joined by a shuffle.
+BROADCAST = 1_000_000
+
+
+def among(df: DataFrame, ids: DataFrame, key: str, keep: bool) -> DataFrame:
+    """The rows of df whose key is (keep) or isn't among ids, a table of distinct ids in column `id`. Few ids are broadcast, so that
+    rows with whole texts stay where they are. A null key is never among them."""
+    ids = ids.select(F.col("id").alias("_among_id"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    return df.join(ids, F.col(key).cast("long") == F.col("_among_id"), "left_semi" if keep else "left_anti")
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of doc_id as text (null: empty), modulo n: the split into learning and held-out rows."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANKS, texts_of, written
+from .common import BLANKS, among, texts_of, written
 
 #: Keys in a bucket before it splits.
 CAPACITY = 1024
@@ -81,6 +81,6 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -
 
 
 def keep_first(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    stay = exact_dedup(docs, capacity).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that stay, with all their columns. Rows with a null doc_id stay."""
+    gone = exact_dedup(docs, capacity).where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    return among(docs, written(gone, "gone"), "doc_id", keep=False)

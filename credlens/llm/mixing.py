@@ -93,21 +93,36 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     return done.select("source", (F.col("start") + F.when(nearer, F.col("width")).otherwise(0)).alias("below"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words that the mix takes, repeats counted) of each row."""
+def plan(docs: DataFrame, weights: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes (doc_id, source, size, hash), and what is taken of each source (of, source_size, target,
+    times, below), both written tables."""
     doc_id = F.col("doc_id").cast("long")
     sized = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("size"), id_hash(doc_id).alias("hash"))
     sized = written(sized, "mix-sizes")
     wanted = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "mix-targets")
     below = thresholds(sized, wanted).withColumnRenamed("source", "for")
     wanted = wanted.join(below, F.col("source").eqNullSafe(F.col("for")), "left").drop("for").withColumnRenamed("source", "of")
-    wanted = written(wanted, "mix-thresholds")
-    times = F.col("times") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
-    return sized.join(wanted, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return sized, written(wanted, "mix-thresholds")
+
 
+def times(hashed: Column) -> Column:
+    """How often a document with that hash is taken, given its source's row of the plan."""
+    return F.col("times") + F.when(hashed < F.col("below"), 1).otherwise(0)
 
-def keep_taken(docs: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
-    """The rows that the mix takes at least once, with the columns of docs. Documents without words stay out: nothing is
-    taken of them."""
-    taken = mix(docs, weights).where("taken > 0").select(F.col("doc_id").alias("_taken_id")).distinct()
-    return docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("_taken_id")), "left_semi")
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words that the mix takes, repeats counted) of each row."""
+    sized, wanted = plan(docs, weights)
+    found = sized.join(wanted, F.col("source").eqNullSafe(F.col("of")))
+    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times(F.col("hash"))).alias("taken"))
+
+
+def take(docs: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs. Rows stay where they are; the
+    sources' plan is joined to them. Rows without words may be left out or taken like others of their hash."""
+    _, wanted = plan(docs, weights)
+    wanted = wanted.select(F.struct("of", "times", "below").alias("_plan"))
+    mixed = docs.join(wanted, docs["source"].cast("string").eqNullSafe(F.col("_plan.of")))
+    copies = F.col("_plan.times") + F.when(id_hash(docs["doc_id"].cast("long")) < F.col("_plan.below"), 1).otherwise(0)
+    mixed = mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    return mixed.select(*[docs[c] for c in docs.columns])

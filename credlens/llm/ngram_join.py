@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches, texts_of, written
+from .common import among, map_batches, texts_of, written
 from .components import components
 
 WORDS = 5
@@ -41,8 +41,6 @@ COUNTERS, PARTS = 1 << 22, 64
 SLOT = 16
 #: Sizes in one bin differ by this factor at most.
 BIN = 1.06
-#: Ids that are broadcast at most; more are joined by a shuffle.
-BROADCAST = 1_000_000
 #: Rows in an Arrow batch that holds two whole sets a row.
 BATCH = 512
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -252,12 +250,6 @@ def other_pairs(rows: DataFrame) -> DataFrame:
     return found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
-def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is among ids (distinct): by broadcast if they are few."""
-    ids = ids.withColumnRenamed("id", key)
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, key, "left_semi")
-
-
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs that link, by their whole sets."""
     pairs = written(pairs, "pairs")
@@ -283,7 +275,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     usual = conf.get(name)
-    sets = written(map_batches(semi(texts_of(docs), ids, "doc_id"), "id long, tokens binary", make).dropDuplicates(["id"]), "sets")
+    sets = written(map_batches(among(texts_of(docs), ids, "doc_id", keep=True), "id long, tokens binary", make).dropDuplicates(["id"]), "sets")
     conf.set(name, BATCH)
     try:
         with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a")
@@ -321,6 +313,7 @@ def join_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each group, the document with the smallest doc_id."""
-    stay = join_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that stay, with all their columns: of each group, the document with the smallest doc_id. Rows
+    with a null doc_id stay."""
+    gone = join_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    return among(docs, written(gone, "gone"), "doc_id", keep=False)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, mixing, oracles, quality, secrets, topk, toxicity
+from . import bpe, chat, exact_dedup, langid, mixing, ngram_join, oracles, quality, secrets, topk, toxicity
 from .common import fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -34,6 +34,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = toxicity.score(docs, toxicity.fit(docs, toxicity.learning(labels)))
@@ -68,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_topk": op4_topk,
-    "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_secrets": op8_secrets, "op9_langid": op9_langid,
+    "op5_ngram_join": op5_ngram_join, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_secrets": op8_secrets, "op9_langid": op9_langid,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {"op3_exact_dedup": oracles.EXACT_DEDUP, "op4_topk": oracles.TOPK, "op7_chat": oracles.CHAT, "op10_mixing": oracles.MIXING}

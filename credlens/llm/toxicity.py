@@ -146,17 +146,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model({f: float(weights[i] * ratios[f]) for f, i in order.items() if weights[i]}, bias)
 
 
+def probability(model: Model, found: set[int]) -> float:
+    z = model.bias + sum(model.weights[f] for f in sorted(found))
+    return 1 / (1 + exp(-min(30.0, max(-30.0, z))))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and features (how many kept ones the text has)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        weights, bias = shared.value.weights, shared.value.bias
-        memo = WordFeatures(weights)
+        memo = WordFeatures(shared.value.weights)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [features_of(t.as_py(), memo) for t in batch.column("text")]
-            scores = [1 / (1 + exp(-min(30.0, max(-30.0, bias + sum(weights[f] for f in sorted(x)))))) for x in found]
+            scores = [probability(shared.value, x) for x in found]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([len(x) for x in found], pa.int32())], ["doc_id", "score", "features"])
 
         return one
@@ -164,6 +168,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(texts_of(docs), "doc_id long, score double, features int", make)
 
 
+def keep_clean(docs: DataFrame, model: Model, floor: float) -> DataFrame:
+    """The rows of docs whose score is under floor, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        memo = WordFeatures(shared.value.weights)
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            scores = [probability(shared.value, features_of(t.as_py() or "", memo)) for t in batch.column(at)]
+            return batch.filter(pa.array([s < floor for s in scores], pa.bool_()))
+
+        return one
+
+    at = docs.columns.index("text")
+    return map_batches(docs, docs.schema, make)
+
+
 def learning(labels: DataFrame) -> DataFrame:
     """The labels that may be learned from."""
     return labels.where(fold("doc_id", 3) != 1)
