@@ -99,7 +99,7 @@ def isolation_rate(series: Ordered) -> DataFrame:
     spread = F.pmod(F.xxhash64("series", "i", F.lit(42)), F.lit(1_000_003)) / 1_000_003.0
     sample = series.rows.where(spread * F.col("n") < SAMPLE).select("series", "n", "i", "x")
 
-    def grow(key, part: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         import pickle
 
         part = part.sort_values("i").head(2 * SAMPLE)

@@ -30,7 +30,9 @@ def features(series: Ordered) -> DataFrame:
     rows = series.spans(before=8)
     before = F.lag("x").over(by_block())
     rows = rows.withColumn("d", F.col("x") - before).withColumn("change", F.try_divide(F.col("x"), before) - 1)
-    rows = rows.withColumn("dd", F.col("d") - F.lag("d").over(by_block())).withColumn("variance", rolling(series, window_of, F.col("x"), F.var_samp))
+    # rounded, so that windows with the same values tie whatever the order of their sums
+    variance = F.round(rolling(series, window_of, F.col("x"), F.var_samp), 12)
+    rows = rows.withColumn("dd", F.col("d") - F.lag("d").over(by_block())).withColumn("variance", variance)
     return rows.where("own")
 
 
