@@ -108,9 +108,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     candidates = blocks(rows, CANDIDATES, "block")
     queries = blocks(rows.where(is_query).dropDuplicates(["id"]), QUERIES, "query_block")
     queries = queries.select("query_block", F.col("ids").alias("q_ids"), F.col("lengths").alias("q_lengths"), F.col("flat").alias("q_flat"))
-    # every query block meets every candidate block: ids of blocks are paired, and the blocks join by these ids
-    numbers = candidates.select("block", F.lit(1).alias("one")).join(queries.select("query_block", F.lit(1).alias("one")), "one").drop("one")
-    work = numbers.join(candidates, "block").join(queries, "query_block")
+    # the work list, a row for each pair of blocks: blocks are numbered, and a candidate block takes its turn with each query block
+    n = queries.count()
+    numbers = queries.select("query_block", (F.row_number().over(Window.orderBy("query_block")) - 1).alias("turn"))  # a row for each QUERIES queries
+    turns = candidates.select("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("turn")) if n else candidates.select("block", F.lit(0).alias("turn"))
+    work = turns.join(numbers, "turn").join(candidates, "block").join(queries, "query_block")
     found = work.select("q_ids", "q_lengths", "q_flat", "ids", "lengths", "flat").mapInArrow(lambda batches: _search(batches, k), "query_id long, vec_id long, score long")
     # a query's rows here number k a block; a first rank within salts keeps a task's share small
     best = [F.col("score").desc(), F.col("vec_id")]
