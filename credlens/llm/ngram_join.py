@@ -43,6 +43,8 @@ SLOT = 16
 BIN = 1.06
 #: Rows in an Arrow batch that holds two whole sets a row.
 BATCH = 512
+#: Parts of a frequent signature's rows in the first shuffle.
+SALTS = 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,7 +124,7 @@ def levels(parts: DataFrame) -> np.ndarray:
     for row in summed.toLocalIterator():
         counters[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
     usual = counters.mean()
-    return np.where(counters > usual + 6 * usual**0.5 + 16, 1 + np.log2(np.maximum(counters, 1)), 0).astype(np.uint8)
+    return np.where(counters > usual + 3 * usual**0.5 + 4, 1 + np.log2(np.maximum(counters, 1)), 0).astype(np.uint8)
 
 
 def signatures(tokens: np.ndarray, level: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, bool]]:
@@ -204,20 +206,26 @@ def signature_rows(docs: DataFrame, level: np.ndarray) -> DataFrame:
 
 
 def members(docs: DataFrame, level: np.ndarray, classes: DataFrame) -> DataFrame:
-    """sig, rep, n, reach, rare and bin: the signatures that sets share. reach also counts the rare prefix tokens that no
-    other set has: a set can't share those."""
+    """sig, rep, n, reach, rare and bin: the signatures that sets share.
+
+    One pass makes all signatures, and one shuffle brings equal ones together, frequent ones in SALTS parts; rare ones that
+    no other set has go there and then. A set can't share those, wherever they stand: reach counts them out, and of the
+    others each that stands before.
+    """
     rows = signature_rows(docs, level)
-    # rare signatures: buckets are as small as their counters say
-    own = Window.partitionBy("sig")
-    alone = rows.where("not frequent").withColumn("others", F.count("*").over(own)).where("others > 1").drop("others")
-    pairs = rows.where("frequent")
+    salt = F.when(F.col("frequent"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    counted = rows.withColumn("salt", salt).withColumn("others", F.count("*").over(Window.partitionBy("sig", "salt")))
+    shared = written(counted.where("frequent or others > 1").drop("salt", "others"), "signatures")
+    # rare tokens' buckets are as small as their counters say; frequent pairs are counted before the shuffle
+    pairs = shared.where("frequent")
     often = pairs.groupBy("sig").count().where("count > 1").select("sig")
-    shared = written(alone.unionByName(pairs.join(often, "sig")), "signatures")
-    known = shared.where("not frequent").groupBy("doc_id").agg(F.count_distinct("sig").alias("known"))
-    shared = shared.join(classes.select("doc_id", "rep").distinct(), "doc_id").join(known, "doc_id", "left")
-    least = F.least(F.col("reach"), F.col("n") - F.col("rare") + F.coalesce(F.col("known"), F.lit(0)))
+    of_doc = Window.partitionBy("doc_id")
+    alone = shared.where("not frequent").withColumn("known", F.count("*").over(of_doc))
+    place = F.row_number().over(of_doc.orderBy(F.col("reach").desc())) - 1
+    alone = alone.withColumn("reach", (F.col("n") - F.col("rare") + F.col("known") - place).cast("int")).drop("known")
+    found = alone.unionByName(pairs.join(often, "sig")).join(classes.select("doc_id", "rep").distinct(), "doc_id")
+    found = found.groupBy("sig", "rep").agg(F.first("n").alias("n"), F.max("reach").alias("reach"), F.max("rare").alias("rare"))
     size_bin = F.floor(F.log("n") / float(np.log(BIN))).cast("int")
-    found = shared.groupBy("sig", "rep").agg(F.first("n").alias("n"), F.max(least.cast("int")).alias("reach"), F.max("rare").alias("rare"))
     return written(found.where("4 * reach >= 3 * n").withColumn("bin", size_bin), "members")
 
 
