@@ -12,7 +12,6 @@ repeated rows get the same result, an empty table an empty one. Very long values
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from functools import cache
 from math import log10
@@ -64,7 +63,7 @@ def _neighbours() -> dict[str, set[str]]:
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.A)
 REPEAT = re.compile(r"(.{1,4}?)\1{1,}", re.S)
 #: Letters that stand for others, a fixed value.
-LEET = str.maketrans("430157$@!", "aeoissgai"[:9])
+LEET = str.maketrans("430157$@!", "aeoistsai")
 #: Guesses (log10) of one character by brute force, of one more block of a repeat, of a step of a walk, and of a date.
 BRUTE, AGAIN, STEP, DAY = 1.0, 0.3, 0.45, 4.6
 LONGEST_WORD = 20
@@ -76,6 +75,7 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
     lower, near, n = value.lower(), _neighbours(), len(value)
     plain = lower.translate(LEET)
     best = [0.0] + [float("inf")] * n
+    repeat_from = repeat_to = 0
     for i in range(n):
         at = best[i] + 0.3
 
@@ -83,22 +83,20 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
             if at + cost < best[end]:
                 best[end] = at + cost
 
-        offer(i + 1, BRUTE) if i == 0 or best[i] == float("inf") else None
-        if best[i] + BRUTE < best[i + 1]:
-            best[i + 1] = best[i] + BRUTE  # a brute-force span goes on
+        best[i + 1] = min(best[i + 1], best[i] + BRUTE)  # a brute-force span begins or goes on
         for end in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             if (rank := words.get(lower[i:end])) is not None:
-                case = 0.0 if value[i:end] == lower[i:end] else 0.5
-                offer(end, rank + case)
+                offer(end, rank + (0.0 if value[i:end] == lower[i:end] else 0.5))
             elif (rank := words.get(plain[i:end])) is not None:
                 offer(end, rank + 0.8)
-        for m in (DATE.match(value, i),):
-            if m:
-                offer(m.end(), DAY if m.end() - i > 4 else 2.1)
-        # a repeat's block costs what its characters cost; further copies little
-        if (i == 0 or value[i] != value[i - 1] or i % 4 == 0) and (m := REPEAT.match(value, i)):
-            block = len(m[1])
-            offer(m.end(), BRUTE * block + AGAIN * log10(1 + (m.end() - i) / block))
+        if m := DATE.match(value, i):
+            offer(m.end(), DAY if m.end() - i > 4 else 2.1)
+        # a repeat's block costs what its characters cost, further copies little; inside a repeat only the first few
+        # places are tried, so that long ones aren't read again and again
+        if (i >= repeat_to or i <= repeat_from + 4) and (m := REPEAT.match(value, i)):
+            if i >= repeat_to:
+                repeat_from, repeat_to = i, m.end()
+            offer(m.end(), BRUTE * len(m[1]) + AGAIN * log10(1 + (m.end() - i) / len(m[1])))
         end, step = i + 1, None
         while end < n and end - i < 64:
             delta = ord(lower[end]) - ord(lower[end - 1])
@@ -139,6 +137,3 @@ def scan(docs: DataFrame, words_path: str) -> DataFrame:
 
     return map_batches(texts_of(docs), "doc_id long, spans array<struct<kind: string, start: long, end: long>>", make)
 
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
