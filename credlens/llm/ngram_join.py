@@ -163,7 +163,8 @@ def signatures(tokens: np.ndarray, level: np.ndarray) -> list[tuple[np.ndarray,
             start = end
         if first:
             x, y = np.concatenate(first), np.concatenate(second)
-            out.append((mixed(mixed(some[x] + np.uint64(j)) * MULTIPLIER + some[y]), n - at[y] + m, True))
+            # sets that share a rare token meet there: those that meet here share none of them
+            out.append((mixed(mixed(some[x] + np.uint64(j)) * MULTIPLIER + some[y]), np.minimum(n - at[y] + m, n - rare), True))
     return out
 
 
