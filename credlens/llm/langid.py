@@ -5,6 +5,10 @@ itself (lexicon); transitions between the languages of neighbouring words are le
 words of a text gives each word's probabilities; their mean over the words that have a letter gives the document's
 language. Training sequences are spliced from spans of documents in different languages, so that transitions are seen.
 
+A word of more than WORD characters, such as a text without spaces, is cut into pieces of WORD characters. Each piece is a
+position of its own, in learning too, and all characters and n-grams of the word are read, each once. Where words are
+labelled, a long word's label is that of its pieces together.
+
 Learning takes a bounded sample (EACH documents of every language, at most 64 languages). Whole texts are worked on: words
 are packed in rows of SPAN, the rows' transfer matrices carry the recursion from row to row, so that long texts need no
 long loop and no padding to the longest. Row by row, without a shuffle. Null text or text without a letter is `und` with
@@ -30,8 +34,10 @@ BUCKETS = 1 << 17
 #: Words of a training sequence, sequences of a step, and steps; words of a row in forward-backward.
 LENGTH, SEQUENCES, STEPS, SPAN = 24, 64, 250, 64
 MEMO = 300_000
-#: Words that are worked on at once.
-AT_ONCE = 300_000
+#: Words that are worked on at once, and words whose features are held at once.
+AT_ONCE, FEATURED = 300_000, 20_000
+#: Characters of a position: longer words are cut.
+WORD = 40
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -45,12 +51,34 @@ class Hashes(dict):
         return found
 
 
+def pieces(word: str) -> list[str]:
+    """A word, or its pieces if it is long. All pieces but the first begin with a blank and the two characters before, all but
+    the last end with a blank; words have no blanks."""
+    if len(word) <= WORD:
+        return [word]
+    return [(f" {word[i - 2 : i]}" if i else "") + word[i : i + WORD] + (" " if i + WORD < len(word) else "") for i in range(0, len(word), WORD)]
+
+
+def cut(text: str) -> list[str]:
+    words = text.split()
+    return words if max(map(len, words), default=0) <= WORD else [p for w in words for p in pieces(w)]
+
+
+def lettered(piece: str) -> bool:
+    """Whether a word or piece has a letter of its own."""
+    return LETTER.search(piece, 3 if piece[0] == " " else 0) is not None
+
+
 def features(word: str, buckets: Hashes) -> list[int]:
-    w = word.lower()
-    n = min(len(w), 40)
-    named = [f"={w}", f"^{w[:2]}", f"^{w[:3]}", f"${w[-1:]}", f"${w[-2:]}", f"${w[-3:]}", *w[:n]]
-    named += [w[i : i + 2] for i in range(n - 1)]
-    named += [w[i : i + 3] for i in range(n - 2)]
+    """Features of a word or piece; n-grams belong to the piece that their last character is in."""
+    w = word.strip(" ").lower()
+    n, before = len(w), len(word[1:3].lower()) if word[0] == " " else 0
+    named = [] if before or word[-1] == " " else [f"={w}"]
+    named += [] if before else [f"^{w[:2]}", f"^{w[:3]}"]
+    named += [] if word[-1] == " " else [f"${w[-1:]}", f"${w[-2:]}", f"${w[-3:]}"]
+    named += w[before:]
+    named += [w[i : i + 2] for i in range(max(before - 1, 0), n - 1)]
+    named += [w[i : i + 3] for i in range(max(before - 2, 0), n - 2)]
     return [buckets[f] for f in named]
 
 
@@ -88,7 +116,7 @@ def fit(docs: DataFrame) -> Model:
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= LONGEST))
     ids = bounded_sample(rows.select("doc_id", "lang"), "lang", EACH).select("doc_id").distinct()
     got = rows.join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "lang"])  # bounded: see bounded_sample
-    got["words"] = [[w for w in t.split() if LETTER.search(w)] for t in got["text"]]
+    got["words"] = [[w for w in cut(t) if lettered(w)] for t in got["text"]]
     got = got[got["words"].map(len) > 0]
     languages = sorted(got["lang"].unique())
     k = len(languages)
@@ -182,22 +210,23 @@ class Emissions:
         if len(self.rows) > MEMO:
             self.clear()
         new = list(set(words).difference(self.rows))
-        lettered = [w for w in new if LETTER.search(w)]
+        known = [w for w in new if lettered(w)]
         self.rows |= dict.fromkeys(new, 0)
-        if lettered:
-            found = [features(w, self.buckets) for w in lettered]
+        self.rows |= zip(known, range(len(self.table), len(self.table) + len(known)), strict=True)
+        tables = [self.table]
+        for at in range(0, len(known), FEATURED):
+            found = [features(w, self.buckets) for w in known[at : at + FEATURED]]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            scores = np.add.reduceat(self.model.emission[np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))], np.cumsum(sizes) - sizes)
-            self.rows |= zip(lettered, range(len(self.table), len(self.table) + len(lettered)), strict=True)
-            self.table = np.concatenate([self.table, scores])
+            tables.append(np.add.reduceat(self.model.emission[np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))], np.cumsum(sizes) - sizes))
+        self.table = np.concatenate(tables) if known else self.table
         return self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].astype(float)
 
 
 def label_texts(texts: list[str], memo: Emissions) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text, its words' probabilities and which words have a letter."""
+    """For each text, the probabilities of its words (a long one's pieces) and which of them have a letter."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     k, start = len(memo.model.languages), 0
-    words = [t.split() for t in texts]
+    words = [cut(t) for t in texts]
     while start < len(words):
         stop, total = start, 0
         while stop < len(words) and (stop == start or total + len(words[stop]) <= AT_ONCE):
@@ -212,6 +241,12 @@ def label_texts(texts: list[str], memo: Emissions) -> list[tuple[np.ndarray, np.
     return out
 
 
+def word_labels(text: str, p: np.ndarray, names: np.ndarray) -> list[str]:
+    """Each word's language; p: the probabilities of its pieces."""
+    sizes = np.array([-(-len(w) // WORD) for w in text.split()])
+    return names[np.add.reduceat(p, np.cumsum(sizes) - sizes).argmax(1)].tolist()
+
+
 def identify(docs: DataFrame, model: Model, words: bool = False) -> DataFrame:
     """doc_id, lang_pred, score, shares (mean probability of each language) and, if asked for, labels (of each word)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -233,7 +268,7 @@ def identify(docs: DataFrame, model: Model, words: bool = False) -> DataFrame:
                 pa.array([[] if m is None else list(zip(model.languages, m.tolist(), strict=True)) for m in means], pa.map_(pa.string(), pa.float64())),
             ]
             if words:
-                columns.append(pa.array([names[p.argmax(1)].tolist() if ok else [] for (p, _), ok in zip(found, known, strict=True)], pa.list_(pa.string())))
+                columns.append(pa.array([word_labels(t, p, names) if ok else [] for t, (p, _), ok in zip(texts, found, known, strict=True)], pa.list_(pa.string())))
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "shares", *(["labels"] if words else [])])
 
         return one

@@ -180,6 +180,27 @@ def test_langid(spark, learned, odd):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_langid_reads_all_of_a_text_without_spaces(spark, learned):
+    docs, _ = learned
+    r = random.Random(4)
+    en, de, fr = ("".join(r.choice(WORDS[x].split()) for _ in range(300)) for x in ("en", "de", "fr"))
+    texts = ["0123456789" * 4 + de, en[:40] + de, "https://example.org/" + "7" * 40 + fr + "0" * 40, en[:600] + de[:600], f"the house {de}"]
+    model = langid.fit(langid.learning(docs))
+    rows = sorted(langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, words=True).collect())
+    assert [r["lang_pred"] for r in rows[:3]] == ["de", "de", "fr"]
+    assert all(0.3 < rows[3]["shares"][x] < 0.7 for x in ("en", "de"))
+    assert rows[4]["labels"] == ["en", "en", "de"]
+
+
+def test_langid_pieces_have_each_character_and_gram_once():
+    names = type("Names", (dict,), {"__missing__": lambda self, x: x})()
+    word = "".join(random.Random(1).choice("abcdé日") for _ in range(3 * langid.WORD + 7))
+    found = sorted(f for p in langid.pieces(word) for f in langid.features(p, names))
+    n = len(word)
+    grams = [word[i : i + k] for k in (1, 2, 3) for i in range(n - k + 1)]
+    assert found == sorted([*grams, f"^{word[:2]}", f"^{word[:3]}", *(f"${word[-k:]}" for k in (1, 2, 3))])
+
+
 def test_forward_backward_against_paths():
     r = np.random.default_rng(0)
     k, sizes = 3, np.array([5, 1, 70, 0, 130])
