@@ -1,8 +1,13 @@
-"""Ensemble anomaly check: isolation forest, local outlier factor and one-class SVM on a bounded sample of rows."""
+"""Ensemble anomaly check: isolation forest, local outlier factor and one-class SVM.
+
+The models are fitted to a bounded sample of rows, on the driver; all rows are scaled by the medians and quartiles of all, and
+all are scored, equal ones once. Thresholds are quantiles of all rows' scores. A table of up to ROWS rows is its own sample.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from math import ceil, expm1, floor, log1p
 
 import numpy as np
 import pandas as pd
@@ -10,10 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric, ramp_down, ramp_up
-from .forest import grow_forest, isolation_scores, outlier_factors, svm_distances
+from ..functions.tables import written
+from .forest import fit_neighbours, fit_svm, grow_forest, isolation_scores, outlier_factors, outlier_factors_of, svm_distances, svm_distances_of
+from .ordered import BLOCK, quantiles
 from .results import Reason, results
 
 ROWS, LEAST_ROWS, LEAST_FEATURES, TREES = 800, 20, 2, 160
+#: Rows that are scored at once; bins of a pass when a score is looked up by rank; how exact SVM decision values are.
+AT_ONCE, BINS, EXACT = 4096, 1024, 1e-5
 
 
 def features(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str], int]:
@@ -30,13 +39,116 @@ def features(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str
     return rows, good, rows.count()
 
 
-def robust_scale(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns with gaps filled by the median, minus the median, by the interquartile range (of the filled column; 1 if 0)."""
-    middle = rows.agg(*[F.median(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    filled = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(middle[f"m{i}"])).alias(c) for i, c in enumerate(columns)])
-    ends = filled.agg(*[F.percentile(f"`{c}`", F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    width = [(ends[f"q{i}"][1] - ends[f"q{i}"][0]) or 1.0 for i in range(len(columns))]
-    return filled.select(*[((F.col(f"`{c}`") - middle[f"m{i}"]) / width[i]).alias(c) for i, c in enumerate(columns)])
+def column_quantiles(rows: DataFrame, columns: Sequence[str], shares: Sequence[float], n: int, block: int) -> list[list[float]]:
+    """The columns' exact quantiles, nulls left out."""
+    each = F.explode(F.array(*[F.struct(F.lit(str(i)).alias("series"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(columns)]))
+    found = quantiles(rows.select(each.alias("e")).select("e.series", "e.x"), "x", shares, {str(i): n for i in range(len(columns))}, block)
+    got = {int(r["series"]): [r[f"q{k}"] for k in range(len(shares))] for r in found.collect()}  # a row a column
+    return [got[i] for i in range(len(columns))]
+
+
+def robust_scale(rows: DataFrame, columns: Sequence[str], n: int = 0, block: int = BLOCK) -> DataFrame:
+    """Columns with gaps filled by the median, minus the median, by the interquartile range (of the filled column; 1 if 0).
+    n: how many rows there are, if known; columns of more than block rows are ranked by range partitions."""
+    if n > block:
+        middle = [q[0] for q in column_quantiles(rows, columns, [0.5], n, block)]
+    else:
+        one = rows.agg(*[F.median(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)]).first()
+        middle = [one[f"m{i}"] for i in range(len(columns))]
+    filled = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(middle[i])).alias(c) for i, c in enumerate(columns)])
+    if n > block:
+        ends = column_quantiles(filled, columns, [0.25, 0.75], n, block)
+    else:
+        one = filled.agg(*[F.percentile(f"`{c}`", F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        ends = [one[f"q{i}"] for i in range(len(columns))]
+    width = [(q[1] - q[0]) or 1.0 for q in ends]
+    return filled.select(*[((F.col(f"`{c}`") - middle[i]) / width[i]).alias(c) for i, c in enumerate(columns)])
+
+
+def sample_counts(counted: DataFrame, k: int, n: int, size: int) -> dict[tuple[float, ...], int]:
+    """How often each row is in a sample of `size` of the n rows: all rows are equally likely, repeated ones too, whatever the
+    partitions. counted: the k columns x0, x1, ... of different rows, and their count n.
+
+    First each row is taken with probability p, for twice as many as are needed on average: the hash of a row's values decides
+    whether any of its copies is. The driver draws how many those are (the first is at a geometric place, the others follow
+    the binomial distribution), and `size` of the copies."""
+    p = min(1.0, 2 * size / n)
+    columns = [f"x{i}" for i in range(k)]
+    if p < 1:
+        spread = F.pmod(F.xxhash64(*columns, F.lit(42)), F.lit(1 << 52)) / float(1 << 52)
+        counted = counted.where(spread < -F.expm1(F.col("n") * log1p(-p)))
+    found = sorted(tuple(r) for r in counted.select(*columns, "n").collect())  # about 2 * size rows at most
+    random = np.random.default_rng(42)
+    taken = []
+    for *_, copies in found:
+        if p == 1:
+            taken.append(copies)
+        else:
+            first = min(copies, max(1, ceil(log1p(random.random() * expm1(copies * log1p(-p))) / log1p(-p))))
+            taken.append(1 + int(random.binomial(copies - first, p)))
+    chosen = random.permutation(np.repeat(np.arange(len(found)), taken))[:size]
+    places, times = np.unique(chosen, return_counts=True)
+    return {found[i][:-1]: int(t) for i, t in zip(places, times, strict=True)}
+
+
+def at_rank(scored: DataFrame, column: str, rank: int) -> tuple[float, int]:
+    """The score at a rank (from 0) of all rows in ascending order, and how many rows are up to that score: counts by bins,
+    then within the bin that holds the rank, until it holds one score."""
+    below, rows = 0, scored
+    ends = rows.agg(F.min(column), F.max(column)).first()
+    while ends[0] < ends[1]:
+        lo, width = ends[0], (ends[1] - ends[0]) / BINS
+        rows = scored.where(F.col(column).between(ends[0], ends[1]))
+        place = F.floor((F.col(column) - lo) / width) if width > 0 else F.when(F.col(column) == lo, 0).otherwise(1)
+        bins = rows.groupBy(place.alias("bin")).agg(F.sum("n"), F.min(column), F.max(column)).orderBy("bin").collect()  # BINS + 1 rows at most
+        for _, n, *ends in bins:
+            if below + n > rank:
+                break
+            below += n
+    return ends[0], below + int(scored.where(F.col(column) == ends[0]).agg(F.sum("n")).first()[0])
+
+
+def score_limit(scored: DataFrame, column: str, share: float, n: int) -> float:
+    """The quantile of all rows' scores, by linear interpolation."""
+    at = share * (n - 1)
+    low, upto = at_rank(scored, column, floor(at))
+    high = low if upto > ceil(at) else scored.where(F.col(column) > low).agg(F.min(column)).first()[0]
+    return low + (high - low) * (at - floor(at))
+
+
+def vote_on_all(scaled: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
+    """METRICS, over all rows: one row."""
+    k = len(columns)
+    counted = written(scaled.toDF(*[f"x{i}" for i in range(k)]).groupBy(*[f"x{i}" for i in range(k)]).agg(F.count("*").alias("n")), "anomaly-rows")
+    share = min(0.12, max(0.02, 8 / n))
+    sample = sample_counts(counted, k, n, ROWS)
+    x = np.repeat(np.array(list(sample), float), list(sample.values()), 0)
+    models = grow_forest(x, TREES), fit_neighbours(x, max(1, min(20, max(5, int(len(x) ** 0.5)), len(x) - 1))), fit_svm(x, share)
+    shared = counted.sparkSession.sparkContext.broadcast((models, sample))
+
+    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (forest, neighbours, svm), sample = shared.value
+        for whole in parts:
+            for at in range(0, len(whole), AT_ONCE):
+                part = whole.iloc[at : at + AT_ONCE]
+                y, copies = part.iloc[:, :k].to_numpy(float), part["n"].to_numpy()
+                members = np.array([sample.get(row, 0) for row in map(tuple, y.tolist())])
+                common = {"forest": -isolation_scores(forest, y), "svm": svm_distances_of(svm, y) < -EXACT}
+                for member, times in ((False, copies - members), (True, members)):
+                    some = times > 0
+                    factor = -outlier_factors_of(neighbours, y[some], np.full(some.sum(), member))
+                    yield pd.DataFrame({m: v[some] for m, v in common.items()} | {"factor": factor, "n": times[some]})[["forest", "factor", "svm", "n"]]
+
+    scored = written(counted.mapInPandas(score, "forest double, factor double, svm boolean, n long"), "anomaly-scores")
+    flags = {m: F.col(m) < score_limit(scored, m, share, n) for m in ("forest", "factor")} | {"svm": F.col("svm")}
+    votes = sum((f.cast("int") for f in flags.values()), F.lit(0))
+    rate = lambda flag: F.sum(F.when(flag, F.col("n")).otherwise(0)) / F.sum("n")
+    rates = scored.agg(
+        *[rate(f).alias(f"{m}_rate") for m, f in flags.items()], F.sum("n").cast("double").alias("rows"),
+        rate(votes >= max(2, ceil(0.66 * len(flags)))).alias("consensus_rate"), rate((votes > 0) & (votes < len(flags))).alias("disagreement_rate"),
+    )
+    each = [F.col(f"{m}_rate") for m in flags]
+    return rates.withColumns({"max_model_rate": F.greatest(*each), "rate_spread": F.greatest(*each) - F.least(*each)})
 
 
 def vote(x: np.ndarray) -> dict[str, float]:
@@ -57,20 +169,22 @@ METRICS = ("forest_rate", "factor_rate", "svm_rate", "rows", "consensus_rate", "
 
 
 def anomaly(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One result for the table. Of more than ROWS rows, those with the smallest hashes are modelled: a bounded sample."""
+    """One result for the table."""
     rows, good, n = features(df, columns) if columns else (df, [], 0)
     spark = df.sparkSession
     if n < LEAST_ROWS or len(good) < LEAST_FEATURES:
         one = spark.range(1).select(F.lit("(table)").alias("series"), F.lit(0).alias("n"))
         return results(one, "ml_anomaly", {}, {}, [], least=1, short=(55.0 if n < LEAST_ROWS else 58.0, "insufficient_data"))
-    sample = rows.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in good]), *[F.col(f"`{c}`") for c in good]).limit(ROWS)
-    scaled = robust_scale(sample, good)
+    scaled = robust_scale(rows, good, n)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         x = part.to_numpy(float)
         return pd.DataFrame([vote(x[np.lexsort(x.T)])])[list(METRICS)]
 
-    rates = scaled.groupBy().applyInPandas(run, ", ".join(f"{m} double" for m in METRICS))
+    if n > ROWS:
+        rates = vote_on_all(scaled, good, n)
+    else:
+        rates = scaled.groupBy().applyInPandas(run, ", ".join(f"{m} double" for m in METRICS))
     rates = rates.withColumns({"series": F.lit("(table)"), "n": F.col("rows").cast("long")})
     return results(
         rates, "ml_anomaly", {m: F.col(m) for m in METRICS},

@@ -64,8 +64,37 @@ def outlier_factors(x: np.ndarray, k: int) -> np.ndarray:
     return density[near].mean(1) / density
 
 
-def svm_distances(x: np.ndarray, nu: float, steps: int = 2000) -> np.ndarray:
-    """Decision values of a one-class SVM with an RBF kernel (below 0: outside), by pairwise steps on the dual."""
+def squared_distances(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of each row of y to each of x; exactly 0 between equal rows."""
+    out = np.zeros((len(y), len(x)))
+    for j in range(x.shape[1]):
+        out += (y[:, j, None] - x[None, :, j]) ** 2
+    return out
+
+
+def fit_neighbours(x: np.ndarray, k: int):
+    """For outlier factors of any rows: rows, k, their distance to the k-th neighbour, and density."""
+    distance = np.sqrt(squared_distances(x, x))
+    np.fill_diagonal(distance, np.inf)
+    near = np.argsort(distance, 1, kind="stable")[:, :k]
+    far = np.take_along_axis(distance, near, 1)
+    return x, k, far[:, -1], 1 / (np.maximum(far[near, -1], far).mean(1) + 1e-10)
+
+
+def outlier_factors_of(model, y: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Local outlier factors of any rows; one that is a member of the model's rows is no neighbour of its own."""
+    x, k, last, density = model
+    distance = np.sqrt(squared_distances(y, x))
+    own = np.flatnonzero(member)
+    distance[own, distance[own].argmin(1)] = np.inf
+    near = np.argpartition(distance, k - 1, 1)[:, :k]
+    reach = np.maximum(last[near], np.take_along_axis(distance, near, 1)).mean(1)
+    return density[near].mean(1) * (reach + 1e-10)
+
+
+def fit_svm(x: np.ndarray, nu: float, steps: int = 2000):
+    """A one-class SVM with an RBF kernel, by pairwise steps on the dual: rows, their weights and offset, the kernel's width,
+    and what the rows themselves come to before the offset."""
     gamma = 1 / (x.shape[1] * max(x.var(), 1e-12))
     squares = (x**2).sum(1)
     kernel = np.exp(-gamma * np.maximum(squares[:, None] + squares[None] - 2 * x @ x.T, 0))
@@ -87,9 +116,22 @@ def svm_distances(x: np.ndarray, nu: float, steps: int = 2000) -> np.ndarray:
         gradient += step * (kernel[:, i] - kernel[:, j])
     inside = (alpha > 1e-9) & (alpha < most - 1e-9)
     rho = gradient[inside].mean() if inside.any() else (gradient[alpha > 1e-9].max() + gradient[alpha <= 1e-9].min()) / 2 if (alpha <= 1e-9).any() else gradient.mean()
+    return x, alpha, rho, gamma, gradient
+
+
+def svm_distances(x: np.ndarray, nu: float, steps: int = 2000) -> np.ndarray:
+    """Decision values of the rows that the SVM is fitted to (below 0: outside)."""
+    _, _, rho, _, gradient = fit_svm(x, nu, steps)
     return gradient - rho
 
 
+def svm_distances_of(model, y: np.ndarray) -> np.ndarray:
+    """Decision values of any rows."""
+    x, alpha, rho, gamma, _ = model
+    used = alpha > 0
+    return np.exp(-gamma * squared_distances(y, x[used])) @ alpha[used] - rho
+
+
 def isolation_rate(series: Ordered) -> DataFrame:
     """series and isolation: the share of a column's values that an isolation forest sets apart.
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credlens.operators import anomaly, changepoint, correlation, digits, drift, outliers, physical, sampling, smoothness, timeseries
-from credlens.operators.forest import grow_forest, isolation_scores, outlier_factors, svm_distances
+from credlens.operators.forest import fit_neighbours, fit_svm, grow_forest, isolation_scores, outlier_factors, outlier_factors_of, svm_distances, svm_distances_of
 from credlens.operators.ordered import ordered, quantiles
 
 
@@ -158,6 +158,33 @@ def test_anomaly(spark):
     assert one(anomaly.anomaly(df, ["a", "c"]))["(table)"]["score"] == 58
 
 
+def test_anomaly_scores_all_rows(spark):
+    r = random.Random(3)
+    rows = [(5.0, 5.0)] * 2000 + [(r.gauss(0, 1), r.gauss(0, 1)) for _ in range(3950)] + [(40 + r.random(), -40 - r.random()) for _ in range(50)]
+    r.shuffle(rows)
+    df = frame(spark, a=[a for a, _ in rows], b=[b for _, b in rows])
+    found = one(anomaly.anomaly(df, ["a", "b"]))["(table)"]["metrics"]
+    assert found["rows"] == 6000
+    assert found["forest_rate"] == found["factor_rate"] == pytest.approx(0.02, abs=1e-9)
+    assert 50 / 6000 <= found["consensus_rate"] <= 0.04
+    assert one(anomaly.anomaly(df.repartition(7), ["a", "b"]))["(table)"]["metrics"] == found
+    counted = df.select(F.col("a").alias("x0"), F.col("b").alias("x1")).groupBy("x0", "x1").agg(F.count("*").alias("n"))
+    sample = anomaly.sample_counts(counted, 2, 6000, 800)
+    assert sum(sample.values()) == 800 and 210 <= sample[5.0, 5.0] <= 325  # a third of the rows
+    scored = counted.withColumnRenamed("x0", "s")
+    for share in (0.0, 0.02, 0.5, 0.9, 1.0):
+        assert anomaly.score_limit(scored, "s", share, 6000) == pytest.approx(np.percentile([a for a, _ in rows], 100 * share), abs=1e-12)
+    ranked, plain = (anomaly.robust_scale(df.select("a", "b"), ["a", "b"], 6000, block).agg(F.sum(F.abs("a")), F.sum(F.abs("b"))).first() for block in (1000, 10_000))
+    assert ranked == pytest.approx(plain)
+
+
+def test_fitted_models_agree_with_their_own_rows():
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=(150, 3)), np.ones((30, 3))])
+    assert outlier_factors_of(fit_neighbours(x, 10), x, np.full(len(x), True)) == pytest.approx(outlier_factors(x, 10))
+    assert svm_distances_of(fit_svm(x, 0.05), x) == pytest.approx(svm_distances(x, 0.05), abs=1e-9)
+
+
 def test_outlier_forest_rate(spark):
     r = random.Random(4)
     found = one(outliers.outliers(ordered(frame(spark, a=[r.gauss(0, 1) for _ in range(300)]), ["a"], ["i"])))["a"]
