@@ -61,12 +61,49 @@ def _neighbours() -> dict[str, set[str]]:
 
 
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.A)
-REPEAT = re.compile(r"(.{1,4}?)\1{1,}", re.S)
 #: Letters that stand for others, a fixed value.
 LEET = str.maketrans("430157$@!", "aeoistsai")
 #: Guesses (log10) of one character by brute force, of one more block of a repeat, of a step of a walk, and of a date.
 BRUTE, AGAIN, STEP, DAY = 1.0, 0.3, 0.45, 4.6
-LONGEST_WORD = 20
+#: Guesses of one more segment, characters of a word, and of a repeat's block.
+SEGMENT, LONGEST_WORD, LONGEST_BLOCK = 0.3, 20, 4
+
+
+class Repeats:
+    """The cheapest repeat of a block of `period` characters that ends at each place. A repeat may begin anywhere and end after
+    any copy from the second; the block costs what its characters cost, copies the logarithm of how many they are.
+
+    Beginnings are kept for each place modulo the period. An earlier one that costs no less than a later one is never better
+    again, for it has more copies. Nor is a later one that is not better now: what it saves in copies only gets less."""
+
+    def __init__(self, value: str, period: int):
+        self.value, self.period, self.same = value, period, 0
+        self.begun: list[list[tuple[float, int]]] = [[] for _ in range(period)]
+
+    def ending(self, end: int, best: list[float]) -> float:
+        """To be called for each end in turn."""
+        period = self.period
+        if end <= period or self.value[end - 1] != self.value[end - 1 - period]:
+            if self.same >= period:
+                self.begun = [[] for _ in range(period)]
+            self.same = 0
+            return float("inf")
+        self.same += 1
+        if self.same < period:
+            return float("inf")
+        begun, new = self.begun[end % period], best[end - 2 * period]
+        while begun and begun[-1][0] >= new:
+            begun.pop()
+        begun.append((new, end - 2 * period))
+        kept, least = [], float("inf")
+        for cost, start in begun:
+            now = cost + AGAIN * log10(1 + (end - start) / period)
+            if now < least:
+                kept.append((cost, start))
+                least = now
+        self.begun[end % period] = kept
+        return least + SEGMENT + BRUTE * period
+
 
 
 def guess_cost(value: str, words: dict[str, float]) -> float:
@@ -75,9 +112,10 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
     lower, near, n = value.lower(), _neighbours(), len(value)
     plain = lower.translate(LEET)
     best = [0.0] + [float("inf")] * n
-    repeat_from = repeat_to = 0
+    repeats = [Repeats(value, period) for period in range(1, LONGEST_BLOCK + 1)]
     for i in range(n):
-        at = best[i] + 0.3
+        best[i] = min(best[i], *[r.ending(i, best) for r in repeats])
+        at = best[i] + SEGMENT
 
         def offer(end: int, cost: float, at: float = at) -> None:
             if at + cost < best[end]:
@@ -91,12 +129,6 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
                 offer(end, rank + 0.8)
         if m := DATE.match(value, i):
             offer(m.end(), DAY if m.end() - i > 4 else 2.1)
-        # a repeat's block costs what its characters cost, further copies little; inside a repeat only the first few
-        # places are tried, so that long ones aren't read again and again
-        if (i >= repeat_to or i <= repeat_from + 4) and (m := REPEAT.match(value, i)):
-            if i >= repeat_to:
-                repeat_from, repeat_to = i, m.end()
-            offer(m.end(), BRUTE * len(m[1]) + AGAIN * log10(1 + (m.end() - i) / len(m[1])))
         end, step = i + 1, None
         while end < n and end - i < 64:
             delta = ord(lower[end]) - ord(lower[end - 1])
@@ -106,7 +138,7 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
             step, end = kind, end + 1
             if end - i >= 3:
                 offer(end, 1.5 + STEP * (end - i - 1) ** 0.5)
-    return best[n]
+    return min(best[n], *[r.ending(n, best) for r in repeats])
 
 
 def find_spans(text: str, words: dict[str, float]) -> list[tuple[int, int, int]]:
