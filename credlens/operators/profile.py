@@ -18,7 +18,7 @@ from .ordered import BLOCK, by_block, ordered
 
 SHEET, ROW = "__sheet__", "__row__"
 # Words that make a column an identifier or hint at a time.
-ID_WORDS = ("编号", "序号", "编码", "代码", "区划")
+ID_WORDS = ("序号", "编号", "代码", "编码", "行政区代码")
 TIME_WORDS = ("time", "date", "timestamp", "datetime", "采集", "日期", "时间")
 #: Patterns of text dates, tried on the first value of a column; that one then holds for all of it.
 FORMATS = (

@@ -160,3 +160,8 @@ def test_stream_agrees_with_batch(spark, small, tmp_path):
     run.awaitTermination(120)
     key = lambda df: sorted((r["window_start"], r["n"], round(r["mean"], 6)) for r in df.collect())
     assert key(spark.table("checks")) == key(windowed_checks(events, "ts", "value", "1 day"))
+
+
+@pytest.mark.parametrize("word", ["序号", "编号", "代码", "编码", "行政区代码"])
+def test_identifier_words(word):
+    assert profile.is_identifier(f"样地{word}") and not profile.is_identifier("区划面积")
