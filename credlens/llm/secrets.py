@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
 from functools import cache
 from math import log10
 
@@ -25,9 +26,9 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Names that make what follows a credential, and the value: up to white space, quotes or brackets.
+#: Names that make what follows a credential, and the value: all that stands in quotes, else up to white space or brackets.
 CONTEXT = re.compile(
-    r"""(?:passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)["']?\x20*(?:[:=]|=>|\bis\b)\x20*["']?([^\s"'<>(){}\[\],;]+)""",
+    r"""(?:passphrase|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)["']?\x20*(?:[:=]|=>|\bis\b)\x20*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|["']?([^\s"'<>(){}\[\],;]+))""",
     re.I | re.A,
 )
 #: Guesses (log10) from which a value counts as a secret, and the least length of one.
@@ -42,12 +43,20 @@ COMMON = (
 ).split()
 
 
-def ranked_words(path: str) -> dict[str, float]:
+class Words(dict):
+    """log10 of the guesses for each word, and the longest word's length."""
+
+    def __init__(self, items):
+        super().__init__(items)
+        self.longest = max(map(len, self), default=0)
+
+
+def ranked_words(path: str) -> Words:
     """log10 of the guesses for each word: its rank among the words of a rank file of base64 tokens, common passwords first."""
     with open(path, "rb") as f:
         tokens = [base64.b64decode(line.split()[0]).decode("utf-8", "replace").strip().lower() for line in f if line.strip()]
     words = dict.fromkeys([*COMMON, *(t for t in tokens if len(t) > 2 and t.isalpha())])
-    return {w: log10(rank) for rank, w in enumerate(words, 2)}
+    return Words((w, log10(rank)) for rank, w in enumerate(words, 2))
 
 
 @cache
@@ -65,80 +74,133 @@ DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[
 LEET = str.maketrans("430157$@!", "aeoistsai")
 #: Guesses (log10) of one character by brute force, of one more block of a repeat, of a step of a walk, and of a date.
 BRUTE, AGAIN, STEP, DAY = 1.0, 0.3, 0.45, 4.6
-#: Guesses of one more segment, characters of a word, and of a repeat's block.
-SEGMENT, LONGEST_WORD, LONGEST_BLOCK = 0.3, 20, 4
+#: Guesses of one more segment and of a walk, and characters of a repeat's block.
+SEGMENT, WALK, LONGEST_BLOCK = 0.3, 1.5, 4
+
+
+class Open:
+    """The cheapest of what may have begun at several places: a start's cost so far, and more(length) for how long it has got,
+    which grows ever slower. So an earlier start that costs no less than a later one is never better again, a later one that
+    isn't better at once never will be, and of two an earlier one may overtake a later one, once. A stack holds those that
+    are the best at some time, the present best on top, each with the end from which the one below is no worse."""
+
+    def __init__(self, more: Callable[[int], float], last: int):
+        self.more, self.last, self.stack = more, last, []
+
+    def cost(self, one: tuple, end: int) -> float:
+        return one[0] + self.more(end - one[1])
+
+    def overtakes(self, early: tuple, late: tuple, now: int) -> int:
+        low, high = now, self.last + 1
+        while low < high:
+            middle = (low + high) // 2
+            if self.cost(early, middle) <= self.cost(late, middle):
+                high = middle
+            else:
+                low = middle + 1
+        return low
+
+    def add(self, cost: float, start: int, end: int) -> None:
+        stack, new = self.stack, (cost, start)
+        self.least(end)
+        while stack and stack[-1][0] >= cost:
+            stack.pop()
+        if stack and self.cost(stack[-1], end) <= self.cost(new, end):
+            return
+        until = self.last + 2
+        while stack:
+            until = self.overtakes(stack[-1], new, end)
+            if len(stack) < 2 or until < stack[-1][2]:
+                break
+            stack.pop()  # the one below overtakes it before it would overtake the new one
+        stack.append((cost, start, until))
+
+    def least(self, end: int) -> float:
+        stack = self.stack
+        while len(stack) > 1 and stack[-1][2] <= end:
+            stack.pop()
+        return self.cost(stack[-1], end) if stack else float("inf")
+
+
+class Walks:
+    """The cheapest walk that ends at each place: three characters or more, each next to the one before in one of the ways of
+    step(). A walk may begin anywhere in a run of one kind."""
+
+    def __init__(self, lower: str):
+        self.lower, self.near, self.kind, self.since = lower, _neighbours(), None, 0
+        self.begun = self.none()
+
+    def none(self) -> Open:
+        return Open(lambda length: STEP * (length - 1) ** 0.5, len(self.lower))
+
+    def step(self, end: int) -> int | None:
+        """How the last character follows the one before: 1 or -1 by number, 2 on the keyboard."""
+        delta = ord(self.lower[end - 1]) - ord(self.lower[end - 2])
+        return delta if delta in (-1, 1) else 2 if self.lower[end - 1] in self.near.get(self.lower[end - 2], ()) else None
+
+    def ending(self, end: int, best: list[float]) -> float:
+        """To be called for each end in turn."""
+        kind = self.step(end) if end > 1 else None
+        if kind is None or kind != self.kind:
+            self.kind, self.begun, self.since = kind, self.none(), end - 2
+        if kind is None or end - 3 < self.since:
+            return float("inf")
+        self.begun.add(best[end - 3], end - 3, end)
+        return self.begun.least(end) + SEGMENT + WALK
 
 
 class Repeats:
     """The cheapest repeat of a block of `period` characters that ends at each place. A repeat may begin anywhere and end after
-    any copy from the second; the block costs what its characters cost, copies the logarithm of how many they are.
-
-    Beginnings are kept for each place modulo the period. An earlier one that costs no less than a later one is never better
-    again, for it has more copies. Nor is a later one that is not better now: what it saves in copies only gets less."""
+    any copy from the second; the block costs what its characters cost, copies the logarithm of how many they are. Starts are
+    kept for each place modulo the period."""
 
     def __init__(self, value: str, period: int):
         self.value, self.period, self.same = value, period, 0
-        self.begun: list[list[tuple[float, int]]] = [[] for _ in range(period)]
+        self.begun = self.none()
+
+    def none(self) -> list[Open]:
+        return [Open(lambda length: AGAIN * log10(1 + length / self.period), len(self.value)) for _ in range(self.period)]
 
     def ending(self, end: int, best: list[float]) -> float:
         """To be called for each end in turn."""
         period = self.period
         if end <= period or self.value[end - 1] != self.value[end - 1 - period]:
             if self.same >= period:
-                self.begun = [[] for _ in range(period)]
+                self.begun = self.none()
             self.same = 0
             return float("inf")
         self.same += 1
         if self.same < period:
             return float("inf")
-        begun, new = self.begun[end % period], best[end - 2 * period]
-        while begun and begun[-1][0] >= new:
-            begun.pop()
-        begun.append((new, end - 2 * period))
-        kept, least = [], float("inf")
-        for cost, start in begun:
-            now = cost + AGAIN * log10(1 + (end - start) / period)
-            if now < least:
-                kept.append((cost, start))
-                least = now
-        self.begun[end % period] = kept
-        return least + SEGMENT + BRUTE * period
-
+        begun = self.begun[end % period]
+        begun.add(best[end - 2 * period], end - 2 * period, end)
+        return begun.least(end) + SEGMENT + BRUTE * period
 
 
 def guess_cost(value: str, words: dict[str, float]) -> float:
     """log10 of the guesses of the cheapest segmentation: best[i] is the least cost of value[:i]. Each further segment
     costs a little more, for the orders in which a guesser may try them."""
-    lower, near, n = value.lower(), _neighbours(), len(value)
+    lower, n = value.lower(), len(value)
+    if len(lower) != n:  # a character that has two in lower case
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = lower.translate(LEET)
+    longest = words.longest if isinstance(words, Words) else max(map(len, words), default=0)
     best = [0.0] + [float("inf")] * n
-    repeats = [Repeats(value, period) for period in range(1, LONGEST_BLOCK + 1)]
-    for i in range(n):
-        best[i] = min(best[i], *[r.ending(i, best) for r in repeats])
+    runs = [Walks(lower), *[Repeats(value, period) for period in range(1, LONGEST_BLOCK + 1)]]
+    for i in range(n + 1):
+        best[i] = min(best[i], *[r.ending(i, best) for r in runs])
+        if i == n:
+            return best[n]
         at = best[i] + SEGMENT
-
-        def offer(end: int, cost: float, at: float = at) -> None:
-            if at + cost < best[end]:
-                best[end] = at + cost
-
         best[i + 1] = min(best[i + 1], best[i] + BRUTE)  # a brute-force span begins or goes on
-        for end in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+        for end in range(i + 3, min(n, i + longest) + 1):
             if (rank := words.get(lower[i:end])) is not None:
-                offer(end, rank + (0.0 if value[i:end] == lower[i:end] else 0.5))
+                best[end] = min(best[end], at + rank + (0.0 if value[i:end] == lower[i:end] else 0.5))
             elif (rank := words.get(plain[i:end])) is not None:
-                offer(end, rank + 0.8)
+                best[end] = min(best[end], at + rank + 0.8)
         if m := DATE.match(value, i):
-            offer(m.end(), DAY if m.end() - i > 4 else 2.1)
-        end, step = i + 1, None
-        while end < n and end - i < 64:
-            delta = ord(lower[end]) - ord(lower[end - 1])
-            kind = delta if delta in (-1, 1) else "near" if lower[end] in near.get(lower[end - 1], ()) else None
-            if kind is None or (step is not None and kind != step):
-                break
-            step, end = kind, end + 1
-            if end - i >= 3:
-                offer(end, 1.5 + STEP * (end - i - 1) ** 0.5)
-    return min(best[n], *[r.ending(n, best) for r in repeats])
+            best[m.end()] = min(best[m.end()], at + (DAY if m.end() - i > 4 else 2.1))
+    return best[n]
 
 
 def find_spans(text: str, words: dict[str, float]) -> list[tuple[int, int, int]]:
@@ -147,9 +209,10 @@ def find_spans(text: str, words: dict[str, float]) -> list[tuple[int, int, int]]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?")
+        value, start = m[m.lastindex], m.start(m.lastindex)
+        value = value.rstrip(".:!?") if m.lastindex == 3 else value
         if len(value) >= SHORTEST and guess_cost(value, words) >= FLOOR:
-            found.append((m.start(1), 3, m.start(1) + len(value)))
+            found.append((start, 3, start + len(value)))
     return sorted(found)
 
 
