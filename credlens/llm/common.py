@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import written as written
+
 #: ASCII white space, as the operators' contracts spell it.
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,34 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests, a new local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="credlens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+#: Bytes of a batch that is worked on at once; larger ones are halved.
+AT_ONCE = 2 << 20
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and outlives executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def slices(batch: pa.RecordBatch, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most that many bytes, or of one row."""
+    if batch.num_rows < 2 or batch.nbytes <= most:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from slices(batch.slice(0, half), most)
+    yield from slices(batch.slice(half), most)
 
 
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """mapInArrow with state made once a task: make() returns the function that maps each batch."""
+    """mapInArrow with state made once a task: make() returns the function that maps each slice of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
             if batch.num_rows:
-                yield one(batch)
+                yield from map(one, slices(batch))
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return df.mapInArrow(run, schema)
 
@@ -73,19 +68,28 @@ def fold(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Values of a column that are learned, at most, and rows of a sample.
+MOST_VALUES, MOST_ROWS = 1024, 50_000
+
+
 def bounded_sample(rows: DataFrame, by: str, each: int) -> DataFrame:
-    """About `each` rows of every value of `by` (all, if there are fewer), the same ones in each run; at most twice as many
-    in all as values times `each`, up to 64 values. Rows are chosen by the hash of doc_id, without a sort of the table."""
-    counts = rows.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.col("count").desc(), by).limit(64)
+    """About `each` rows of every value of `by` (all, if there are fewer; less, if MOST_ROWS would be exceeded), the same ones
+    in each run; at most twice as many in all. Rows are chosen by the hash of doc_id, without a sort of the table. More than
+    MOST_VALUES values are an error: none is left out."""
+    counts = rows.where(F.col(by).isNotNull()).groupBy(by).count()
+    values = counts.limit(MOST_VALUES + 1).count()
+    if values > MOST_VALUES:
+        raise ValueError(f"{by} has more than {MOST_VALUES} values")
+    each = max(1, min(each, MOST_ROWS // max(1, values)))
     share = counts.select(F.col(by).alias("_value"), (F.lit(each) / F.col("count")).alias("_share"))
     spread = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003)) / 1_000_003.0
     chosen = rows.join(F.broadcast(share), F.col(by) == F.col("_value")).where(spread < F.col("_share")).drop("_value", "_share")
-    return chosen.orderBy(spread, "doc_id").limit(2 * 64 * each)
+    return chosen.orderBy(spread, "doc_id").limit(2 * each * max(1, values))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, each: int, longest: int) -> DataFrame:
-    """doc_id, text and label of a bounded sample of labelled documents whose text has at most `longest` characters."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, each: int) -> DataFrame:
+    """doc_id, text and label of a bounded sample of labelled documents (about `each` rows of either label)."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = F.broadcast(bounded_sample(known, "label", each))  # at most 128 * each rows of two numbers
-    return texts_of(docs).where(F.length("text") <= longest).join(chosen, "doc_id")
+    chosen = F.broadcast(bounded_sample(known, "label", each))  # at most 4 * each rows of two numbers
+    return texts_of(docs).join(chosen, "doc_id")

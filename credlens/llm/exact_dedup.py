@@ -2,11 +2,12 @@
 
 A text's key is the hash of its normalised bytes. The index's directory has a slot for each prefix of global depth many
 bits; it doubles until no bucket holds more than `capacity` keys, and slots whose keys fit together share a bucket of
-smaller local depth. Buckets are key ranges: the task that owns a bucket gets all its texts, and grouping by key and text
-there compares whole bytes, so that different texts with one key stand in a chain. Copies are counted before they are
-shuffled: a task sends each text once, however many copies it has, and a group of copies is one entry of the index.
+smaller local depth. Buckets are key ranges, and rows are dealt by bucket in ranges: the task that owns a bucket gets all
+its texts whose key is not alone, compares whole bytes, and chains different texts that have one key. A text whose key no
+other row has needs no comparison and stays where it is.
 
-Keys, directory and index are Parquet tables in the shared folder. Null text counts as empty. Rows that repeat a doc_id
+Copies are counted before owners get them, within salts: an owner sees a text at most SALTS times, however many copies it
+has. Keys, directory and index are Parquet tables in the shared folder. Null text counts as empty. Rows that repeat a doc_id
 are one document: each of them counts in group_size and gets the same flags. Rows with a null doc_id count in their group
 and stay only if no row of it has a doc_id. An empty table gives an empty result. Other columns are not read.
 """
@@ -25,6 +26,8 @@ from .common import BLANKS, among, texts_of, written
 CAPACITY = 1024
 #: A key that more texts share than fit in a bucket can't be split: the directory stops here, and the chain is longer.
 MOST_BITS = 40
+#: Parts in which copies of one text are counted before its owner gets it.
+SALTS = 16
 
 
 def normalised(text: Column) -> Column:
@@ -59,24 +62,42 @@ def directory(keys: DataFrame, key_bits: int, capacity: int) -> tuple[DataFrame,
     return written(found.select("slot", bucket.alias("bucket"), "depth"), "directory"), depth
 
 
+def in_bucket(rows: DataFrame, slots: DataFrame, key_bits: int, depth: int) -> DataFrame:
+    """rows with the bucket that the directory gives for their key."""
+    return rows.withColumn("slot", slot(F.col("key"), key_bits, depth)).join(slots.select("slot", "bucket"), "slot").drop("slot")
+
+
+def chained(texts: DataFrame, slots: DataFrame, key_bits: int, depth: int) -> DataFrame:
+    """The index's entries for rows of doc_id, key and text: one for each different text. Grouping and chaining need no
+    other exchange than the one that deals rows to owners by ranges of buckets."""
+    salted = in_bucket(texts, slots, key_bits, depth).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    counted = salted.groupBy("bucket", "key", "text", "salt").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    owned = counted.repartitionByRange("bucket").groupBy("bucket", "key", "text").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    place = F.row_number().over(Window.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256"))
+    return owned.select("bucket", "key", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size").withColumn("chain", place)
+
+
 def build_index(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """The keys of all rows (doc_id, key, text_sha256), and the index: a row for each different text, with bucket, key,
-    chain (its place among the texts of its key, from 1), text_sha256, keep_id and group_size."""
+    """The keys of all rows (doc_id, key, text_sha256), and the index, written by ranges of buckets: a row for each different
+    text, with bucket, key, chain (its place among the texts of its key, from 1), text_sha256, keep_id and group_size."""
     texts = keyed(docs, key_bits)
     keys = written(texts.select("doc_id", "key", F.sha2("text", 256).alias("text_sha256")), "keys")
-    slots, depth = directory(keys.select("key").distinct(), key_bits, capacity)
-    owned = texts.withColumn("slot", slot(F.col("key"), key_bits, depth)).join(slots.select("slot", "bucket"), "slot")
-    entries = owned.groupBy("bucket", "key", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = entries.select("bucket", "key", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
-    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256"))
-    return keys, written(entries.withColumn("chain", chain), "index")
+    by_key = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id"), F.min("text_sha256").alias("text_sha256")), "by-key")
+    slots, depth = directory(by_key.select("key"), key_bits, capacity)
+    repeated = among(texts, by_key.where("n > 1").select(F.col("key").alias("id")), "key", keep=True)
+    alone = in_bucket(by_key.where("n = 1"), slots, key_bits, depth).repartitionByRange("bucket")
+    alone = alone.select("bucket", "key", "text_sha256", "keep_id", F.lit(1).cast("long").alias("group_size"), F.lit(1).alias("chain"))
+    return keys, written(chained(repeated, slots, key_bits, depth).unionByName(alone), "index")
 
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of each row of docs."""
     keys, index = build_index(docs, capacity, key_bits)
-    # a hot key splits here by AQE's skew join: its index side is one row
-    found = keys.join(index.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"])
+    # texts that stand alone need no look-up; a hot key splits here by AQE's skew join: its index side is one row
+    groups = index.where("group_size > 1").select("key", "text_sha256", F.struct("keep_id", "group_size").alias("g"))
+    found = keys.join(groups, ["key", "text_sha256"], "left")
+    keep_id = F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("g.keep_id"))
+    found = found.select("doc_id", keep_id.alias("keep_id"), F.coalesce("g.group_size", F.lit(1)).alias("group_size"), "text_sha256")
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

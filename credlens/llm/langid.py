@@ -9,46 +9,34 @@ A word of more than WORD characters, such as a text without spaces, is cut into
 position of its own, in learning too, and all characters and n-grams of the word are read, each once. Where words are
 labelled, a long word's label is that of its pieces together.
 
-Learning takes a bounded sample (EACH documents of every language, at most 64 languages). Whole texts are worked on: words
-are packed in rows of SPAN, the rows' transfer matrices carry the recursion from row to row, so that long texts need no
-long loop and no padding to the longest. Row by row, without a shuffle. Null text or text without a letter is `und` with
+Learning takes a bounded sample (about EACH documents of every language; see bounded_sample). Whole texts are worked on: words
+are packed in rows of SPAN, and a longer text's rows are joined by their transfer matrices, so that long texts need no long
+loop and no padding to the longest. Row by row, without a shuffle. Null text or text without a letter is `und` with
 score 0; without anything to learn from all are. Repeated rows are labelled alike, empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import chain
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import MULTIPLIER, characters, longer, mixed, within
 from .common import bounded_sample, fold, map_batches
 
-EACH, LONGEST = 300, 20_000
-BUCKETS = 1 << 17
+EACH = 300
+BITS = 17
+BUCKETS = 1 << BITS
 #: Words of a training sequence, sequences of a step, and steps; words of a row in forward-backward.
 LENGTH, SEQUENCES, STEPS, SPAN = 24, 64, 250, 64
-MEMO = 300_000
 #: Words that are worked on at once, and words whose features are held at once.
-AT_ONCE, FEATURED = 300_000, 20_000
+AT_ONCE, FEATURED = 200_000, 10_000
 #: Characters of a position: longer words are cut.
 WORD = 40
-LETTER = re.compile(r"[^\W\d_]")
-
-
-class Hashes(dict):
-    """Memo: a feature's bucket."""
-
-    def __missing__(self, feature: str) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        found = self[feature] = crc32(feature.encode()) % BUCKETS
-        return found
 
 
 def pieces(word: str) -> list[str]:
@@ -66,20 +54,48 @@ def cut(text: str) -> list[str]:
 
 def lettered(piece: str) -> bool:
     """Whether a word or piece has a letter of its own."""
-    return LETTER.search(piece, 3 if piece[0] == " " else 0) is not None
-
-
-def features(word: str, buckets: Hashes) -> list[int]:
-    """Features of a word or piece; n-grams belong to the piece that their last character is in."""
-    w = word.strip(" ").lower()
-    n, before = len(w), len(word[1:3].lower()) if word[0] == " " else 0
-    named = [] if before or word[-1] == " " else [f"={w}"]
-    named += [] if before else [f"^{w[:2]}", f"^{w[:3]}"]
-    named += [] if word[-1] == " " else [f"${w[-1:]}", f"${w[-2:]}", f"${w[-3:]}"]
-    named += w[before:]
-    named += [w[i : i + 2] for i in range(max(before - 1, 0), n - 1)]
-    named += [w[i : i + 3] for i in range(max(before - 2, 0), n - 2)]
-    return [buckets[f] for f in named]
+    return piece.isalpha() or any(map(str.isalpha, piece[3:] if piece[0] == " " else piece))
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature): all features of words or pieces (none empty), by the word's number. Features are n-grams of one to
+    three characters; two or three characters at the start, one to three at the end; the whole. A piece has those n-grams
+    whose last character it has, the start if it is a word's first and the end if it is its last."""
+    lower = [w.strip(" ").lower() for w in words]
+    before = np.array([len(w[1:3].lower()) if w[0] == " " else 0 for w in words], np.int64)
+    last = np.array([w[-1] != " " for w in words], bool)
+    c, starts, sizes = characters(lower)
+    two = longer(c, c, 2)
+    three = longer(two, c, 3)
+    word = np.repeat(np.arange(len(words)), sizes)
+    place = within(starts, sizes, len(c))
+    left, needed = sizes[word] - place, before[word] - place
+    found = [(word[ok], h[ok]) for h, ok in ((c, needed <= 0), (two, (left > 1) & (needed <= 1)), (three, (left > 2) & (needed <= 2)))]
+
+    def edge(at: np.ndarray, n: int, end: bool) -> None:
+        size = np.minimum(sizes[at], n)
+        first = starts[at] + (sizes[at] - size if end else 0)
+        found.append((at, mixed(np.choose(size - 1, [x[first] for x in (c, two, three)]) + np.uint64(1 + end))))
+
+    for n in (2, 3):
+        edge(np.flatnonzero(before == 0), n, False)
+    for n in (1, 2, 3):
+        edge(np.flatnonzero(last), n, True)
+    at = np.flatnonzero((before == 0) & last)
+    whole = np.add.reduceat(mixed(c + place.astype(np.uint64) * MULTIPLIER), starts) if len(c) else c
+    found.append((at, mixed(whole[at] + np.uint64(3))))
+    return np.concatenate([w for w, _ in found]), (np.concatenate([h for _, h in found]) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def emissions(words: list[str], table: np.ndarray) -> np.ndarray:
+    """Each word's sum of its features' rows of the table; a word without a letter has zeros."""
+    out = np.zeros((len(words), table.shape[1]))
+    known = [i for i, w in enumerate(words) if lettered(w)]
+    if known:
+        word, feature = features([words[i] for i in known])
+        rows = table[feature]
+        out[known] = np.stack([np.bincount(word, rows[:, j], len(known)) for j in range(table.shape[1])], 1)
+    return out
 
 
 @dataclass(frozen=True)
@@ -113,7 +129,7 @@ def step_gradient(scores: np.ndarray, transition: np.ndarray, gold: np.ndarray)
 def fit(docs: DataFrame) -> Model:
     """docs: text and lang of the documents that may be learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= LONGEST))
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     ids = bounded_sample(rows.select("doc_id", "lang"), "lang", EACH).select("doc_id").distinct()
     got = rows.join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "lang"])  # bounded: see bounded_sample
     got["words"] = [[w for w in cut(t) if lettered(w)] for t in got["text"]]
@@ -124,7 +140,6 @@ def fit(docs: DataFrame) -> Model:
         return Model([], np.zeros((0, 0)), np.zeros((0, 0)))
     by_language = [got["words"][got["lang"] == x].tolist() for x in languages]
     random = np.random.default_rng(5)
-    memo, buckets = {}, Hashes()
     weights, squares = np.zeros((BUCKETS, k)), np.full((BUCKETS, k), 1e-6)
     transition, t_squares = np.zeros((k, k)), np.full((k, k), 1e-6)
     for _ in range(STEPS):
@@ -139,13 +154,11 @@ def fit(docs: DataFrame) -> Model:
                 words += span
                 gold[s, at : at + len(span)] = lang
                 at += len(span)
-        found = [memo[w] if w in memo else memo.setdefault(w, features(w, buckets)) for w in words]
-        sizes = np.array([len(f) for f in found])
-        flat = np.fromiter((x for f in found for x in f), np.int64, int(sizes.sum()))
-        scores = np.add.reduceat(weights[flat], np.cumsum(sizes) - sizes).reshape(SEQUENCES, LENGTH, k)
+        word, flat = features(words)
+        scores = np.stack([np.bincount(word, weights[flat, j], len(words)) for j in range(k)], 1).reshape(SEQUENCES, LENGTH, k)
         by_score, by_transition = step_gradient(scores, transition, gold)
         used, place = np.unique(flat, return_inverse=True)
-        spread = np.repeat(by_score.reshape(-1, k), sizes, 0)
+        spread = by_score.reshape(-1, k)[word]
         gradient = np.stack([np.bincount(place, spread[:, j], len(used)) for j in range(k)], 1)
         squares[used] += gradient**2
         weights[used] -= 0.1 * gradient / np.sqrt(squares[used])
@@ -158,74 +171,54 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, transition: np.ndarr
     """Each word's probabilities. scores: all documents' words after each other; sizes: words of each document."""
     k, a = scores.shape[1], np.exp(transition - transition.max())
     rows = -(-sizes // SPAN)
-    first = np.cumsum(rows) - rows
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    within = np.arange(len(scores)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = (first[doc] + within // SPAN, within % SPAN)
-    n = int(rows.sum())
-    e, real = np.ones((n, SPAN, k)), np.zeros((n, SPAN), bool)
-    e[at], real[at] = np.exp(scores - scores.max(1, keepdims=True)), True
-    # each row's transfer matrix; a place without a word changes nothing
-    matrix = np.broadcast_to(np.eye(k), (n, k, k)).copy()
-    for t in range(SPAN):
-        live = real[:, t]
-        x = matrix[live] @ a * e[live, t][:, None, :]
-        matrix[live] = x / x.max((1, 2), keepdims=True)
+    first, n = np.cumsum(rows) - rows, int(rows.sum())
+    row = np.repeat(first, sizes) + within(np.cumsum(sizes) - sizes, sizes, len(scores)) // SPAN  # of each word
+    lengths = np.bincount(row, minlength=n)
+    order = np.argsort(-lengths, kind="stable")  # long rows first: the first live[t] have a word at place t
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    live = np.searchsorted(-lengths[order], -np.arange(SPAN), "left")
+    at = (within(np.cumsum(lengths) - lengths, lengths, len(scores)), rank[row])
+    e = np.empty((SPAN, n, k))
+    e[at] = np.exp(scores - scores.max(1, keepdims=True))
     enter, leave = np.full((n, k), 1.0 / k), np.ones((n, k))
-    for j in range(1, int(rows.max(initial=0))):
-        to = first[rows > j] + j
-        x = np.einsum("ni,nij->nj", enter[to - 1], matrix[to - 1])
-        enter[to] = x / x.sum(1, keepdims=True)
-    for j in range(1, int(rows.max(initial=0))):
-        to = (first + rows - 1 - j)[rows > j]
-        x = np.einsum("nij,nj->ni", matrix[to + 1], leave[to + 1])
-        leave[to] = x / x.sum(1, keepdims=True)
+    several = np.flatnonzero(np.repeat(rows > 1, rows))
+    if len(several):  # rows of texts that have several get a transfer matrix each
+        several = several[np.argsort(rank[several])]
+        own = rank[several]
+        matrix = np.broadcast_to(np.eye(k), (len(several), k, k)).copy()
+        for t in range(SPAN):
+            m = int(np.searchsorted(own, live[t]))
+            x = matrix[:m] @ a * e[t, own[:m]][:, None, :]
+            matrix[:m] = x / x.max((1, 2), keepdims=True)
+        of = np.zeros(n, np.int64)
+        of[several] = np.arange(len(several))
+        for j in range(1, int(rows.max())):
+            to = first[rows > j] + j
+            x = np.einsum("ni,nij->nj", enter[rank[to - 1]], matrix[of[to - 1]])
+            enter[rank[to]] = x / x.sum(1, keepdims=True)
+            to = (first + rows - 1 - j)[rows > j]
+            x = np.einsum("nij,nj->ni", matrix[of[to + 1]], leave[rank[to + 1]])
+            leave[rank[to]] = x / x.sum(1, keepdims=True)
     alpha, x = np.empty_like(e), enter
     for t in range(SPAN):
-        y = x @ a * e[:, t]
-        x = np.where(real[:, t, None], y / y.sum(1, keepdims=True), x)
-        alpha[:, t] = x
+        y = x[: live[t]] @ a * e[t, : live[t]]
+        x = y / y.sum(1, keepdims=True)
+        alpha[t, : live[t]] = x
     x = leave
     for t in range(SPAN - 1, -1, -1):
-        alpha[:, t] *= x
-        y = (x * e[:, t]) @ a.T
-        x = np.where(real[:, t, None], y / y.sum(1, keepdims=True), x)
+        m = live[t]
+        alpha[t, :m] *= x[:m]
+        y = (x[:m] * e[t, :m]) @ a.T
+        x[:m] = y / y.sum(1, keepdims=True)
     found = alpha[at]
     return found / found.sum(1, keepdims=True)
 
 
-class Emissions:
-    """A bounded memo of words' rows in a table of emission scores. Words without a letter share row 0, which is 0."""
-
-    def __init__(self, model: Model):
-        self.model, self.buckets = model, Hashes()
-        self.clear()
-
-    def clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((1, len(self.model.languages)), np.float32)
-
-    def of(self, words: list[str]) -> np.ndarray:
-        """The scores of each word; words that are new are worked out together."""
-        if len(self.rows) > MEMO:
-            self.clear()
-        new = list(set(words).difference(self.rows))
-        known = [w for w in new if lettered(w)]
-        self.rows |= dict.fromkeys(new, 0)
-        self.rows |= zip(known, range(len(self.table), len(self.table) + len(known)), strict=True)
-        tables = [self.table]
-        for at in range(0, len(known), FEATURED):
-            found = [features(w, self.buckets) for w in known[at : at + FEATURED]]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            tables.append(np.add.reduceat(self.model.emission[np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))], np.cumsum(sizes) - sizes))
-        self.table = np.concatenate(tables) if known else self.table
-        return self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].astype(float)
-
-
-def label_texts(texts: list[str], memo: Emissions) -> list[tuple[np.ndarray, np.ndarray]]:
+def label_texts(texts: list[str], model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text, the probabilities of its words (a long one's pieces) and which of them have a letter."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    k, start = len(memo.model.languages), 0
+    k, start = len(model.languages), 0
     words = [cut(t) for t in texts]
     while start < len(words):
         stop, total = start, 0
@@ -233,10 +226,14 @@ def label_texts(texts: list[str], memo: Emissions) -> list[tuple[np.ndarray, np.
             total += len(words[stop])
             stop += 1
         sizes = np.array([len(w) for w in words[start:stop]])
-        scores = memo.of(list(chain.from_iterable(words[start:stop])))
-        found = forward_backward(scores, sizes, memo.model.transition) if total else np.zeros((0, k))
+        different = list(dict.fromkeys(chain.from_iterable(words[start:stop])))  # each one's scores are worked out once
+        number = dict(zip(different, range(len(different)), strict=True))
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(words[start:stop])), np.int64, total)
+        has = np.fromiter(map(lettered, different), bool, len(different))
+        table = [emissions(different[i : i + FEATURED], model.emission) for i in range(0, len(different), FEATURED)]
+        found = forward_backward(np.concatenate(table)[at], sizes, model.transition) if total else np.zeros((0, k))
         ends = np.cumsum(sizes)[:-1]
-        out += zip(np.split(found, ends), np.split(scores.any(1), ends), strict=True)
+        out += zip(np.split(found, ends), np.split(has[at], ends), strict=True)
         start = stop
     return out
 
@@ -254,13 +251,13 @@ def identify(docs: DataFrame, model: Model, words: bool = False) -> DataFrame:
 
     def make():
         model = shared.value
-        memo, names = Emissions(model), np.array(model.languages, object)
+        names = np.array(model.languages, object)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            known = [bool(model.languages and LETTER.search(t)) for t in texts]
-            found = label_texts([t if ok else "" for t, ok in zip(texts, known, strict=True)], memo)
-            means = [p[has if has.any() else slice(None)].mean(0) if ok else None for (p, has), ok in zip(found, known, strict=True)]
+            known = [bool(model.languages) and any(map(str.isalpha, t)) for t in texts]
+            found = label_texts([t if ok else "" for t, ok in zip(texts, known, strict=True)], model)
+            means = [p[has].mean(0) if ok else None for (p, has), ok in zip(found, known, strict=True)]
             columns = [
                 batch.column("doc_id"),
                 pa.array(["und" if m is None else names[m.argmax()] for m in means], pa.string()),

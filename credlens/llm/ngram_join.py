@@ -7,15 +7,17 @@ what is indexed: a rare token alone, frequent tokens in pairs. A pair is made of
 must still be able to share enough, by their sizes, their tokens' places, and how many of their prefix tokens no other
 set has; what is left is verified on whole sets.
 
-Which tokens are frequent is read from a table of counters of fixed size, which every document's tokens are counted in;
-the order need not be exact, only the same everywhere. A rare token's bucket is small, as its counter bounds it. Equal
-sets are one class with one representative. In a bucket no pairs are listed at first: each member is held against a
+Which tokens are frequent is read from a table of counters, which every document's tokens are counted in; the order need
+not be exact, only the same everywhere. The counters' number doesn't grow with the input: a rare token's counter is within
+three deviations of the mean, so that its true count, and its bucket, grow with the square root of the tokens a counter
+has. Equal sets are one class with one representative. In a bucket no pairs are listed at first: each member is held against a
 pivot, the member with the fewest rare tokens; then members that aren't yet connected against pivots by hash; and only
 pairs of different components that could still link are listed in the end. So a group of near copies costs as many
 verifications as it has members, and no link between components is lost.
 
-Null text counts as empty. Empty sets link with nothing. Rows repeating a doc_id are one document. An empty table gives an
-empty result.
+Null text counts as empty. Empty sets link with nothing. Rows repeating a doc_id are one document that has the sets of all of
+them. A row with a null doc_id gets the component of the sets equal to its own, null where no row with a doc_id has one; it
+links nothing else. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import among, map_batches, texts_of, written
+from .arrays import MULTIPLIER, mixed, shingle_sets
+from .common import among, map_batches, slices, texts_of, written
 from .components import components
 
 WORDS = 5
@@ -41,60 +43,26 @@ COUNTERS, PARTS = 1 << 22, 64
 SLOT = 16
 #: Sizes in one bin differ by this factor at most.
 BIN = 1.06
-#: Rows in an Arrow batch that holds two whole sets a row.
-BATCH = 512
+#: Bytes of a batch of pairs, with two whole sets a row, that is worked on at once.
+PAIRS = 8 << 20
 #: Parts of a frequent signature's rows in the first shuffle.
 SALTS = 16
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def token_set(text: str, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's n-grams of WORDS words; of all its words, if they are fewer."""
-    words = text.encode().lower().split()  # bytes: A-Z and ASCII white space alone
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array([hashes[w] for w in words], np.uint64)
-    n = min(WORDS, len(h))
-    x = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        x = x * MULTIPLIER + h[i : len(h) - n + 1 + i]
-    return np.unique(mixed(x))
-
-
 def profile(docs: DataFrame) -> DataFrame:
     """Two kinds of rows: doc_id, n and cls (a digest of the set) for each document; part and counts for each task's
     counters. A task counts equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counters, seen = WordHashes(), np.zeros(COUNTERS, np.uint32), set()
+        counters, seen = np.zeros(COUNTERS, np.uint32), set()
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
-        for batch in batches:
-            sizes, digests, fresh = [], [], []
-            for text in batch.column("text").to_pylist():
-                tokens = token_set(text, hashes)
+        for batch in (part for whole in batches for part in slices(whole)):
+            sizes, digests = [], []
+            for tokens in shingle_sets(batch.column("text"), WORDS):
                 digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
                 sizes.append(len(tokens))
                 digests.append(digest)
                 if digest not in seen:
                     seen.add(digest)
-                    fresh.append((tokens >> np.uint64(42)).astype(np.int32))
-            if fresh:
-                at, times = np.unique(np.concatenate(fresh), return_counts=True)
-                counters[at] += times.astype(np.uint32)
+                    counters[(tokens >> np.uint64(42)).astype(np.int64)] += np.uint32(1)  # tokens of one set in one counter count once
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if counters.any():
@@ -176,32 +144,22 @@ def signature_rows(docs: DataFrame, level: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in SIGNATURES]
-            count = 0
-
-            def table(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], schema=SIGNATURES)
-
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                tokens = token_set(text, hashes)
-                digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-                if not len(tokens) or digest in seen or doc_id is None:
+        seen: set[bytes] = set()
+        for batch in (part for whole in batches for part in slices(whole)):
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            about: list[tuple[int, int, int, int, bool]] = []  # how many signatures, and what they have in common
+            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), WORDS), strict=True):
+                if not len(tokens) or doc_id is None or (digest := hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()) in seen:
                     continue
                 seen.add(digest)
-                found = signatures(tokens, shared.value)
-                rare = len(found[0][0])
-                for sigs, reach, frequent in found:
-                    k = len(sigs)
-                    for c, x in zip(columns, (sigs.view(np.int64), np.full(k, doc_id, np.int64), np.full(k, len(tokens), np.int32), reach.astype(np.int32), np.full(k, rare, np.int32), np.full(k, frequent)), strict=True):
-                        c.append(x)
-                    count += k
-                if count > 300_000:
-                    yield table(columns)
-                    columns, count = [[] for _ in SIGNATURES], 0
-            if count:
-                yield table(columns)
+                for sigs, reach, frequent in (made := signatures(tokens, shared.value)):
+                    found.append((sigs, reach))
+                    about.append((len(sigs), doc_id, len(tokens), len(made[0][0]), frequent))
+            if found:
+                times, ids, n, rare, frequent = (np.array(x) for x in zip(*about, strict=True))
+                columns = [np.concatenate([x for x, _ in found]).view(np.int64), np.repeat(ids, times), np.repeat(n, times), np.concatenate([x for _, x in found]), np.repeat(rare, times), np.repeat(frequent, times)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype(), copy=False)) for c, f in zip(columns, SIGNATURES, strict=True)], schema=SIGNATURES)
+        pa.default_memory_pool().release_unused()
 
     return texts_of(docs).mapInArrow(run, "sig long, doc_id long, n int, reach int, rare int, frequent boolean")
 
@@ -225,7 +183,7 @@ def members(docs: DataFrame, level: np.ndarray, classes: DataFrame) -> DataFrame
     place = F.row_number().over(of_doc.orderBy(F.col("reach").desc())) - 1
     alone = alone.withColumn("reach", (F.col("n") - F.col("rare") + F.col("known") - place).cast("int")).drop("known")
     found = alone.unionByName(pairs.join(often, "sig")).join(classes.select("doc_id", "rep").distinct(), "doc_id")
-    found = found.groupBy("sig", "rep").agg(F.first("n").alias("n"), F.max("reach").alias("reach"), F.max("rare").alias("rare"))
+    found = found.groupBy("sig", "rep", "n").agg(F.max("reach").alias("reach"), F.max("rare").alias("rare"))
     size_bin = F.floor(F.log("n") / float(np.log(BIN))).cast("int")
     return written(found.where("4 * reach >= 3 * n").withColumn("bin", size_bin), "members")
 
@@ -264,34 +222,25 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = written(pairs, "pairs")
     ids = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
 
-    def make():
-        hashes = WordHashes()
-
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([token_set(t.as_py(), hashes).tobytes() for t in batch.column("text")], pa.binary())], ["id", "tokens"])
-
-        return one
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.tobytes() for t in shingle_sets(batch.column("text"), WORDS)], pa.binary())], ["id", "tokens"])
 
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for x, y in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            same = int((both[1:] == both[:-1]).sum())
-            good.append(100 * same >= 75 * (len(x) + len(y) - same))
-        return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, PAIRS)):
+            good = []
+            for x, y in zip(batch.column("s"), batch.column("t"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.concatenate([x, y])
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                good.append(100 * same >= 75 * (len(x) + len(y) - same))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = conf.get(name)
-    sets = written(map_batches(among(texts_of(docs), ids, "doc_id", keep=True), "id long, tokens binary", make).dropDuplicates(["id"]), "sets")
-    conf.set(name, BATCH)
-    try:
-        with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a")
-        both = with_a.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b").select("a", "b", "s", "t")
-        return written(map_batches(both, "a long, b long", lambda: check), "links")
-    finally:
-        conf.set(name, usual)
+    sets = written(among(texts_of(docs), ids, "doc_id", keep=True).mapInArrow(sets_of, "id long, tokens binary").distinct(), "sets")
+    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a")
+    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b").select("a", "b", "s", "t")
+    return written(both.mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -307,10 +256,15 @@ def join_components(docs: DataFrame) -> DataFrame:
     rows = written(profile(docs), "profile")
     sets = rows.where("part is null").select("doc_id", "n", "cls")
     level = levels(rows.where("part is not null"))
-    reps = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    classes = written(sets.join(reps, "cls", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
+    # classes of several rows have a representative; joined as a table of its own, so that a hot class can be split
+    reps = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
+    reps = written(reps.select("cls", "rep"), "reps")
+    full = sets.where("n > 0").join(reps, "cls", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    classes = written(full.unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))), "classes")
+    several = classes.where("n > 0").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
+    same = written(several.join(classes.where("n > 0"), "doc_id").select("a", F.col("rep").alias("b")).distinct(), "links")  # a doc_id's classes
     buckets = members(docs, level, classes.where("n > 0"))
-    links = verified(docs, star_pairs(buckets, "rare"))
+    links = same.unionAll(verified(docs, star_pairs(buckets, "rare")))
     for pairs in (lambda rest: star_pairs(rest, "xxhash64(rep, sig)"), other_pairs):
         found = components(links)
         rest = labelled(buckets, found)

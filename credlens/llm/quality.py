@@ -5,7 +5,7 @@ bytes; the maximum of each filter feeds a hidden layer, and each hidden unit's m
 combined into one probability. All weights are learned by gradient descent; as maxima pass gradients to one place each,
 the backward step touches those places alone.
 
-Learning takes a bounded sample of labelled rows (EACH of either label, texts up to LONGEST characters), on the driver.
+Learning takes a bounded sample of labelled rows (EACH of either label, whatever their length), on the driver.
 Scoring goes over whole texts, CHUNKS chunks at a time, row by row, without a shuffle. Null text counts as empty and is
 scored as one chunk of padding. Without labels of both kinds every score is the share of label 1 (1, if there are none).
 Repeated rows are scored alike; an empty table gives an empty result.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from .common import fold, labelled_texts, map_batches, texts_of
 
-EACH, LONGEST = 700, 16_000
+EACH = 700
 #: Bytes of a chunk and of its overlap with the next; the filters' width and stride; sizes of the layers.
 CHUNK, OVERLAP, WIDTH, STRIDE = 264, 24, 9, 3
 EMBED, FILTERS, HIDDEN = 6, 24, 16
@@ -167,7 +167,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float) -> Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    got = labelled_texts(docs, labels, "quality", EACH, LONGEST).toPandas().sort_values("doc_id")  # bounded rows and texts
+    got = labelled_texts(docs, labels, "quality", EACH).toPandas().sort_values("doc_id")  # about EACH rows of either label
     marks = got["label"].to_numpy(float)
     if not 0 < marks.sum() < len(marks):
         net = Network.random()

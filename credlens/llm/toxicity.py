@@ -2,10 +2,10 @@
 
 Features are the hashed n-grams inside words, with a mark at word starts and ends; a document has a feature or hasn't it.
 Each feature is scaled by the log of the ratio of its (smoothed) shares among toxic and other documents, and a logistic
-regression is fitted to the scaled features. Only features with a clear ratio, seen often enough, are kept, so that long
+regression is fitted to the scaled features. Features with a clear ratio that are seen often enough are kept, so that long
 clean texts don't gather noise.
 
-Labels come from a bounded sample of labelled rows (EACH of either label, texts up to LONGEST characters); its n-grams are
+Labels come from a bounded sample of labelled rows (EACH of either label), whatever their texts' length; its n-grams are
 counted in PARTS tasks, and the driver gets the counts and the sample's kept features alone. Every document is scored over
 its whole text, row by row, without a shuffle. Null text counts as empty and gets the score of a text without features.
 Without labels of both kinds every score is 0. Repeated rows are scored alike; an empty table gives an empty result.
@@ -15,73 +15,82 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp
-from zlib import crc32
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import fold, labelled_texts, map_batches, texts_of, written
-
-#: Sampled labelled rows of either label, their longest text, and the tasks that count them.
-EACH, LONGEST, PARTS = 4000, 100_000, 8
-SIZES, BUCKETS = (3, 4, 5, 6), 1 << 20
-#: Kept features: at most, least documents, least absolute ratio.
-KEPT, SEEN, RATIO = 4096, 8, 1.0
-#: Entries of a worker's memo of words; a full one is emptied.
-MEMO = 300_000
-
-
-def ngrams(word: str) -> set[int]:
-    data = f"<{word}>"
-    return {crc32(data[i : i + n].encode()) % BUCKETS for n in SIZES for i in range(len(data) - n + 1)}
-
-
-def words_of(text: str) -> set[str]:
-    return set(text.lower().split())
+from .arrays import characters, longer, within
+from .common import fold, labelled_texts, map_batches, slices, texts_of, written
+
+#: Sampled labelled rows of either label, and the tasks that count them.
+EACH, PARTS = 4000, 8
+SIZES, BITS = (3, 4, 5, 6), 20
+BUCKETS = 1 << BITS
+#: Kept features: least documents, least absolute ratio.
+SEEN, RATIO = 8, 1.0
+#: Words whose n-grams are held at once.
+FEATURED = 10_000
+
+
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature): the hashed n-grams of each word, which stands between marks; by the word's number."""
+    chars, starts, sizes = characters([f"<{w}>" for w in words])
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = sizes[word] - within(starts, sizes, len(chars))
+    grams, found = longer(chars, chars, 2), []
+    for n in range(3, max(SIZES) + 1):
+        grams = longer(grams, chars, n)
+        if n in SIZES:
+            found.append((word[left >= n], grams[left >= n]))
+    return np.concatenate([w for w, _ in found]), (np.concatenate([g for _, g in found]) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def document_features(texts: list[str], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place), sorted and each once: the features that each text has. place: by feature; those with -1 are left out."""
+    words = [set(t.lower().split()) for t in texts]
+    different = list(dict.fromkeys(chain.from_iterable(words)))
+    number = dict(zip(different, range(len(different)), strict=True))
+    held = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)
+    text = np.repeat(np.arange(len(texts)), list(map(len, words)))
+    sizes, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(different), FEATURED):
+        some = different[at : at + FEATURED]
+        word, feature = ngrams(some)
+        feature = place[feature]
+        pairs = np.unique(word[feature >= 0] * len(place) + feature[feature >= 0])
+        sizes.append(np.bincount(pairs // len(place), minlength=len(some)))
+        kept.append(pairs % len(place))
+    sizes, kept = np.concatenate(sizes), np.concatenate(kept)
+    n = sizes[held]
+    spots = np.repeat((np.cumsum(sizes) - sizes)[held], n) + within(np.cumsum(n) - n, n, int(n.sum()))
+    pairs = np.unique(np.repeat(text, n) * len(place) + kept[spots])
+    return pairs // len(place), pairs % len(place)
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[int, float]
+    features: np.ndarray  # the kept ones
+    weights: np.ndarray  # of each of them
     bias: float
 
-
-class WordFeatures(dict):
-    """Memo: a word's kept features."""
-
-    def __init__(self, kept):
-        super().__init__()
-        self.kept = kept
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= MEMO:
-            self.clear()
-        found = tuple(f for f in ngrams(word) if f in self.kept)
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
-def features_of(text: str, memo: WordFeatures) -> set[int]:
-    return set().union(*map(memo.__getitem__, words_of(text)))
+    def place(self) -> np.ndarray:
+        out = np.full(BUCKETS, -1, np.int64)
+        out[self.features] = np.arange(len(self.features))
+        return out
 
 
 def count_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Documents with each feature, by label, and documents by label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs = np.zeros((2, BUCKETS), np.int32), [0, 0]
-        known: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                docs[label] += 1
-                if len(known) > 50_000:
-                    known.clear()
-                parts = [known.setdefault(w, np.fromiter(ngrams(w), np.int32)) if w not in known else known[w] for w in words_of(text)]
-                if parts:
-                    counts[label][np.unique(np.concatenate(parts))] += 1
+        counts, docs, every = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64), np.arange(BUCKETS)
+        for batch in (part for whole in batches for part in slices(whole)):
+            labels = np.asarray(batch.column("label"))
+            docs += np.bincount(labels, minlength=2)
+            text, feature = document_features(batch.column("text").to_pylist(), every)
+            np.add.at(counts, (labels[text], feature), np.int32(1))
         at = np.flatnonzero(counts.any(0)).astype(np.int32)
         yield pa.RecordBatch.from_pydict({"n0": [docs[0]], "n1": [docs[1]], "at": [at.tobytes()], "c0": [counts[0][at].tobytes()], "c1": [counts[1][at].tobytes()]})
 
@@ -94,24 +103,22 @@ def count_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts, docs
 
 
-def log_ratios(counts: np.ndarray, docs: np.ndarray) -> dict[int, float]:
-    """The log-count ratio of each kept feature."""
+def log_ratios(counts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept features and their log-count ratios."""
     ratio = np.log((counts[1] + 0.5) / (docs[1] + 1)) - np.log((counts[0] + 0.5) / (docs[0] + 1))
     good = np.flatnonzero((counts.sum(0) >= SEEN) & (np.abs(ratio) >= RATIO))
-    best = good[np.argsort(-np.abs(ratio[good]) * np.sqrt(counts.sum(0)[good]), kind="stable")[:KEPT]]
-    return {int(f): float(ratio[f]) for f in best}
+    return good, ratio[good]
 
 
-def logistic(rows: list[np.ndarray], labels: np.ndarray, n: int, steps: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient descent; rows: each document's (column, value) pairs, as two arrays."""
-    row = np.repeat(np.arange(len(rows)), [r.shape[1] for r in rows])
-    column, value = np.concatenate([r[0] for r in rows]).astype(np.int64), np.concatenate([r[1] for r in rows])
+def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, labels: np.ndarray, n: int, steps: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated gradient descent; the documents' values come as (row, column, value)."""
+    m = len(labels)
     weights, bias, velocity, push = np.zeros(n), 0.0, np.zeros(n), 0.0
-    rate = 1.0 / max(1.0, np.bincount(row, value**2, len(rows)).mean())
+    rate = 1.0 / max(1.0, np.bincount(row, value**2, m).mean())
     for _ in range(steps):
         ahead = weights + 0.9 * velocity
-        z = np.bincount(row, value * ahead[column], len(rows)) + bias + 0.9 * push
-        wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(rows)
+        z = np.bincount(row, value * ahead[column], m) + bias + 0.9 * push
+        wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / m
         velocity = 0.9 * velocity - rate * (np.bincount(column, value * wrong[row], n) + penalty * ahead)
         push = 0.9 * push - rate * wrong.sum()
         weights, bias = weights + velocity, bias + push
@@ -119,36 +126,35 @@ def logistic(rows: list[np.ndarray], labels: np.ndarray, n: int, steps: int = 30
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = written(labelled_texts(docs, labels, "toxic", EACH, LONGEST), "toxicity-sample")
+    sample = written(labelled_texts(docs, labels, "toxic", EACH), "toxicity-sample")
     counts, n = count_features(sample)
     if not n.all():
-        return Model({}, -30.0)
-    ratios = log_ratios(counts, n)
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+        return Model(np.zeros(0, np.int64), np.zeros(0), -30.0)
+    features, ratios = log_ratios(counts, n)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(features, ratios, 0.0))
 
     def make():
-        memo = WordFeatures(shared.value)
+        place = shared.value.place()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [np.array(sorted(features_of(t.as_py(), memo)), np.int32).tobytes() for t in batch.column("text")]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "found"])
+            text, found = document_features(batch.column("text").to_pylist(), place)
+            parts = np.split(found.astype(np.int32), np.searchsorted(text, np.arange(1, batch.num_rows)))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "label", "found"])
 
         return one
 
     seen = map_batches(sample.select("doc_id", "text", "label").repartition(PARTS, "doc_id"), "doc_id long, label int, found binary", make).toPandas().sort_values("doc_id")
-    order = {f: i for i, f in enumerate(ratios)}
-    scale = np.array(list(ratios.values()))
-    rows = []
-    for found in seen["found"]:
-        at = np.array([order[f] for f in np.frombuffer(found, np.int32).tolist()], np.int64)
-        rows.append(np.stack([at, scale[at]]) if len(at) else np.zeros((2, 0)))
-    weights, bias = logistic(rows, seen["label"].to_numpy(float), len(order))
-    return Model({f: float(weights[i] * ratios[f]) for f, i in order.items() if weights[i]}, bias)
+    found = [np.frombuffer(x, np.int32) for x in seen["found"]]
+    row, column = np.repeat(np.arange(len(found)), list(map(len, found))), np.concatenate(found).astype(np.int64)
+    weights, bias = logistic(row, column, ratios[column], seen["label"].to_numpy(float), len(features))
+    return Model(features, weights * ratios, bias)
 
 
-def probability(model: Model, found: set[int]) -> float:
-    z = model.bias + sum(model.weights[f] for f in sorted(found))
-    return 1 / (1 + exp(-min(30.0, max(-30.0, z))))
+def probabilities(model: Model, place: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's score, and how many kept features it has."""
+    text, found = document_features(texts, place)
+    z = model.bias + np.bincount(text, model.weights[found], len(texts))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.bincount(text, minlength=len(texts))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -156,12 +162,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        memo = WordFeatures(shared.value.weights)
+        model, place = shared.value, shared.value.place()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [features_of(t.as_py(), memo) for t in batch.column("text")]
-            scores = [probability(shared.value, x) for x in found]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([len(x) for x in found], pa.int32())], ["doc_id", "score", "features"])
+            scores, features = probabilities(model, place, batch.column("text").to_pylist())
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(features.astype(np.int32))], ["doc_id", "score", "features"])
 
         return one
 
@@ -173,11 +178,11 @@ def keep_clean(docs: DataFrame, model: Model, floor: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        memo = WordFeatures(shared.value.weights)
+        model, place = shared.value, shared.value.place()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = [probability(shared.value, features_of(t.as_py() or "", memo)) for t in batch.column(at)]
-            return batch.filter(pa.array([s < floor for s in scores], pa.bool_()))
+            scores, _ = probabilities(model, place, [t or "" for t in batch.column(at).to_pylist()])
+            return batch.filter(pa.array(scores < floor))
 
         return one
 

@@ -215,6 +215,44 @@ def test_chat_spans_and_rewrites(spark):
     assert out == counting.render([("", f"text {k}") for k in range(12)])
 
 
+@pytest.mark.parametrize("turns, at", [(60, 40), (400, 300), (300, 299)])
+def test_chat_finds_history_rewritten_against_a_declaration(spark, turns, at):
+    rewriting = chat.Template(lambda t: ("late\n" if len(t) > at else "") + "".join(f"[{r}]{x}|" for r, x in t), context=1)
+    rows = [(1, k, "user", f"text {k}") for k in range(turns)]
+    found = chat.format_turns(spark.createDataFrame(rows, TURNS), rewriting).orderBy("seq").collect()
+    out = ""
+    for r in found:
+        out = out[: r["start"]] + r["piece"]
+    assert any(r["rewritten"] for r in found) and out == rewriting.render([("user", f"text {k}") for k in range(turns)])
+
+
+def test_exact_dedup_owners(spark):
+    """A bucket's rows lie in one partition, owners hold ranges of buckets, and the directory decides on the buckets."""
+    docs = spark.createDataFrame(rows_of((i, f"text {i // 2}") for i in range(800)), DOCS)
+    texts = exact_dedup.keyed(docs, 64)
+    layouts = {}
+    for capacity in (8, 100):
+        slots, depth = exact_dedup.directory(texts.select("key").distinct(), 64, capacity)
+        entries = exact_dedup.chained(texts, slots, 64, depth)
+        rows = entries.withColumn("task", F.spark_partition_id()).collect()
+        assert len(rows) == 400 and all(r["group_size"] == 2 for r in rows)
+        owners = {}
+        for r in rows:
+            owners.setdefault(r["bucket"], set()).add(r["task"])
+        assert all(len(t) == 1 for t in owners.values())
+        ordered = [min(owners[b]) for b in sorted(owners)]
+        assert ordered == sorted(ordered)
+        layouts[capacity] = len(owners)
+    assert layouts[8] > 40 > layouts[100] >= 4
+
+
+def test_ngram_join_same_id_with_several_texts(spark):
+    a, b, c = ("a b c d e f g h i j", "p q r s t u v w x y", "k l m n o a1 b1 c1")
+    docs = spark.createDataFrame(rows_of([(5, a), (5, b), (2, a), (9, b), (7, c), (None, a), (None, "z z1 z2 z3 z4 z5")]), DOCS)
+    rows = sorted((x["doc_id"] or 0, x["component_id"] or 0) for x in ngram_join.join_components(docs).collect())
+    assert rows == [(0, 0), (0, 2), (2, 2), (5, 2), (5, 2), (7, 7), (9, 2)]
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -119,10 +120,35 @@ def test_toxicity_without_labels(spark, learned):
     model = toxicity.fit(docs, labels.where("doc_id < 0"))
     assert toxicity.score(docs, model).where("score > 0.001").count() == 0
     nulls = spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int")
-    assert toxicity.fit(docs, nulls).weights == {}
+    assert len(toxicity.fit(docs, nulls).weights) == 0
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_features_against_a_loop():
+    def grams(text):
+        return {(w, w[i : i + n]) for w in (f"<{x}>" for x in text.lower().split()) for n in toxicity.SIZES for i in range(len(w) - n + 1)}
+
+    r = random.Random(3)
+    texts = ["", " \n", *(" ".join("".join(r.choice("abé日") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 40))) for _ in range(30))]
+    every = np.arange(toxicity.BUCKETS)
+    hashed = {}  # of each n-gram, by a word that is looked at alone
+    for text in texts:
+        for w in set(text.lower().split()):
+            names = [f"<{w}>"[i : i + n] for n in toxicity.SIZES for i in range(len(w) + 3 - n)]
+            for name, f in zip(names, toxicity.ngrams([w])[1].tolist(), strict=True):
+                assert hashed.setdefault(name, f) == f
+    text, feature = toxicity.document_features(texts, every)
+    for i, t in enumerate(texts):
+        assert sorted(feature[text == i].tolist()) == sorted({hashed[g] for _, g in grams(t)})
+    kept = np.array(sorted(set(hashed.values()))[::3])
+    model = toxicity.Model(kept, np.random.default_rng(1).normal(size=len(kept)), -0.3)
+    got = toxicity.probabilities(model, model.place(), texts)[0]
+    weight = dict(zip(kept.tolist(), model.weights.tolist(), strict=True))
+    for i, t in enumerate(texts):
+        z = -0.3 + sum(weight.get(f, 0.0) for f in {hashed[g] for _, g in grams(t)})
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_quality(spark, learned, odd):
     docs, labels = learned
     net = quality.fit(docs, quality.learning(labels))
@@ -194,13 +220,29 @@ def test_langid_reads_all_of_a_text_without_spaces(spark, learned):
     assert rows[4]["labels"] == ["en", "en", "de"]
 
 
+def named_features(w):
+    return [f"={w}", f"^{w[:2]}", f"^{w[:3]}", *(f"${w[-k:]}" for k in (1, 2, 3)), *(w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1))]
+
+
+def test_langid_features_are_the_named_ones(monkeypatch):
+    monkeypatch.setattr(langid, "BITS", 60)  # so many buckets that no two features share one
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdé日ß") for _ in range(r.randrange(1, 9))) for _ in range(60)]
+    word, feature = langid.features(words)
+    for i, w in enumerate(words):
+        alone = langid.features([w])[1]  # the same whatever stands around
+        assert sorted(feature[word == i]) == sorted(alone) and len(alone) == len(named_features(w))
+    shared = lambda x, y: (Counter(x) & Counter(y)).total()
+    for x in words[:30]:
+        for y in words[30:]:
+            assert shared(langid.features([x])[1].tolist(), langid.features([y])[1].tolist()) == shared(named_features(x), named_features(y))
+
+
 def test_langid_pieces_have_each_character_and_gram_once():
-    names = type("Names", (dict,), {"__missing__": lambda self, x: x})()
     word = "".join(random.Random(1).choice("abcdé日") for _ in range(3 * langid.WORD + 7))
-    found = sorted(f for p in langid.pieces(word) for f in langid.features(p, names))
-    n = len(word)
-    grams = [word[i : i + k] for k in (1, 2, 3) for i in range(n - k + 1)]
-    assert found == sorted([*grams, f"^{word[:2]}", f"^{word[:3]}", *(f"${word[-k:]}" for k in (1, 2, 3))])
+    found = Counter(langid.features(langid.pieces(word))[1].tolist())
+    whole = Counter(langid.features([word])[1].tolist())  # the word uncut has one more, itself
+    assert len(langid.pieces(word)) == 4 and found <= whole and (whole - found).total() == 1
 
 
 def test_forward_backward_against_paths():
@@ -267,3 +309,136 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert cost("password") < cost("passwird") < cost("pqxswird")
     assert cost("20240131") < cost("20249931") and cost("qwertyui") < cost("qazlpmei") and cost("abababab") < cost("abqzapxb")
     assert cost("x" * 5000) < 10 and cost("") == 0
+
+
+def plain_cost(value, words):
+    """The same prices, with every segment of every kind tried at every place."""
+    near, lower = secrets._neighbours(), value.lower()
+
+    def step(a, b):
+        return ord(b) - ord(a) if abs(ord(b) - ord(a)) == 1 else 2 if b in near.get(a, ()) else None
+
+    best = [0.0]
+    for end in range(1, len(value) + 1):
+        ways = [best[-1] + secrets.BRUTE]
+        for start in range(end):
+            part, low = value[start:end], lower[start:end]
+            if low in words and end - start > 2:
+                ways.append(best[start] + 0.3 + words[low] + (0 if part == low else 0.5))
+            elif low.translate(secrets.LEET) in words and end - start > 2:
+                ways.append(best[start] + 0.3 + words[low.translate(secrets.LEET)] + 0.8)
+            if (m := secrets.DATE.match(value, start)) and m.end() == end:
+                ways.append(best[start] + 0.3 + (secrets.DAY if end - start > 4 else 2.1))
+            for p in range(1, 5):
+                if (end - start) % p == 0 and (end - start) // p > 1 and part == part[:p] * ((end - start) // p):
+                    ways.append(best[start] + 0.3 + secrets.BRUTE * p + secrets.AGAIN * math.log10(1 + (end - start) // p))
+            steps = {step(a, b) for a, b in zip(low, low[1:], strict=False)}
+            if end - start > 2 and len(steps) == 1 and None not in steps:
+                ways.append(best[start] + 0.3 + 1.5 + secrets.STEP * (end - start - 1) ** 0.5)
+        best.append(min(ways))
+    return best[-1]
+
+
+def test_guess_cost_against_all_segmentations():
+    words = {"pass": 0.5, "word": 0.7, "password": 0.3, "a" * 30: 0.2, "secret": 1.1}
+    assert secrets.guess_cost("111111990", {}) == pytest.approx(plain_cost("111111990", {}))
+    r = random.Random(12)
+    pieces = ["pass", "WORD", "p4ss", "s3cret", "1990", "20240131", "31.12.2020", "abcdef", "qwerty", "987", "zaq", "x", "Q", "7", "!", "aaaa", "ababab", "1111", "a" * 30, "İ"]
+    for _ in range(600):
+        value = "".join(r.choice(pieces) for _ in range(r.randrange(1, 7)))
+        value = value if r.random() < 0.7 else "".join(r.choice("12ab9s") for _ in range(r.randrange(1, 25)))
+        if len(value.lower()) == len(value):
+            assert secrets.guess_cost(value, words) == pytest.approx(plain_cost(value, words), abs=1e-9), value
+    start = time.monotonic()
+    for value in ("qw" * 60_000, "abcdefg" * 10_000, "1" * 100_000):
+        secrets.guess_cost(value, words)
+    assert time.monotonic() - start < 30
+
+
+def test_secret_values_in_quotes_are_whole():
+    words = secrets.ranked_words(RANKS)
+    text = """password = "Zq8#,kP2!;vL5n" and secret: 'Xr(7)[w]9{k}Qv' and token=Kx9(Vb"""
+    assert [text[a:b] for a, k, b in secrets.find_spans(text, words) if k == 3] == ["Zq8#,kP2!;vL5n", "Xr(7)[w]9{k}Qv"]
+
+
+def naive_base(text):
+    """The base kinds by a walk over the text, without the operator's patterns."""
+    found = []
+
+    def run(at, chars):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return end
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    value_chars = set(letters + letters.upper() + "0123456789+/_.=-")
+    at = 0
+    while at < len(text):  # assign
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if all(c.isascii() and c.lower() == n for c, n in zip(text[at : at + len(name)], name, strict=False)) and len(text) - at >= len(name):
+                p = at + len(name)
+                p += text[p : p + 1] in ('"', "'") and text[p : p + 1] != ""
+                p = run(p, " ")
+                if text[p : p + 1] not in (":", "="):
+                    continue
+                p = run(p + 1, " ")
+                p += text[p : p + 1] in ('"', "'") and text[p : p + 1] != ""
+                end = run(p, value_chars)
+                if end > p:
+                    if end - p >= 12:
+                        found.append((at, 0, end))
+                    at = end - 1
+                    break
+        at += 1
+    at = 0
+    while at < len(text):
+        end = run(at + 4, set(letters.upper() + "0123456789")) if text.startswith("AKIA", at) else at
+        if end > at + 4:
+            found += [(at, 1, end)] if end - at >= 18 else []
+            at = end
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = run(at, set("0123456789abcdef"))
+        found += [(at, 2, end)] if end - at >= 16 else []
+        at = max(end, at + 1)
+    return sorted(found)
+
+
+def test_base_spans_against_a_walk():
+    r = random.Random(5)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "apıkey", ":", "=", " ", '"', "'", "abcdef012345", "A1b2C3d4", "AKIA", "ABCDEFGHIJKLMN", "deadbeef", "0123456789abcdef", ", ", "\n", "ſecret", "é", "x"]
+    for _ in range(3000):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(0, 30)))
+        assert [s for s in secrets.find_spans(text, {}) if s[1] < 3] == naive_base(text), text
+
+
+def test_secrets_repeated_rows_and_long_values(spark):
+    value = "token=" + "Ab3+" * 50_000
+    docs = spark.createDataFrame([(1, value), (1, value), (2, "é" + value)], "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    rows = sorted((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in secrets.scan(docs, RANKS).collect())
+    assert rows[0] == rows[1] and rows[0][1][0] == ("assign", 0, len(value)) and rows[2][1][0] == ("assign", 1, 1 + len(value))
+
+
+def test_quality_network_against_a_loop():
+    net = quality.Network.random(4)
+    r = random.Random(2)
+    texts = [b"", b"a", bytes(r.randrange(256) for _ in range(263)), "日本 words ".encode() * 90, bytes(r.randrange(97, 110) for _ in range(5000))]
+
+    def loop(data):
+        step, units = quality.CHUNK - quality.OVERLAP, []
+        for at in range(0, max(1, len(data) - quality.OVERLAP), step):
+            chunk = [*data[at : at + quality.CHUNK]]
+            chunk += [quality.PAD] * (quality.CHUNK - len(chunk))
+            most = np.full(quality.FILTERS, -np.inf)
+            for place in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                most = np.maximum(most, net.embed[chunk[place : place + quality.WIDTH]].astype(float).reshape(-1) @ net.filters)
+            units.append(np.maximum(np.tanh(most + net.floor) @ net.hidden + net.offset, 0))
+        z = np.concatenate([np.max(units, 0), np.mean(units, 0)]) @ net.out + net.bias[0]
+        return 1 / (1 + math.exp(-z))
+
+    want = [loop(t) for t in texts]
+    assert quality.probabilities(net, texts) == pytest.approx(want, abs=1e-4)
+    assert [quality.probability(net, t) for t in texts] == pytest.approx(want, abs=1e-4)
