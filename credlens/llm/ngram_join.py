@@ -207,14 +207,27 @@ def star_pairs(rows: DataFrame, by: str) -> DataFrame:
 
 def other_pairs(rows: DataFrame) -> DataFrame:
     """Distinct candidate pairs a < b of members in different components. The larger one looks in the bins that hold the
-    sizes it can link with."""
+    sizes it can link with.
+
+    Members with the same buckets, places and size (of a common passage and little else) meet in each of those buckets; so one
+    stands for all of them (`pattern`), and pairs of patterns, each once, are turned into pairs of members in the end."""
+    digest = [F.sum(F.xxhash64("sig", "reach", F.lit(seed)).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    like = rows.groupBy("rep", "component", "n").agg(*digest)
+    patterns = like.groupBy("n", "h1", "h2").agg(F.min("rep").alias("pattern"), F.min("component").alias("low"), F.max("component").alias("high"))
+    patterns = written(patterns, "patterns")
+    held = written(like.join(patterns, ["n", "h1", "h2"]).select("rep", "component", "pattern"), "members")
+    rows = rows.join(patterns.select(F.col("pattern").alias("rep"), "n", "low", "high"), ["rep", "n"])
     log = float(np.log(BIN))
     low, high = F.floor(F.log(F.col("n") * 0.75) / log) - 1, F.floor(F.log(F.least(F.col("n"), (F.col("reach") * 7.0 / 3.0) - F.col("n")) + 0.5) / log) + 1
     looking = rows.where("7 * reach >= 5.25 * n").withColumn("bin", F.explode(F.sequence(low.cast("int"), F.greatest(low, high).cast("int"))))
     standing = rows.where("7 * reach >= 6 * n")
-    condition = F.expr(f"x.sig = y.sig and x.bin = y.bin and x.component <> y.component and (x.n > y.n or x.n = y.n and x.rep > y.rep) and {CAN_LINK}")
-    found = looking.alias("x").join(standing.alias("y"), condition)
-    return found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    apart = "(x.low <> x.high or y.low <> y.high or x.low <> y.low)"
+    condition = F.expr(f"x.sig = y.sig and x.bin = y.bin and {apart} and (x.n > y.n or x.n = y.n and x.rep >= y.rep) and {CAN_LINK}")
+    found = looking.alias("x").join(standing.alias("y"), condition).select(F.col("x.rep").alias("p"), F.col("y.rep").alias("q")).distinct()
+    x = held.select(F.col("pattern").alias("p"), F.col("rep").alias("x"), F.col("component").alias("x_component"))
+    y = held.select(F.col("pattern").alias("q"), F.col("rep").alias("y"), F.col("component").alias("y_component"))
+    pairs = found.join(x, "p").join(y, "q").where("x_component <> y_component and (p <> q or x < y)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
