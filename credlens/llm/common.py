@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,7 +42,9 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
         for batch in batches:
             if batch.num_rows:
                 yield from map(one, slices(batch))
-        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
+        del one
+        gc.collect()  # the worker stays for other tasks: what this one has held, memos that refer to themselves too, goes
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
