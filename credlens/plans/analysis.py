@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import anomaly, changepoint, correlation, digits, drift, outliers, physical, profile, sampling, smoothness, timeseries
 from ..operators.ordered import BLOCK, Ordered, ordered
@@ -46,13 +47,12 @@ def series_of(df: DataFrame, found: profile.Profile, block: int = BLOCK) -> Orde
     return ordered(df, found.numeric, [*([found.time] if found.time else []), profile.ROW], block)
 
 
-def indicator_results(df: DataFrame, found: profile.Profile, selected: Sequence[str], scenario: str | None, mismatch: float = 0.0, skipped: int = 0, block: int = BLOCK) -> DataFrame:
-    """Only the selected indicators become part of the plan. The ordered series is kept for all of them."""
+def indicator_results(df: DataFrame, found: profile.Profile, selected: Sequence[str], scenario: str | None, mismatch: float = 0.0, skipped: int = 0, block: int = BLOCK, series: Ordered | None = None) -> DataFrame:
+    """Only the selected indicators become part of the plan. series: the table's ordered series, if the caller keeps them."""
     prepared = profile.prepare(df, found)
     parts = []
     if wanted := [n for n in selected if n in config.COLUMN]:
-        series = series_of(prepared, found, block)
-        series = Ordered(series.rows.persist(), series.counts, series.block)
+        series = series or series_of(prepared, found, block)
         parts += [COLUMN_INDICATORS[n](series) for n in wanted]
     if "sampling" in selected:
         parts.append(sampling.sampling(prepared, found.time, mismatch, skipped, block))
@@ -72,12 +72,16 @@ def analyze(df: DataFrame, scenario: str | None = "auto", indicators=None, *, mi
     selected = config.selection(indicators)
     out = Analysis(found, profile.screening(df, found), selected, config.weights(selected, scenario), preview=profile.preview(df, found))
     if found.numeric:
-        # the results number a row for each column and indicator
-        out.results = df.sparkSession.createDataFrame(indicator_results(df, found, selected, scenario, mismatch, skipped, block).collect(), results_schema())
+        series = series_of(profile.prepare(df, found), found, block)
+        series = Ordered(series.rows.persist(), series.counts, series.block)  # for all column indicators
+        try:  # the results number a row for each column and indicator
+            out.results = df.sparkSession.createDataFrame(indicator_results(df, found, selected, scenario, mismatch, skipped, block, series).collect(), results_schema())
+        finally:
+            series.rows.unpersist()
         scores = scoring.sub_scores(out.results, selected)
         out.sub_scores = {r["indicator"]: r["score"] for r in scores.orderBy("seq").collect()}
         out.total = scoring.total(scores, out.weights).first().asDict()
-        out.reasons = [r["reason"] for r in scoring.top_reasons(out.results).collect()]
+        out.reasons = scoring.reasons(out.results, found.numeric, out.total["adjustment"])
     return out
 
 
@@ -102,11 +106,11 @@ def analyze_workbook(book: Workbook, scenario: str | None = "auto", indicators=N
     rolled = scoring.roll_up(spark.createDataFrame(rows, "sheet string, rows long, indicator string, score double"))
     found = profile.profile(book.df, block)
     out = Analysis(found, profile.screening(book.df, found), first.selected, first.weights, sheets=sheets, strategy="separate", preview=profile.preview(book.df, found))
-    prefixed = [a.results.selectExpr(f"concat('{n}', ' / ', column) as column", *[c for c in a.results.columns if c != "column"]) for n, a in sheets.items()]
+    prefixed = [a.results.withColumn("column", F.concat(F.lit(f"{n} / "), "column")) for n, a in sheets.items()]
     out.results = reduce(lambda a, b: a.unionByName(b), prefixed)
     out.sub_scores = {r["indicator"]: r["score"] for r in rolled.collect()}
     out.total = scoring.total(rolled, first.weights).first().asDict()
-    out.reasons = [r["reason"] for r in scoring.top_reasons(out.results).collect()]
+    out.reasons = scoring.reasons(out.results, [f"{n} / {c}" for n, a in sheets.items() for c in a.profile.numeric], out.total["adjustment"])
     return out
 
 

@@ -13,7 +13,7 @@ from ..sources.readers import union_by_name, with_rows
 from ..sources.workbook import jaccard, sheet_strategy
 from ..streaming.windows import windowed_checks
 from . import config, oracles, scoring
-from .analysis import indicator_results
+from .analysis import analyze, indicator_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,6 +188,14 @@ def top_reasons_events(spark: SparkSession, d: str) -> DataFrame:
     return scoring.top_reasons(indicator_results(df, found, ["smoothness", "digit", "physical", "sampling"], "auto"))
 
 
+@query("analysis_events")
+def analysis_events(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way of one table: profile, all indicators but the models, weights, total with its guardrail, first reason."""
+    found = analyze(table(spark, d, "events"), "auto", [n for n in config.ALL if n != "ml_anomaly"])
+    rows = [(n, s, found.weights[n], found.total["raw_total_score"], found.total["total_score"], found.total["risk_level"], found.reasons[0]) for n, s in found.sub_scores.items()]
+    return spark.createDataFrame(rows, "indicator string, score double, weight double, raw_total_score double, total_score double, risk_level string, first_reason string")
+
+
 @query("sheet_weighted_rollup", oracles.ROLLUP)
 def sheet_weighted_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Event types as sheets: each sheet's rule scores, weighted by its rows."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,13 +41,28 @@ def guarded(sums: DataFrame) -> DataFrame:
     return out.select("*", risk_level(F.col("total_score")).alias("risk_level"))
 
 
-def top_reasons(results: DataFrame, n: int = TOP) -> DataFrame:
-    """rank, score and reason: of the lowest scores first, in the order of the indicators; informational ones are left out."""
+#: What is said if there is nothing to say.
+NOTHING = "No clear high-risk pattern was found. Go on with the instruments, the crop and the rules of the field in mind."
+
+
+def top_reasons(results: DataFrame, n: int = TOP, columns: Sequence[str] = ()) -> DataFrame:
+    """score and reason, of the lowest scores first; informational ones are left out. Ties stand in the order of columns (by
+    name, where it isn't given), then come those of the correlation, then those of the other checks of whole tables."""
     order = F.array_position(F.array(*map(F.lit, config.ALL)), F.col("indicator"))
-    name = F.when(F.col("column") == "(table)", F.col("indicator")).otherwise(F.col("column"))
-    rows = results.select("column", "score", order.alias("seq"), F.posexplode("reasons").alias("k", "r"), name.alias("name")).where("not r.informational")
-    kept = rows.orderBy("score", F.col("column") == "(table)", "column", "seq", "k").limit(n)
-    return kept.select("score", F.concat_ws(": ", "name", "r.text").alias("reason"))
+    of_table = F.col("column").eqNullSafe("(table)") | F.col("column").endswith(" / (table)")
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("column")) if columns else F.lit(0)
+    group = F.when(~of_table, 0).when(F.col("indicator") == "correlation", 1).otherwise(2)
+    label = F.regexp_replace("column", r"\(table\)$", "")
+    name = F.when(~of_table, F.col("column")).when(F.col("indicator") == "correlation", F.regexp_replace(label, " / $", "")).otherwise(F.concat(label, "indicator"))
+    rows = results.select("column", "score", order.alias("seq"), group.alias("group"), place.alias("place"), name.alias("name"), F.posexplode("reasons").alias("k", "r")).where("not r.informational")
+    kept = rows.orderBy("score", "group", "place", "column", "seq", "k").limit(n)
+    return kept.select("score", F.concat_ws(": ", F.when(F.col("name") != "", F.col("name")), "r.text").alias("reason"))
+
+
+def reasons(results: DataFrame, columns: Sequence[str], adjustment: str | None) -> list[str]:
+    """What is told of an analysis: why the total was capped, then the top reasons, or that there are none."""
+    found = [r["reason"] for r in top_reasons(results, columns=columns).collect()] or [NOTHING]
+    return [*([adjustment] if adjustment else []), *found]
 
 
 def roll_up(per_sheet: DataFrame) -> DataFrame:

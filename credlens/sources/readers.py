@@ -20,9 +20,10 @@ def with_rows(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, every column text, missing values null, and rows in the order of the file."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV file with a header, every column text, missing values null, and rows in the order of the file. multi_line: quoted
+    values may hold line breaks; such a file can't be split and is read by one task."""
+    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line).option("escape", '"').csv(path)
     cleaned = [F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns]
     numbered = df.select("*", F.col("_metadata.file_path").alias("_p"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
     return numbered.select(*cleaned, F.struct("_p", "_b", "_m").alias("_at")).transform(_placed)

@@ -150,6 +150,18 @@ def test_top_reasons(spark):
     reason = lambda t, i=False: {"text": t, "informational": i}
     rows = [("b", "digit", 9, 80.0, "ok", {}, [reason("late")]), ("a", "smoothness", 9, 40.0, "attention", {}, [reason("first"), reason("hidden", True)]), ("(table)", "sampling", 9, 82.0, "ok", {}, [reason("no time", True)])]
     assert [r["reason"] for r in scoring.top_reasons(spark.createDataFrame(rows, RESULTS)).collect()] == ["a: first", "b: late"]
+    ties = [("(table)", "physical", 9, 40.0, "ok", {}, [reason("p")]), ("s / (table)", "correlation", 9, 40.0, "ok", {}, [reason("c")]), ("(table)", "correlation", 9, 40.0, "ok", {}, [reason("d")]), ("a", "digit", 9, 40.0, "ok", {}, [reason("x")]), ("b", "digit", 9, 40.0, "ok", {}, [reason("y")])]
+    found = spark.createDataFrame(ties, RESULTS)
+    assert scoring.reasons(found, ["b", "a"], "capped") == ["capped", "b: y", "a: x", "d", "s: c", "physical: p"]
+    assert scoring.reasons(found.limit(0), [], None) == [scoring.NOTHING]
+
+
+def test_csv_line_breaks_in_quotes(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('a,b\n"1\n2",x\n3,NA\n')
+    from credlens.sources.readers import read_csv
+
+    assert [(r["a"], r["b"]) for r in read_csv(spark, str(path), multi_line=True).collect()] == [("1\n2", "x"), ("3", None)]
 
 
 def test_stream_agrees_with_batch(spark, small, tmp_path):
