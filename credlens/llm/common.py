@@ -61,9 +61,10 @@ BROADCAST = 1_000_000
 def among(df: DataFrame, ids: DataFrame, key: str, keep: bool) -> DataFrame:
     """The rows of df whose key is (keep) or isn't among ids, a table of distinct ids in column `id`. Few ids are broadcast, so that
     rows with whole texts stay where they are. A null key is never among them."""
-    ids = ids.select(F.col("id").alias("_among_id"))
+    name = max(df.columns, key=len) + "_id"  # longer than any of df's
+    ids = ids.select(F.col("id").alias(name))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
-    return df.join(ids, F.col(key).cast("long") == F.col("_among_id"), "left_semi" if keep else "left_anti")
+    return df.join(ids, F.col(key).cast("long") == F.col(name), "left_semi" if keep else "left_anti")
 
 
 def fold(doc_id: str, n: int) -> Column:

@@ -121,8 +121,7 @@ def take(docs: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs. Rows stay where they are; the
     sources' plan is joined to them. Rows without words may be left out or taken like others of their hash."""
     _, wanted = plan(docs, weights)
-    wanted = wanted.select(F.struct("of", "times", "below").alias("_plan"))
-    mixed = docs.join(wanted, docs["source"].cast("string").eqNullSafe(F.col("_plan.of")))
-    copies = F.col("_plan.times") + F.when(id_hash(docs["doc_id"].cast("long")) < F.col("_plan.below"), 1).otherwise(0)
-    mixed = mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    return mixed.select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"))  # so that no name of docs can clash
+    mixed = rows.join(wanted, F.col("row.source").cast("string").eqNullSafe(F.col("of")))
+    copies = times(id_hash(F.col("row.doc_id").cast("long"))).cast("int")
+    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")

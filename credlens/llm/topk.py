@@ -1,10 +1,12 @@
 """Exact top-k by inner product: term-at-a-time accumulation over blocks.
 
 A vector is a sparse row of integer weights, its components being the terms. Candidates and queries are packed into blocks
-of a fixed number of rows; each pair of a query block and a candidate block is one row of work, so that no task holds more
-than two blocks and their score array, whatever the number of vectors. In a block each term has a posting list (positions
+of bounded size; each pair of a query block and a candidate block is one row of work, so that no task holds more than two
+blocks and a score array, whatever the number of vectors. All pairs of blocks have to meet; large blocks keep the bytes that
+this moves small, and inside them tiles of rows meet one after another. In a tile each term has a posting list (positions
 and weights). For each term, the query rows' weights are multiplied with the postings and scattered into dense score
-arrays; partition selection keeps what reaches the k-th score, and a window merges the blocks' results exactly.
+arrays; partition selection keeps what reaches the k-th score, once a tile and once a block, and a window merges the blocks'
+results exactly.
 
 Vectors that are null, or hold a null or a non-finite component, take no part. Shorter vectors lack the later terms. Equal
 scores rank by smaller id; rows repeating an id are separate candidates (none is its own query's); a null id takes no part.
@@ -24,7 +26,8 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-#: Rows of a block of candidates and of queries.
+#: Weights and ids that a block holds (8 bytes each; one vector at least), and rows of a tile of candidates and of queries.
+CELLS = 1 << 20
 CANDIDATES, QUERIES = 4096, 512
 
 
@@ -35,32 +38,53 @@ def sparse_rows(vectors: DataFrame, scale: int) -> DataFrame:
     return vectors.where(sound).select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * F.lit(float(scale)))).alias("weights"))
 
 
-def _packed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of up to that many rows: ids, row starts, and weights, as bytes."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            weights = part.column("weights")
-            lengths = np.asarray(pc.list_value_length(weights), np.int64)
-            flat = np.asarray(weights.flatten(), np.int64)
-            ids = np.asarray(part.column("id"), np.int64)
-            yield pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "lengths": [lengths.tobytes()], "flat": [flat.tobytes()]})
+def _packed(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of up to that many weights and ids: ids, lengths of rows, and weights, as bytes."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    used = 0
 
+    def block() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({name: [b"".join(x.tobytes() for x in parts)] for name, parts in zip(("ids", "lengths", "flat"), zip(*held, strict=True), strict=True)})
 
-def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    for batch in batches:
+        weights = batch.column("weights")
+        lengths = np.asarray(pc.list_value_length(weights), np.int64)
+        flat = np.asarray(weights.flatten(), np.int64)
+        ids = np.asarray(batch.column("id"), np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        size = np.concatenate([[0], np.cumsum(lengths + 1)])
+        at = 0
+        while at < len(ids):
+            to = int(np.searchsorted(size, size[at] + cells - used, side="right")) - 1
+            if to <= at and not used:
+                to = at + 1
+            if to > at:
+                held.append((ids[at:to], lengths[at:to], flat[ends[at] : ends[to]]))
+                used += int(size[to] - size[at])
+                at = to
+            if at < len(ids):
+                yield block()
+                held, used = [], 0
+    if held:
+        yield block()
+
+
+def blocks(rows: DataFrame, cells: int, name: str) -> DataFrame:
     """Numbered blocks. Numbers come from the rows' partitions, no rows are gathered."""
-    packed = rows.mapInArrow(lambda batches: _packed(batches, size), "ids binary, lengths binary, flat binary")
+    packed = rows.mapInArrow(lambda batches: _packed(batches, cells), "ids binary, lengths binary, flat binary")
     return written(packed.withColumn(name, F.monotonically_increasing_id()), name)
 
 
-def _unpacked(ids: bytes, lengths: bytes, flat: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, and a dense (rows, terms) array that has 0 where a row lacks a term."""
-    n, values = np.frombuffer(lengths, np.int64), np.frombuffer(flat, np.int64)
-    out = np.zeros((len(n), int(n.max(initial=0))), np.int64)
-    starts = np.cumsum(n) - n
-    row = np.repeat(np.arange(len(n)), n)
-    out[row, np.arange(len(values)) - np.repeat(starts, n)] = values
-    return np.frombuffer(ids, np.int64), out
+def _tiles(ids: bytes, lengths: bytes, flat: bytes, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A block's tiles: ids, and a dense (rows, terms) array that has 0 where a row lacks a term."""
+    numbers, every, values = (np.frombuffer(x, np.int64) for x in (ids, lengths, flat))
+    ends = np.concatenate([[0], np.cumsum(every)])
+    for at in range(0, len(every), rows):
+        n = every[at : at + rows]
+        out = np.zeros((len(n), int(n.max(initial=0))), np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = values[ends[at] : ends[at] + len(row)]
+        yield numbers[at : at + rows], out
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -89,28 +113,35 @@ def select(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            qids, queries = _unpacked(row["q_ids"], row["q_lengths"], row["q_flat"])
-            ids, candidates = _unpacked(row["ids"], row["lengths"], row["flat"])
-            scores = accumulate(queries, candidates)
-            found = [select(scores[i], ids, q, k) for i, q in enumerate(qids)]
-            query = np.repeat(np.arange(len(qids)), [len(x) for x in found])
-            at = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"query_id": qids[query], "vec_id": ids[at], "score": scores[query, at]})
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
+    """Of each row of work, the k best candidates of the block for each query."""
+    for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)):
+        for qids, queries in _tiles(row["q_ids"], row["q_lengths"], row["q_flat"], QUERIES):
+            found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in qids]
+            for ids, candidates in _tiles(row["ids"], row["lengths"], row["flat"], CANDIDATES):
+                scores = accumulate(queries, candidates)
+                for i, q in enumerate(qids):
+                    at = select(scores[i], ids, q, k)
+                    found[i].append((ids[at], scores[i, at]))
+            best = []
+            for q, parts in zip(qids, found, strict=True):
+                ids, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+                at = select(scores, ids, q, k)
+                best.append((np.repeat(q, len(at)), ids[at], scores[at]))
+            query, vec, score = (np.concatenate(x) for x in zip(*best, strict=True))
+            yield pa.RecordBatch.from_pydict({"query_id": query, "vec_id": vec, "score": score})
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, cells: int = CELLS) -> DataFrame:
     """query_id, rank, vec_id and score: the k best candidates of each row that is_query (a condition on id) holds for.
 
     Repeated query ids are searched once."""
     rows = sparse_rows(vectors, scale)
-    candidates = blocks(rows, CANDIDATES, "block")
-    queries = blocks(rows.where(is_query).dropDuplicates(["id"]), QUERIES, "query_block")
+    candidates = blocks(rows, cells, "block")
+    queries = blocks(rows.where(is_query).dropDuplicates(["id"]), cells, "query_block")
     queries = queries.select("query_block", F.col("ids").alias("q_ids"), F.col("lengths").alias("q_lengths"), F.col("flat").alias("q_flat"))
     # the work list, a row for each pair of blocks: blocks are numbered, and a candidate block takes its turn with each query block
     n = queries.count()
-    numbers = queries.select("query_block", (F.row_number().over(Window.orderBy("query_block")) - 1).alias("turn"))  # a row for each QUERIES queries
+    numbers = queries.select("query_block", (F.row_number().over(Window.orderBy("query_block")) - 1).alias("turn"))  # a row a block of queries
     turns = candidates.select("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("turn")) if n else candidates.select("block", F.lit(0).alias("turn"))
     work = turns.join(numbers, "turn").join(candidates, "block").join(queries, "query_block")
     found = work.select("q_ids", "q_lengths", "q_flat", "ids", "lengths", "flat").mapInArrow(lambda batches: _search(batches, k), "query_id long, vec_id long, score long")

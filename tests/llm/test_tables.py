@@ -5,10 +5,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from credlens.llm import chat, exact_dedup, mixing, ngram_join, topk
+from credlens.llm.common import among
 from credlens.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -90,12 +92,13 @@ def test_mixing_one_source_and_ties(spark):
     assert {x["taken"] for x in mixing.mix(docs).collect() if x["doc_id"] == 1} == {2}
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("cells", [topk.CELLS, 100, 1])
+def test_topk(spark, cells):
     r = np.random.default_rng(1)
     vectors = [(i, r.normal(size=8).round(2).tolist()) for i in range(260)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, [1.0, 2.0]), (305, []), (None, [1.0] * 8), (7, [0.5] * 8)]
     vectors += [(400 + k, [0.25] * 8) for k in range(30)]  # ties
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")).withColumn("score", F.lit("clash"))
-    found = topk.top_k(df, F.col("id") % 100 == 0).collect()
+    found = topk.top_k(df, F.col("id") % 100 == 0, cells=cells).collect()
     good = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, x in good:
@@ -108,6 +111,26 @@ def test_topk(spark):
     assert [tuple(x) for x in topk.top_k(few, F.col("id") % 100 == 0).collect()] == [(0, 1, 1, 2097152)]
 
 
+def test_topk_blocks_and_tiles():
+    vectors = [(i, [i + t for t in range(i % 5)]) for i in range(23)]
+    batches = [pa.RecordBatch.from_pydict({"id": [i for i, _ in some], "weights": pa.array([v for _, v in some], pa.list_(pa.int64()))}) for some in (vectors[:9], vectors[9:10], vectors[10:])]
+    for cells in (1, 7, 1000):
+        blocks = [b for batch in topk._packed(iter(batches), cells) for b in batch.to_pylist()]
+        assert all(len(b["ids"]) + len(b["flat"]) <= 8 * cells or len(b["ids"]) == 8 for b in blocks)
+        tiles = [t for b in blocks for t in topk._tiles(b["ids"], b["lengths"], b["flat"], 3)]
+        assert all(len(ids) <= 3 for ids, _ in tiles)
+        assert [(i, [w for w in x.tolist() if w]) for ids, rows in tiles for i, x in zip(ids.tolist(), rows, strict=True)] == [(i, [w for w in v if w]) for i, v in vectors]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame(rows_of([(1, "a b"), (2, "c"), (3, "d e f")]), DOCS)
+    for name in ("_among_id", "_plan", "_copy", "row", "copy", "of", "times", "below"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    assert {x["doc_id"] for x in among(docs, spark.createDataFrame([(2,)], "id long"), "doc_id", keep=False).collect()} == {1, 3}
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns and {x["doc_id"] for x in taken.collect()} == {1, 2, 3}
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(2000 + k, 2001 + k) for k in range(60)]
