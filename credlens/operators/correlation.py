@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numeric, ramp_up, written
-from .ordered import BLOCK, number
+from .ordered import BLOCK, cumulated
 from .results import Reason, results
 
 #: Pairs in one aggregate, which keeps the generated code small.
@@ -35,18 +35,31 @@ def correlations(rows: DataFrame, pairs: Sequence[tuple[str, str]], name: str) -
 
 
 def average_ranks(values: DataFrame, groups: Sequence[str], longest: int, block: int) -> DataFrame:
-    """values (groups, row, x) with r: the rank of x in its group, ties sharing their mean."""
+    """values (groups, row, x) with r: the rank of x in its group, ties sharing their mean. In long groups a value's rank comes
+    from the cumulated counts, as a table that rows are joined to, so that the rows of a frequent value can be split."""
     if longest <= block:
         values = values.withColumn("i", F.row_number().over(Window.partitionBy(*groups).orderBy("x")))
-    else:
-        values = number(values, groups, [*map(F.col, groups), F.col("x").asc()])
-    return values.withColumn("r", F.avg("i").over(Window.partitionBy(*groups, "x")))
+        return values.withColumn("r", F.avg("i").over(Window.partitionBy(*groups, "x")))
+    ranks = cumulated(values, groups).select(*groups, "x", (F.col("start") + (F.col("m") + 1) / 2).alias("r"))
+    return values.join(written(ranks, "ranks"), [*groups, "x"])
+
+
+def numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    kinds = dict(df.dtypes)
+    return df.select(*[numeric(F.col(f"`{c}`"), kinds[c]).alias(c) for c in columns])
+
+
+def heatmap(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """left, right and value: Pearson correlations of each column with each, itself included; 0 where one is constant."""
+    found = correlations(numbers(df, columns), list(combinations_with_replacement(columns, 2)), "value").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    mirrored = found.where("left <> right").select(F.col("right").alias("left"), F.col("left").alias("right"), "value")
+    return found.unionAll(mirrored)
 
 
 def pair_table(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> DataFrame:
     """left, right, pearson and spearman of all pairs of numeric columns; null where one is constant."""
-    kinds, pairs = dict(df.dtypes), list(combinations(columns, 2))
-    rows = df.select(*[numeric(F.col(f"`{c}`"), kinds[c]).alias(c) for c in columns]).withColumn("_row", F.monotonically_increasing_id())
+    pairs = list(combinations(columns, 2))
+    rows = numbers(df, columns).withColumn("_row", F.monotonically_increasing_id())
     filled = rows.agg(F.count("*").alias("_n"), *[F.count(f"`{c}`").alias(c) for c in columns]).first()
     pearson = correlations(rows, pairs, "pearson")
     if all(filled[c] == filled["_n"] for c in columns):  # a column's ranks are the same in all its pairs

@@ -102,20 +102,32 @@ def running(df: DataFrame, series: Ordered, value: Column, name: str, kind: str
     return joined.withColumn(name, both).drop("_l", "_e", "_v")
 
 
+def cumulated(values: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """groups, x, m (how often x is in its group), start (values of the group before the first x) and total (values of the
+    group). Equal values are counted first, so that ties of any number are one row; different ones are range-partitioned."""
+    counted = values.groupBy(*groups, "x").agg(F.count("*").alias("m"))
+    placed = counted.repartitionByRange(*map(F.col, groups), F.col("x").asc()).withColumn("part", F.spark_partition_id())
+    placed = written(placed, "counted")
+    parts = placed.groupBy(*groups, "part").agg(F.sum("m").alias("in_part"))
+    upto = F.sum("in_part").over(Window.partitionBy(*groups).orderBy("part"))
+    parts = parts.withColumns({"offset": upto - F.col("in_part"), "total": F.sum("in_part").over(Window.partitionBy(*groups))}).drop("in_part")
+    local = F.sum("m").over(Window.partitionBy(*groups, "part").orderBy("x")) - F.col("m")
+    found = placed.withColumn("local", local).join(parts, [*groups, "part"])
+    return found.select(*groups, "x", "m", (F.col("offset") + F.col("local")).alias("start"), "total")
+
+
 def quantiles(values: DataFrame, name: str, shares: Sequence[float], counts: dict[str, int], block: int = BLOCK) -> DataFrame:
-    """series and q0, q1, ...: exact quantiles by linear interpolation of the column name, nulls left out. Long series are
-    ranked by range partitions, and only the ranks that are needed are looked up."""
+    """series and q0, q1, ...: exact quantiles by linear interpolation of the column name, nulls left out. Values of long
+    series are counted, and the ranks that are needed are looked up among the cumulated counts."""
     values = values.select("series", F.col(name).alias("x")).where("x is not null")
     if max(counts.values(), default=0) <= block:
         found = values.groupBy("series").agg(F.percentile("x", F.array(*[F.lit(float(s)) for s in shares])).alias("q"))
         return found.select("series", *[F.col("q")[k].alias(f"q{k}") for k in range(len(shares))])
-    ranked = number(values, ["series"], [F.col("series"), F.col("x").asc()])
-    sizes = values.groupBy("series").agg((F.count("*") - 1).alias("last"))
-    ranked = ranked.join(F.broadcast(sizes), "series")
+    ranked = cumulated(values, ["series"])
     out = []
     for k, share in enumerate(shares):
-        at = F.col("last") * float(share)
-        value = lambda i: F.max(F.when(F.col("i") == i, F.col("x")))
+        at = (F.col("total") - 1) * float(share)
+        value = lambda i: F.max(F.when((F.col("start") <= i) & (i < F.col("start") + F.col("m")), F.col("x")))
         low, high = value(F.floor(at)), value(F.ceil(at))
         out.append((low + (high - low) * F.max(at - F.floor(at))).alias(f"q{k}"))
     return ranked.groupBy("series").agg(*out)

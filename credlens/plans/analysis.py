@@ -35,6 +35,8 @@ class Analysis:
     reasons: list[str] = field(default_factory=list)
     preview: DataFrame | None = None
     sheets: dict[str, Analysis] = field(default_factory=dict)
+    #: Separate sheets: what each check of whole tables found over all of them.
+    table_checks: dict[str, dict] = field(default_factory=dict)
     strategy: str = "single"
 
     @property
@@ -91,6 +93,29 @@ def results_schema() -> str:
     return SCHEMA
 
 
+#: Reasons of a sheet, and of all sheets, that a check of whole tables tells.
+EACH_SHEET, ALL_SHEETS = 3, 10
+
+
+def table_checks(sheets: dict[str, Analysis]) -> dict[str, dict]:
+    """For each check of whole tables: its score over sheets (a mean weighted by rows), its risk, each sheet's score, and
+    reasons. Sheets with too few columns to correlate take no part in that check."""
+    held: dict[str, list[tuple[str, int, dict]]] = {}
+    for name, a in sheets.items():
+        for r in a.results.where(F.col("column") == "(table)").collect():  # a row a check
+            if r["metrics"] or r["indicator"] != "correlation":
+                held.setdefault(r["indicator"], []).append((name, max(a.profile.rows, 1), r.asDict(True)))
+    out = {}
+    for indicator, found in held.items():
+        score = round(sum(r["score"] * rows for _, rows, r in found) / sum(rows for _, rows, _ in found), 2)
+        told = [f"{n}: {x['text']}" for n, _, r in found for x in r["reasons"][:EACH_SHEET]][:ALL_SHEETS]
+        out[indicator] = {
+            "score": score, "risk": "ok" if score >= 70 else "attention", "per_sheet_scores": {n: round(r["score"], 2) for n, _, r in found},
+            "reasons": told or ["No sheet shows a clear risk as a whole."],
+        }
+    return out
+
+
 def analyze_workbook(book: Workbook, scenario: str | None = "auto", indicators=None, block: int = BLOCK) -> Analysis:
     """A workbook: merged sheets as one table, separate ones one by one and rolled up by their rows."""
     if book.strategy != "separate":
@@ -110,6 +135,7 @@ def analyze_workbook(book: Workbook, scenario: str | None = "auto", indicators=N
     out.results = reduce(lambda a, b: a.unionByName(b), prefixed)
     out.sub_scores = {r["indicator"]: r["score"] for r in rolled.collect()}
     out.total = scoring.total(rolled, first.weights).first().asDict()
+    out.table_checks = table_checks(sheets)
     out.reasons = scoring.reasons(out.results, [f"{n} / {c}" for n, a in sheets.items() for c in a.profile.numeric], out.total["adjustment"])
     return out
 

@@ -9,6 +9,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.changepoint import changepoint
 from ..operators.ordered import Ordered
 from .analysis import Analysis
 from .config import LABELS
@@ -33,7 +34,7 @@ def payload(a: Analysis) -> dict:
         "ok": a.ok, "note": NOTE, "strategy": a.strategy,
         "profile": {"time_column": a.profile.time, "numeric_columns": a.profile.numeric, "rows": a.profile.rows, "columns": a.profile.columns, "missing_rate": a.profile.missing_rate},
         "screening": [r.asDict() for r in a.screening.collect()], "selected": a.selected, "weights": a.weights, "sub_scores": a.sub_scores, "total": a.total,
-        "results": rows, "reasons": a.reasons, "sheets": {n: payload(s) for n, s in a.sheets.items()},
+        "results": rows, "reasons": a.reasons, "table_checks": a.table_checks, "sheets": {n: payload(s) for n, s in a.sheets.items()},
         "preview": [r.asDict(True) for r in a.preview.collect()] if a.preview is not None else [],
     }
     return json_safe(out)
@@ -69,6 +70,15 @@ def line_chart(series: Ordered, points: int = 500) -> DataFrame:
     return series.rows.groupBy("series", at.alias("at")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"))
 
 
+def changepoint_chart(series: Ordered, points: int = 500) -> DataFrame:
+    """The rows of the line chart with mark: whether the likely change point lies in the stretch."""
+    point = changepoint(series).select(F.col("column").alias("series"), F.col("metrics")["likely_changepoint_index"].alias("point"))
+    counts = series.rows.sparkSession.createDataFrame(list(series.counts.items()), "series string, n long")
+    marks = counts.join(point, "series", "left").select("series", F.floor(F.col("point") * F.least(F.lit(points), F.col("n")) / F.col("n")).alias("marked"))
+    chart = line_chart(series, points).join(F.broadcast(marks), "series", "left")
+    return chart.withColumn("mark", F.coalesce(F.col("at") == F.col("marked"), F.lit(False))).drop("marked")
+
+
 def bar_chart(series: Ordered) -> DataFrame:
     """series, digit and count: how often each last digit occurs."""
     from ..operators.digits import last_digit, places

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from credlens.functions import ramp_down, ramp_up
 from credlens.operators import profile
+from credlens.operators.ordered import ordered
 from credlens.plans import config, report, scoring
 from credlens.plans.analysis import analyze, analyze_file, analyze_workbook
 from credlens.sources import read, read_xlsx
+from credlens.sources.samples import KINDS, sample
 from credlens.sources.workbook import clean_label, looks_like_header, parse_sheet, sheet_strategy, unique_columns
 from credlens.streaming.windows import windowed_checks
 
@@ -41,6 +43,21 @@ def test_natural_scores_above_drawn(spark):
     assert "<script" not in report.to_html(bad, "<script>")
 
 
+def test_samples(spark):
+    found = {k: analyze(sample(spark, k)) for k in KINDS}
+    assert found["real"].profile.time == "timestamp" and len(found["real"].profile.numeric) == 4
+    assert found["real"].total["total_score"] > found["fake"].total["total_score"]
+    with pytest.raises(ValueError):
+        sample(spark, "other")
+
+
+def test_change_point_chart(spark):
+    df = spark.createDataFrame([(k, 0.0 if k < 30 else 10.0, 1.0) for k in range(60)], "i long, step double, flat double")
+    rows = report.changepoint_chart(ordered(df, ["step", "flat"], ["i"]), points=20).collect()
+    assert [r["at"] for r in rows if r["series"] == "step" and r["mark"]] in ([9], [10]) and sum(r["series"] == "step" for r in rows) == 20
+    assert [r["at"] for r in rows if r["series"] == "flat" and r["mark"]] == [0] and sum(r["series"] == "flat" for r in rows) == 20  # its CUSUM is 0 from the start
+
+
 def test_no_numeric_column(spark):
     a = analyze(spark.createDataFrame([("x",), ("y",)], "name string"))
     assert not a.ok and json.loads(report.to_json(a))["ok"] is False
@@ -116,6 +133,10 @@ def test_workbooks(spark):
     separate = read_xlsx(spark, xlsx({"x": sheet("ab", 30, 1), "y": sheet("cd", 10, 2), "z": [["n"], ["p"], ["q"]]}))
     assert separate.strategy == "separate"
     a = analyze_workbook(separate)
+    assert set(a.table_checks["sampling"]["per_sheet_scores"]) == {"x", "y"}
+    scores, rows = a.table_checks["sampling"]["per_sheet_scores"], {n: s.profile.rows for n, s in a.sheets.items()}
+    assert a.table_checks["sampling"]["score"] == pytest.approx(sum(scores[n] * rows[n] for n in rows) / sum(rows.values()), abs=0.02)
+    assert all(len(c["reasons"]) <= 10 and c["risk"] == ("ok" if c["score"] >= 70 else "attention") for c in a.table_checks.values())
     assert set(a.sheets) == {"x", "y"}
     want = sum(s.sub_scores["digit"] * s.profile.rows for s in a.sheets.values()) / 40
     assert a.sub_scores["digit"] == pytest.approx(want, abs=0.01)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from credlens.operators import anomaly, changepoint, correlation, digits, drift, outliers, physical, sampling, smoothness, timeseries
 from credlens.operators.forest import fit_neighbours, fit_svm, grow_forest, isolation_scores, outlier_factors, outlier_factors_of, svm_distances, svm_distances_of
-from credlens.operators.ordered import ordered, quantiles
+from credlens.operators.ordered import cumulated, ordered, quantiles
 
 
 def frame(spark, **columns):
@@ -76,6 +76,33 @@ def test_blocks_agree_with_one_window(spark):
     assert q["a"]["q0"] == pytest.approx(np.quantile(walk, 0.25)) and q["a"]["q1"] == pytest.approx(np.quantile(walk, 0.75))
 
 
+def test_ties_are_counted_before_they_are_ranked(spark):
+    r = random.Random(11)
+    a = [float(r.choice([0, 0, 0, 0, 1, 2, 3])) for _ in range(300)]  # most rows have one value
+    b = [x + r.choice([0.0, 1.0]) for x in a]
+    holes = [None if k % 7 == 0 else x for k, x in enumerate(b)]
+    df = frame(spark, a=a, b=b, c=holes)
+    blocked = ordered(df, ["a", "b", "c"], ["i"], block=32)
+    counts = {(c["series"], c["x"]): c for c in cumulated(blocked.rows.select("series", "x"), ["series"]).collect()}
+    assert counts["a", 0.0]["m"] == a.count(0.0) and counts["a", 0.0]["start"] == 0 and counts["a", 2.0]["start"] == sum(x < 2 for x in a) and counts["b", 1.0]["total"] == 300
+    q = {c["series"]: c for c in quantiles(blocked.rows, "x", [0.0, 0.1, 0.5, 0.9, 1.0], blocked.counts, 32).collect()}
+    for name, values in (("a", a), ("b", b), ("c", [x for x in holes if x is not None])):
+        assert [q[name][f"q{k}"] for k in range(5)] == pytest.approx(np.quantile(values, [0.0, 0.1, 0.5, 0.9, 1.0]).tolist())
+    for columns in (["a", "b"], ["a", "b", "c"]):
+        whole, split = ({(p["left"], p["right"]): p for p in correlation.pair_table(df, columns, block).collect()} for block in (1000, 32))
+        assert whole.keys() == split.keys()
+        for k, p in whole.items():
+            assert split[k]["spearman"] == pytest.approx(p["spearman"]) and split[k]["pearson"] == pytest.approx(p["pearson"])
+    assert quantiles(blocked.rows.limit(0), "x", [0.5], blocked.counts, 32).count() == 0
+
+
+def test_heatmap(spark):
+    df = frame(spark, a=[float(k) for k in range(20)], b=[float(-k) for k in range(20)], c=[1.0] * 20)
+    cells = {(h["left"], h["right"]): h["value"] for h in correlation.heatmap(df, ["a", "b", "c"]).collect()}
+    assert len(cells) == 9 and cells["a", "a"] == pytest.approx(1) and cells["a", "b"] == cells["b", "a"] == pytest.approx(-1)
+    assert cells["c", "c"] == cells["a", "c"] == cells["c", "a"] == 0
+
+
 def test_page_hinkley_against_a_loop(spark):
     r = random.Random(3)
     x = [r.gauss(0, 1) + (3 if k > 30 else 0) for k in range(60)]
