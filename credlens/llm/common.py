@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of a batch that is worked on at once; larger ones are halved.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
@@ -34,6 +35,22 @@ def slices(batch: pa.RecordBatch, most: int = AT_ONCE) -> Iterator[pa.RecordBatc
     yield from slices(batch.slice(half), most)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, after which the worker gives its memory back to the system: it stays, and others start beside it."""
+
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        gc.collect()  # memos that refer to themselves go too
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is freed otherwise
+            trim(0)
+
+    return whole
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """mapInArrow with state made once a task: make() returns the function that maps each slice of a batch."""
 
@@ -42,11 +59,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
         for batch in batches:
             if batch.num_rows:
                 yield from map(one, slices(batch))
-        del one
-        gc.collect()  # the worker stays for other tasks: what this one has held, memos that refer to themselves too, goes
-        pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:

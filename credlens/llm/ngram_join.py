@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .arrays import MULTIPLIER, mixed, shingle_sets
-from .common import among, map_batches, slices, texts_of, written
+from .common import among, released, slices, texts_of, written
 from .components import components
 
 WORDS = 5
@@ -47,6 +47,8 @@ BIN = 1.06
 PAIRS = 8 << 20
 #: Parts of a frequent signature's rows in the first shuffle.
 SALTS = 16
+
+
 def profile(docs: DataFrame) -> DataFrame:
     """Two kinds of rows: doc_id, n and cls (a digest of the set) for each document; part and counts for each task's
     counters. A task counts equal sets once."""
@@ -69,7 +71,7 @@ def profile(docs: DataFrame) -> DataFrame:
             parts = [zlib.compress(c.tobytes(), 1) for c in np.split(counters, PARTS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n long, cls binary, part int, counts binary")
+    return texts_of(docs).mapInArrow(released(run), "doc_id long, n long, cls binary, part int, counts binary")
 
 
 def levels(parts: DataFrame) -> np.ndarray:
@@ -86,7 +88,7 @@ def levels(parts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": [zlib.compress(counts.tobytes(), 1)]})
 
     salted = parts.select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("salt")).repartition("part", "salt")
-    summed = salted.select("part", "counts").mapInArrow(run, "part int, counts binary").repartition("part").mapInArrow(run, "part int, counts binary")
+    summed = salted.select("part", "counts").mapInArrow(released(run), "part int, counts binary").repartition("part").mapInArrow(released(run), "part int, counts binary")
     counters = np.zeros(COUNTERS, np.float64)
     width = COUNTERS // PARTS
     for row in summed.toLocalIterator():
@@ -159,9 +161,8 @@ def signature_rows(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 times, ids, n, rare, frequent = (np.array(x) for x in zip(*about, strict=True))
                 columns = [np.concatenate([x for x, _ in found]).view(np.int64), np.repeat(ids, times), np.repeat(n, times), np.concatenate([x for _, x in found]), np.repeat(rare, times), np.repeat(frequent, times)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype(), copy=False)) for c, f in zip(columns, SIGNATURES, strict=True)], schema=SIGNATURES)
-        pa.default_memory_pool().release_unused()
 
-    return texts_of(docs).mapInArrow(run, "sig long, doc_id long, n int, reach int, rare int, frequent boolean")
+    return texts_of(docs).mapInArrow(released(run), "sig long, doc_id long, n int, reach int, rare int, frequent boolean")
 
 
 def members(docs: DataFrame, level: np.ndarray, classes: DataFrame) -> DataFrame:
@@ -250,10 +251,10 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 good.append(100 * same >= 75 * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = written(among(texts_of(docs), ids, "doc_id", keep=True).mapInArrow(sets_of, "id long, tokens binary").distinct(), "sets")
+    sets = written(among(texts_of(docs), ids, "doc_id", keep=True).mapInArrow(released(sets_of), "id long, tokens binary").distinct(), "sets")
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a")
     both = with_a.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b").select("a", "b", "s", "t")
-    return written(both.mapInArrow(check, "a long, b long").distinct(), "links")
+    return written(both.mapInArrow(released(check), "a long, b long").distinct(), "links")
 
 
 def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import characters, longer, within
-from .common import fold, labelled_texts, map_batches, slices, texts_of, written
+from .common import fold, labelled_texts, map_batches, released, slices, texts_of, written
 
 #: Sampled labelled rows of either label, and the tasks that count them.
 EACH, PARTS = 4000, 8
@@ -95,7 +95,7 @@ def count_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_pydict({"n0": [docs[0]], "n1": [docs[1]], "at": [at.tobytes()], "c0": [counts[0][at].tobytes()], "c1": [counts[1][at].tobytes()]})
 
     counts, docs = np.zeros((2, BUCKETS)), np.zeros(2)
-    for row in sample.repartition(PARTS, "doc_id").mapInArrow(run, "n0 long, n1 long, at binary, c0 binary, c1 binary").toLocalIterator():
+    for row in sample.repartition(PARTS, "doc_id").mapInArrow(released(run), "n0 long, n1 long, at binary, c0 binary, c1 binary").toLocalIterator():
         at = np.frombuffer(row["at"], np.int32)
         docs += row["n0"], row["n1"]
         counts[0, at] += np.frombuffer(row["c0"], np.int32)
