@@ -132,7 +132,7 @@ def test_workbooks(spark):
     assert a.profile.time == "time" and a.profile.numeric == ["a", "b"]
     separate = read_xlsx(spark, xlsx({"x": sheet("ab", 30, 1), "y": sheet("cd", 10, 2), "z": [["n"], ["p"], ["q"]]}))
     assert separate.strategy == "separate"
-    a = analyze_workbook(separate)
+    a = analyze_workbook(separate, indicators=[*config.CORE, "sampling", "correlation"])  # checks of whole tables beside the core ones
     assert set(a.table_checks["sampling"]["per_sheet_scores"]) == {"x", "y"}
     scores, rows = a.table_checks["sampling"]["per_sheet_scores"], {n: s.profile.rows for n, s in a.sheets.items()}
     assert a.table_checks["sampling"]["score"] == pytest.approx(sum(scores[n] * rows[n] for n in rows) / sum(rows.values()), abs=0.02)
