@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, mixing, ngram_join, oracles, quality, secrets, topk, toxicity
+from . import bpe, chat, exact_dedup, langid, mixing, ngram_join, oracles, periodic, quality, secrets, simhash, topk, toxicity, whitening
 from .common import fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -70,9 +73,43 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS).drop("source")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex("fingerprint").alias("fingerprint"), "component_id")
+
+
+def recurring(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The places that a tenth of the documents, by crc32 of doc_id (null: empty), repeat from some word on."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % p
+    return places
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), order=recurring)
+    # runs come by start, then period: the first of those with the greatest exact exponent stays
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_topk": op4_topk,
     "op5_ngram_join": op5_ngram_join, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_secrets": op8_secrets, "op9_langid": op9_langid,
-    "op10_mixing": op10_mixing,
+    "op10_mixing": op10_mixing, "op11_whitening": op11_whitening, "op12_simhash": op12_simhash, "op13_periodic": op13_periodic,
 }
 ORACLES = {"op3_exact_dedup": oracles.EXACT_DEDUP, "op4_topk": oracles.TOPK, "op7_chat": oracles.CHAT, "op10_mixing": oracles.MIXING}
