@@ -229,12 +229,14 @@ def test_op11_equals_a_dense_solver(spark, small):
 
 def test_whitening_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
-    good = [(1, [0.5, 1.0, -2.0]), (2, [0.5, 1.0, -2.0]), (3, [3.0, 0.25, 7.0]), (4, [1e9, -3.0, 0.0]), (5, [2.0, 2.0, 2.0]), (6, [0.1, -0.1])]
+    good = [(1, [0.5, 1.0, -2.0]), (2, [0.5, 1.0, -2.0]), (3, [3.0, 0.25, 7.0]), (4, [1e4, -3.0, 0.0]), (5, [2.0, 2.0, 2.0]), (6, [0.1, -0.1])]
     bad = [(7, None), (8, [1.0, None, 2.0]), (9, [nan, 0.0, 0.0]), (10, [inf, 0.0, 0.0]), (11, [1e300, 0.0, 0.0])]
     rows = [(i, [int(np.floor(64 * c)) + 1_000_000 for c in v] + [1_000_000] * (3 - len(v))) for i, v in good]
     check_whitening(rows, whitening.whiten(vectors_of(spark, good + bad)).collect())
     twice = whitening.whiten(vectors_of(spark, [*good, (None, [2.0, 2.0, 2.0]), (5, [2.0, 2.0, 2.0])])).collect()
     assert len(twice) == 8 * 3 and sum(r["vec_id"] is None for r in twice) == 3
+    far = whitening.whiten(vectors_of(spark, [(1, [1e9]), (2, [0.0]), (3, [5.0])])).collect()
+    assert [r["deviation"] for r in far] == [None] * 3 and abs(far[0]["whitened"]) == pytest.approx(2**0.5, rel=1e-6)
     for none in ([], bad, [(1, [1.0, 2.0])], [(1, [1.0]), (2, [1.0])], [(1, []), (2, [])]):
         assert whitening.whiten(vectors_of(spark, none)).count() == 0
 
