@@ -12,6 +12,8 @@ from ..functions import clamp_score, risk_flag
 
 SCHEMA = "column string, indicator string, n long, score double, risk string, metrics map<string,double>, reasons array<struct<text:string,informational:boolean>>"
 NOTHING = "No conspicuous pattern was found."
+#: Told like any finding: a check that could not be made is to be known.
+TOO_FEW = "There are too few values for this check."
 
 
 @dataclass(frozen=True)
@@ -35,11 +37,11 @@ def results(
     pairs = [x for name in (*metrics, *penalties) for x in (F.lit(name), F.col(name))]
     texts = F.array(*[F.when(r.when, F.struct(F.lit(r.text).alias("text"), F.lit(r.informational).alias("informational"))) for r in reasons])
     texts = F.filter(texts, lambda r: r.isNotNull())
-    note = lambda text: F.array(F.struct(F.lit(text).alias("text"), F.lit(True).alias("informational")))
+    note = lambda text, informational: F.array(F.struct(F.lit(text).alias("text"), F.lit(informational).alias("informational")))
     return rows.select(
         F.col("series").alias("column"), F.lit(indicator).alias("indicator"), F.col("n").cast("long").alias("n"),
         F.when(enough, clamp_score(100 - penalty)).otherwise(short[0]).alias("score"),
         F.when(enough, risk_flag(penalty, attention)).otherwise(short[1]).alias("risk"),
         F.when(enough, F.create_map(*pairs)).otherwise(F.create_map().cast("map<string,double>")).alias("metrics"),
-        F.when(~enough, note("There are too few values for this check.")).when(F.size(texts) == 0, note(NOTHING)).otherwise(texts).alias("reasons"),
+        F.when(~enough, note(TOO_FEW, False)).when(F.size(texts) == 0, note(NOTHING, True)).otherwise(texts).alias("reasons"),
     )

@@ -1,4 +1,5 @@
-"""Two small tables to try an analysis on, made by rule: readings with a daily course and noise, and readings in equal steps."""
+"""Two small tables to try an analysis on, made by rule: measured-looking readings of a nutrient tank, and the same columns as
+someone might draw them with a ruler."""
 
 from __future__ import annotations
 
@@ -8,24 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("real", "fake")
-ROWS = 40
+ROWS, STEP, START = 90, 1200, 1_717_373_400  # readings, seconds between them, seconds since 1970
 
 
 def sample(spark: SparkSession, kind: str) -> DataFrame:
-    """timestamp, soil_moisture, air_temperature, humidity and light_lux of ROWS hours. Any other kind is an error."""
+    """read_at, tank_ph, tank_ec, co2_ppm and pump_weight of ROWS readings. Any other kind is an error."""
     if kind not in KINDS:
         raise ValueError(f"unknown sample {kind!r}: there are {', '.join(KINDS)}")
-    i, day = F.col("id"), F.sin((F.col("id") - 3) * (math.pi / 12))
-    noise = lambda k: (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2001)) - 1000) / 1000.0
+    i = F.col("id").cast("double")
+    noise = lambda k: sum((F.pmod(F.xxhash64("id", F.lit(10 * k + j)), F.lit(1009)) for j in range(3)), F.lit(0)) / 1008.0 - 1.5  # noqa: E731  bell-shaped, within 1.5
+    tide = lambda hours, late: F.sin((i * STEP / 3600 - late) * (2 * math.pi / hours))
     readings = {
         "real": {
-            "soil_moisture": F.round(31.5 - 0.11 * i + 0.5 * noise(1), 1), "air_temperature": F.round(21 + 6 * day + 0.9 * noise(2), 1),
-            "humidity": F.round(68 - 13 * day + 2.5 * noise(3), 1), "light_lux": F.round(F.greatest(F.lit(0.0), 26000 * day) + 150 * (1 + noise(4))),
+            "tank_ph": F.round(6.1 + 0.12 * tide(9, 2) + 0.11 * noise(1), 2), "tank_ec": F.round(2.3 + 0.2 * tide(17, 5) + 0.13 * noise(2), 2),
+            "co2_ppm": F.round(640 - 110 * tide(24, 7) + 47 * noise(3)), "pump_weight": F.round(14.2 + 0.9 * tide(13, 1) + 0.8 * noise(4), 1),
         },
         "fake": {
-            "soil_moisture": F.round(32 - 0.1 * i, 2), "air_temperature": F.round(18 + 0.5 * i, 2),
-            "humidity": F.round(80 - 1.2 * i, 2), "light_lux": 500.0 + 500.0 * i,
+            "tank_ph": F.round(7.4 - i / 64, 4), "tank_ec": F.round(1.1 + i / 40, 4),
+            "co2_ppm": 410 + 3.0 * i, "pump_weight": F.round(20 - i / 8, 4),
         },
     }
-    hour = F.timestamp_seconds(F.lit(1_775_023_200) + 3600 * i).alias("timestamp")
-    return spark.range(ROWS).select(hour, *[c.alias(n) for n, c in readings[kind].items()])
+    at = F.timestamp_seconds(F.lit(START) + STEP * F.col("id")).alias("read_at")
+    return spark.range(ROWS).select(at, *[c.alias(n) for n, c in readings[kind].items()])

@@ -21,31 +21,35 @@ from credlens.streaming.windows import windowed_checks
 from .books import xlsx
 
 
-def natural(n=40, seed=1):
+def at(k):
+    return f"2024-11-{5 + k // 96:02d} {k % 96 // 4:02d}:{k % 4 * 15:02d}"
+
+
+def natural(n=56, seed=1):
     r = random.Random(seed)
-    return [(f"2026-04-{1 + k // 24:02d} {k % 24:02d}:00", 30 + r.gauss(0, 2), 20 + r.gauss(0, 3), 60 + r.gauss(0, 8)) for k in range(n)]
+    return [(at(k), 7 + r.gauss(0, 0.4), 900 + r.gauss(0, 120), 4 + r.gauss(0, 0.7)) for k in range(n)]
 
 
-def drawn(n=40):
-    return [(f"2026-04-{1 + k // 24:02d} {k % 24:02d}:00", 30 - 0.1 * k, 20 + 0.5 * k, 90 - 1.2 * k) for k in range(n)]
+def drawn(n=56):
+    return [(at(k), 9 - k / 16, 500 + 7.0 * k, 2 + k / 32) for k in range(n)]
 
 
-SCHEMA = "timestamp string, soil_moisture double, air_temperature double, humidity double"
+SCHEMA = "logged_time string, well_ph double, lamp_light double, tank_ec double"
 
 
 def test_natural_scores_above_drawn(spark):
     good, bad = (analyze(spark.createDataFrame(rows, SCHEMA), indicators=list(config.ALL)) for rows in (natural(), drawn()))
-    assert good.profile.time == "timestamp" and good.profile.numeric == ["soil_moisture", "air_temperature", "humidity"]
+    assert good.profile.time == "logged_time" and good.profile.numeric == ["well_ph", "lamp_light", "tank_ec"]
     assert good.total["total_score"] > bad.total["total_score"]
     assert bad.sub_scores["correlation"] == pytest.approx(33, abs=0.5) and bad.sub_scores["sampling"] == 100
     text = json.loads(report.to_json(bad))
-    assert text["ok"] and len(text["preview"]) == 30 and len(text["reasons"]) <= 12
+    assert text["ok"] and len(text["preview"]) == 30 and len(text["reasons"]) <= 13
     assert "<script" not in report.to_html(bad, "<script>")
 
 
 def test_samples(spark):
     found = {k: analyze(sample(spark, k)) for k in KINDS}
-    assert found["real"].profile.time == "timestamp" and len(found["real"].profile.numeric) == 4
+    assert found["real"].profile.time == "read_at" and len(found["real"].profile.numeric) == 4
     assert found["real"].total["total_score"] > found["fake"].total["total_score"]
     with pytest.raises(ValueError):
         sample(spark, "other")
@@ -145,6 +149,24 @@ def test_workbooks(spark):
         read_xlsx(spark, xlsx({"e": []}))
 
 
+def test_folder_of_workbooks(spark, tmp_path):
+    """A partition for each file and sheet; rows stream through tasks, the driver gets a row for each sheet."""
+    many = 60_000
+    books = {"a.xlsx": {"s": [["n", "v", "t"], *[[float(k), k / 2, "x"] for k in range(many)]], "u": sheet("nv", 30, 1)}, "b.xlsx": {"s": [["n", "v"], [1.0, "late text"], [2.0, 3.5]]}}
+    for name, sheets in books.items():
+        (tmp_path / name).write_bytes(xlsx(sheets))
+    (tmp_path / "other.txt").write_text("not a workbook")
+    for direct in (True, False):
+        book = read_xlsx(spark, str(tmp_path), direct)
+        assert list(book.sheets) == ["a.xlsx / s", "a.xlsx / u", "b.xlsx / s"] and book.strategy == "separate"
+        assert book.df.rdd.getNumPartitions() == 3 and book.sheets["a.xlsx / s"].rdd.getNumPartitions() == 1
+        assert dict(book.df.dtypes)["v"] == "string" and dict(book.sheets["a.xlsx / s"].dtypes)["v"] == "double"
+        assert book.df.count() == many + 32 and book.df.select(profile.ROW).distinct().count() == many + 32
+        last = book.sheets["a.xlsx / s"].where(F.col(profile.ROW) == many - 1).first()
+        assert (last["n"], last["v"], last["t"]) == (many - 1.0, (many - 1) / 2, "x")
+        assert [r["v"] for r in book.df.where(f"{profile.SHEET} = 'b.xlsx / s'").orderBy(profile.ROW).collect()] == ["late text", "3.5"]
+
+
 def test_file_from_disk(spark, tmp_path):
     path = tmp_path / "b.xlsx"
     path.write_bytes(xlsx({"only": sheet("ab", 25, 3)}))
