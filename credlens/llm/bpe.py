@@ -104,8 +104,8 @@ class Bpe:
                     self.token.append(-1)
                 most = max(most, self.token[node], key=lambda x: self.size[x] if x >= 0 else 0)
             self.token[node], self.shorter[i] = i, most
-        #: By left << 20 | right: whether the two tokens' bytes, side by side, encode to just these two tokens.
-        self.may_follow = Memo(lambda key: self._holds(key >> 20, key & 0xFFFFF), PAIRS)
+        #: By left << 32 | right: whether the two tokens' bytes, side by side, encode to just these two tokens.
+        self.may_follow = Memo(lambda key: self._holds(key >> 32, key & 0xFFFFFFFF), PAIRS)
 
     def _holds(self, left: int, right: int) -> bool:
         """Undo the later of the two tokens' merges again and again. A merge across the border that comes earlier than
@@ -140,7 +140,7 @@ class Bpe:
         """Adds the last tokens of the prefixes of data that last doesn't have yet."""
         for end in range(len(last) + 1, len(data) + 1):
             token = self.longest_ending(data, end)
-            while (start := end - self.size[token]) and not self.may_follow[last[start - 1] << 20 | token]:
+            while (start := end - self.size[token]) and not self.may_follow[last[start - 1] << 32 | token]:
                 token = self.shorter[token]
             last.append(token)
 
@@ -149,7 +149,7 @@ class Bpe:
         token = self.longest_ending(data, end)
         while start := end - self.size[token]:
             before = last[start] if start in last else self.last_token(data, start, last)
-            if self.may_follow[before << 20 | token]:
+            if self.may_follow[before << 32 | token]:
                 break
             token = self.shorter[token]
         last[end] = token

@@ -7,12 +7,10 @@ a piece is found by rendering the turn once more with a placeholder as text. Con
 are the conversation's output.
 
 Rows come by conversation and turn (ties by role, then text; nulls last) in sorted partitions and are worked on as a
-stream. Prefixes are rendered whole up to WHOLE turns, and without end for a template that declares nothing. A template that
-declares on how many turns before it a turn's piece depends (context) is then rendered over windows of that many and WHOLE
-turns, and the declaration is held against whole renderings each time the turns have doubled and at the conversation's end,
-as long as its texts have CHECKED characters at most; where it doesn't hold, the turn's piece puts right what was rewritten
-and prefixes are whole again. A null text or role is empty, rows repeating a turn are turns of their own, rows with a null
-conv_id are one conversation, an empty table gives no rows.
+stream. Of a black box, every prefix is rendered whole, however many turns there are, so that no rewriting goes unseen; that
+takes time with the square of a conversation's length. A template made by `by_turn`, from a function of a turn and those
+shortly before it, can't rewrite history: it is rendered over windows of turns. A null text or role is empty, rows repeating a
+turn are turns of their own, rows with a null conv_id are one conversation, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,9 +29,8 @@ from .common import slices
 
 Turn = tuple[str, str]
 
-#: Turns up to which all prefixes are whole, and of a window besides the context; characters of a conversation up to which a
-#: template's declaration is checked.
-WHOLE, CHECKED = 128, 1 << 24
+#: Turns of a window besides those that a piece depends on.
+WINDOW = 64
 #: Stands for a text while its place is looked for: a private-use character that no template changes.
 PLACEHOLDER = "\ue000"
 
@@ -41,8 +38,15 @@ PLACEHOLDER = "\ue000"
 @dataclass(frozen=True)
 class Template:
     render: Callable[[list[Turn]], str]
-    #: Turns before a turn that its piece depends on; None: all.
+    #: Turns before a turn that its piece depends on, if the template is known to be made of pieces.
     context: int | None = None
+    #: Whether it is: what a black box says of its context isn't relied on.
+    of_pieces: bool = False
+
+
+def by_turn(piece: Callable[[list[Turn]], str], context: int = 0) -> Template:
+    """A template of pieces, one after the other: piece gets a turn behind up to `context` turns before it."""
+    return Template(lambda turns: "".join(piece(turns[max(0, k - context) : k + 1]) for k in range(len(turns))), context, True)
 
 
 def escape(text: str) -> str:
@@ -54,11 +58,13 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S) if "\\" in text else text
 
 
-def render_marked(turns: list[Turn]) -> str:
-    return "".join(f"### {escape(role)}: {escape(text)}</turn>\n" for role, text in turns)
+def marked_piece(turns: list[Turn]) -> str:
+    role, text = turns[-1]
+    return f"### {escape(role)}: {escape(text)}</turn>\n"
 
 
-MARKED = Template(render_marked, context=0)
+MARKED = by_turn(marked_piece)
+render_marked = MARKED.render
 PIECE = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<:]|\\.)*)</turn>\n", re.S)
 
 
@@ -66,38 +72,22 @@ class Renderer:
     """One conversation's state: the turns still needed, their output, and the output's length before that."""
 
     def __init__(self, template: Template):
-        self.template, self.context, self.turns, self.out, self.dropped = template, template.context, [], "", 0
-        self.n, self.chars = 0, 0
-        self.every: list[Turn] | None = []  # all turns, and the output before the present ones, while checks need them
-        self.gone: list[str] = []
+        self.render, self.context, self.turns, self.out, self.dropped = template.render, template.context if template.of_pieces else None, [], "", 0
 
     def shorten(self) -> None:
-        """Leaves out the turns that the template says it doesn't look back to."""
+        """Leaves out the turns that no new piece depends on."""
         self.turns = self.turns[len(self.turns) - self.context :]
-        shorter = self.template.render(self.turns) if self.turns else ""
-        cut = len(self.out) - len(shorter)
-        if self.every is not None:
-            self.gone.append(self.out[:cut])
-        self.dropped, self.out = self.dropped + cut, shorter
+        shorter = self.render(self.turns)
+        self.dropped, self.out = self.dropped + len(self.out) - len(shorter), shorter
 
-    def add(self, role: str, text: str, ends: bool = False) -> tuple[int, str, int | None, int | None, bool]:
+    def add(self, role: str, text: str) -> tuple[int, str, int | None, int | None, bool]:
         """The new turn's start, its piece, the text's start and end in the whole output (None if it isn't there as it
-        is), and whether history was rewritten. ends: it is the conversation's last turn."""
-        render = self.template.render
-        if self.context is not None and len(self.turns) >= self.context + WHOLE:
+        is), and whether history was rewritten."""
+        render = self.render
+        if self.context is not None and len(self.turns) >= self.context + WINDOW:
             self.shorten()
-        self.n, self.chars = self.n + 1, self.chars + len(text)
-        if self.every is not None:
-            self.every.append((role, text))
-            if self.context is None or self.chars > CHECKED:
-                self.every, self.gone = None, []
         before, self.turns = self.out, [*self.turns, (role, text)]
         self.out = render(self.turns)
-        if self.every is not None and self.dropped and (ends or not self.n & (self.n - 1)):
-            whole, assembled = render(self.every), "".join(self.gone) + before
-            if whole != "".join(self.gone) + self.out:  # the declaration doesn't hold
-                self.turns, self.out, self.dropped, self.context = self.every, whole, 0, None
-                self.every, self.gone, before = None, [], assembled
         rewritten = not self.out.startswith(before)
         start = len(commonprefix([before, self.out])) if rewritten else len(before)
         piece, first, last = self.out[start:], None, None
@@ -115,20 +105,6 @@ class Renderer:
         return self.dropped + start, piece, first, last, rewritten
 
 
-def with_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Lists of (conversation, role, text, whether it is the conversation's last turn)."""
-    held = None
-    for batch in batches:
-        rows = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-            if held is not None:
-                rows.append((*held, held[0] != row[0]))
-            held = row
-        yield rows
-    if held is not None:
-        yield [(*held, True)]
-
-
 SCHEMA = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("piece", pa.string()), ("start", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("rewritten", pa.bool_())])
 
 
@@ -138,12 +114,12 @@ def format_turns(turns: DataFrame, template: Template = MARKED) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, seq, current = None, 0, object()
-        for turns in with_ends(part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
-            for conv, role, text, ends in turns:
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if conv != current or state is None:
                     state, seq, current = Renderer(template), 0, conv
-                start, piece, first, last, rewritten = state.add(role, text, ends)
+                start, piece, first, last, rewritten = state.add(role, text)
                 rows.append((conv, seq, role, piece, start, first, last, rewritten))
                 seq += 1
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in SCHEMA]

@@ -17,10 +17,12 @@ from collections.abc import Callable
 from functools import cache
 from math import log10
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_batches, texts_of
+from .periodic import main_lorentz
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -74,8 +76,12 @@ DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[
 LEET = str.maketrans("430157$@!", "aeoistsai")
 #: Guesses (log10) of one character by brute force, of one more block of a repeat, of a step of a walk, and of a date.
 BRUTE, AGAIN, STEP, DAY = 1.0, 0.3, 0.45, 4.6
-#: Guesses of one more segment and of a walk, and characters of a repeat's block.
-SEGMENT, WALK, LONGEST_BLOCK = 0.3, 1.5, 4
+#: Guesses of one more segment and of a walk, and characters of the blocks that are always tried.
+SEGMENT, WALK, SHORT_BLOCK = 0.3, 1.5, 4
+#: A block of more than SHORT_BLOCK characters and one more copy.
+LONG_REPEAT = re.compile(r"(.{5,})\1", re.S)
+#: Characters of a value that the pattern is tried on; longer ones are searched for runs at once.
+PATTERN_TRIED = 100
 
 
 class Open:
@@ -177,6 +183,17 @@ class Repeats:
         return begun.least(end) + SEGMENT + BRUTE * period
 
 
+def periods(value: str) -> list[int]:
+    """Lengths of the blocks that a repeat may have: short ones, and the periods of the value's runs of two copies or more. A
+    block that is itself a repeat never costs less than its own block does."""
+    short = list(range(1, SHORT_BLOCK + 1))
+    if len(value) < 2 * SHORT_BLOCK + 2 or len(value) <= PATTERN_TRIED and not LONG_REPEAT.search(value):
+        return short
+    points = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    found = main_lorentz(points, np.zeros(1, np.int64), np.array([len(points)]), 2, 2)[:, 2]
+    return short + sorted({int(p) for p in found if p > SHORT_BLOCK})
+
+
 def guess_cost(value: str, words: dict[str, float]) -> float:
     """log10 of the guesses of the cheapest segmentation: best[i] is the least cost of value[:i]. Each further segment
     costs a little more, for the orders in which a guesser may try them."""
@@ -186,7 +203,7 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
     plain = lower.translate(LEET)
     longest = words.longest if isinstance(words, Words) else max(map(len, words), default=0)
     best = [0.0] + [float("inf")] * n
-    runs = [Walks(lower), *[Repeats(value, period) for period in range(1, LONGEST_BLOCK + 1)]]
+    runs = [Walks(lower), *[Repeats(value, period) for period in periods(value)]]
     for i in range(n + 1):
         best[i] = min(best[i], *[r.ending(i, best) for r in runs])
         if i == n:

@@ -108,18 +108,29 @@ def test_topk(spark, cells):
     assert sorted(tuple(x) for x in found) == sorted(want)
     assert topk.top_k(df.limit(0), F.col("id") % 100 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
+    # a query's id that comes with two vectors is searched with both; the same row again is not
+    twice = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [3.0, 1.0]), (2, [1.0, 4.0])]
+    for rows in (twice, twice[::-1]):
+        found = topk.top_k(spark.createDataFrame(rows, few.schema), F.col("id") % 100 == 0, k=1).collect()
+        assert sorted(tuple(x) for x in found) == [(0, 1, 1, 3 << 20), (0, 1, 2, 4 << 20)]
+    # a wide vector among narrow ones, and scores that 64 bits can't hold
+    wide = [(0, [1.0] * 200_000), *((k, [float(k)]) for k in range(1, 4000)), (5000, [8e12]), (5001, [1e300])]
+    found = topk.top_k(spark.createDataFrame(wide, few.schema), F.col("id") == 0, k=2).collect()
+    assert [(x["vec_id"], x["score"]) for x in found] == [(5000, 8_000_000_000_000 << 20), (3999, 3999 << 20)]
+    found = topk.top_k(spark.createDataFrame([(0, [8e12]), (1, [8e12]), (2, [-8e12])], few.schema), F.col("id") == 0).collect()
+    assert [(x["vec_id"], x["score"]) for x in found] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
     assert [tuple(x) for x in topk.top_k(few, F.col("id") % 100 == 0).collect()] == [(0, 1, 1, 2097152)]
 
 
 def test_topk_blocks_and_tiles():
     vectors = [(i, [i + t for t in range(i % 5)]) for i in range(23)]
-    batches = [pa.RecordBatch.from_pydict({"id": [i for i, _ in some], "weights": pa.array([v for _, v in some], pa.list_(pa.int64()))}) for some in (vectors[:9], vectors[9:10], vectors[10:])]
+    batches = [pa.RecordBatch.from_pydict({"number": [-i for i, _ in some], "id": [i for i, _ in some], "weights": pa.array([v for _, v in some], pa.list_(pa.int64()))}) for some in (vectors[:9], vectors[9:10], vectors[10:])]
     for cells in (1, 7, 1000):
         blocks = [b for batch in topk._packed(iter(batches), cells) for b in batch.to_pylist()]
         assert all(len(b["ids"]) + len(b["flat"]) <= 8 * cells or len(b["ids"]) == 8 for b in blocks)
-        tiles = [t for b in blocks for t in topk._tiles(b["ids"], b["lengths"], b["flat"], 3)]
-        assert all(len(ids) <= 3 for ids, _ in tiles)
-        assert [(i, [w for w in x.tolist() if w]) for ids, rows in tiles for i, x in zip(ids.tolist(), rows, strict=True)] == [(i, [w for w in v if w]) for i, v in vectors]
+        tiles = [t for b in blocks for t in topk._tiles(b["numbers"], b["ids"], b["lengths"], b["flat"], 3)]
+        assert all(len(ids) <= 3 and np.array_equal(numbers, -ids) for numbers, ids, _ in tiles)
+        assert [(i, [w for w in x.tolist() if w]) for _, ids, rows in tiles for i, x in zip(ids.tolist(), rows, strict=True)] == [(i, [w for w in v if w]) for i, v in vectors]
 
 
 def test_clashing_names(spark):
@@ -249,6 +260,27 @@ def test_chat_finds_history_rewritten_against_a_declaration(spark, turns, at):
     assert any(r["rewritten"] for r in found) and out == rewriting.render([("user", f"text {k}") for k in range(turns)])
 
 
+def test_chat_sees_history_rewritten_for_a_while(spark):
+    """A black box that rewrites history at turns 200 to 209 and takes it back."""
+    late = chat.Template(lambda t: ("late\n" if 200 <= len(t) < 210 else "") + "".join(f"[{r}]{x}|" for r, x in t), context=1)
+    turns = [("user", f"text {k}") for k in range(260)]
+    found = chat.format_turns(spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], TURNS), late).orderBy("seq").collect()
+    out = ""
+    for k, r in enumerate(found):
+        out = out[: r["start"]] + r["piece"]
+        assert out == late.render(turns[: k + 1]) and r["rewritten"] == (k + 1 in (200, 210))
+
+
+def test_chat_pieces_that_depend_on_turns_before(spark):
+    counted = chat.by_turn(lambda t: f"<{len(t)} {t[0][1]}> {t[-1][1]};", context=2)
+    turns = [("user", f"text {k}") for k in range(300)]
+    found = chat.format_turns(spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], TURNS), counted).orderBy("seq").collect()
+    whole = counted.render(turns)
+    assert "".join(r["piece"] for r in found) == whole and not any(r["rewritten"] for r in found)
+    assert all(whole[r["start"] :].startswith(r["piece"]) for r in found)
+    assert all(whole[r["text_start"] : r["text_end"]] == f"text {r['seq']}" for r in found if r["text_start"] is not None)
+
+
 def test_exact_dedup_owners(spark):
     """A bucket's rows lie in one partition, owners hold ranges of buckets, and the directory decides on the buckets."""
     docs = spark.createDataFrame(rows_of((i, f"text {i // 2}") for i in range(800)), DOCS)

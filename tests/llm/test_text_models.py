@@ -270,7 +270,7 @@ def test_guess_cost_tries_all_repeats():
         best = [0.0]
         for end in range(1, len(value) + 1):
             ways = [best[-1] + secrets.BRUTE]
-            for p in range(1, 5):
+            for p in range(1, end // 2 + 1):
                 for copies in range(2, end // p + 1):
                     start = end - copies * p
                     if value[start:end] == value[start : start + p] * copies:
@@ -284,6 +284,11 @@ def test_guess_cost_tries_all_repeats():
         value = "".join("".join(r.choice("aqm") for _ in range(r.randrange(1, 5))) * r.choice([1, 1, 2, 3, 7]) for _ in range(r.randrange(1, 7)))
         value = value.replace("a", "é").replace("q", "ж").replace("m", "語")
         assert secrets.guess_cost(value, {}) == pytest.approx(plain(value), abs=1e-9), value
+    for _ in range(200):  # blocks of any length
+        block = "".join(r.choice("éж語ñ") for _ in range(r.randrange(3, 14)))
+        value = r.choice(["", "語ж", "é"]) + block * r.randrange(1, 12) + r.choice(["", block[:5], "ñ"])
+        assert secrets.guess_cost(value, {}) == pytest.approx(plain(value), abs=1e-9), value
+    assert secrets.guess_cost("kq7zx" * 20, {}) < secrets.FLOOR
     start = time.monotonic()
     assert secrets.guess_cost("語" * 100_000 + "ж語é" * 30_000, {}) < 8
     assert time.monotonic() - start < 20
@@ -329,7 +334,7 @@ def plain_cost(value, words):
                 ways.append(best[start] + 0.3 + words[low.translate(secrets.LEET)] + 0.8)
             if (m := secrets.DATE.match(value, start)) and m.end() == end:
                 ways.append(best[start] + 0.3 + (secrets.DAY if end - start > 4 else 2.1))
-            for p in range(1, 5):
+            for p in range(1, (end - start) // 2 + 1):
                 if (end - start) % p == 0 and (end - start) // p > 1 and part == part[:p] * ((end - start) // p):
                     ways.append(best[start] + 0.3 + secrets.BRUTE * p + secrets.AGAIN * math.log10(1 + (end - start) // p))
             steps = {step(a, b) for a, b in zip(low, low[1:], strict=False)}
@@ -343,7 +348,7 @@ def test_guess_cost_against_all_segmentations():
     words = {"pass": 0.5, "word": 0.7, "password": 0.3, "a" * 30: 0.2, "secret": 1.1}
     assert secrets.guess_cost("111111990", {}) == pytest.approx(plain_cost("111111990", {}))
     r = random.Random(12)
-    pieces = ["pass", "WORD", "p4ss", "s3cret", "1990", "20240131", "31.12.2020", "abcdef", "qwerty", "987", "zaq", "x", "Q", "7", "!", "aaaa", "ababab", "1111", "a" * 30, "İ"]
+    pieces = ["pass", "WORD", "p4ss", "k7!zx", "k7!zxk7!zx", "s3cret", "1990", "20240131", "31.12.2020", "abcdef", "qwerty", "987", "zaq", "x", "Q", "7", "!", "aaaa", "ababab", "1111", "a" * 30, "İ"]
     for _ in range(600):
         value = "".join(r.choice(pieces) for _ in range(r.randrange(1, 7)))
         value = value if r.random() < 0.7 else "".join(r.choice("12ab9s") for _ in range(r.randrange(1, 25)))
