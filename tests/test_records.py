@@ -60,7 +60,7 @@ def test_uploads(spark):
 
 
 def test_states_of_lines():
-    for line, outside, inside in (("a,b", False, True), ('a,"b', True, False), ('"a""b",c', False, False), ('x"y,z', False, False), ('5" pipe,"open', True, False), ('""', False, True), ('"', True, False)):
+    for line, outside, inside in (("a,b", False, True), ('a,"b', True, False), ('"a""b",c', False, False), ('x"y,z', False, False), ('5" pipe,"open', True, True), ('""', False, True), ('"', True, False)):
         assert (ends_inside(line, False), ends_inside(line, True)) == (outside, inside), line
     assert header_names('a,"b\nc",,A') == ["a0", "b\nc", "_c2", "A3"]
 
