@@ -1,47 +1,34 @@
-"""Correlation of all pairs of columns, over the rows where both have a value."""
+"""Correlation of all pairs of columns, over the rows where both have a value.
+
+Pearson: one pass over the table makes, in each task, k x k tables of what every pair of columns has in common: rows with both
+values, and sums, squares and products of values less their column's mean, as products of matrices. Tables of tasks add up.
+
+Spearman: ranks are those among the rows that have both values, so that a column has other ranks with each partner. Equal values
+are counted by the rows' patterns of nulls, and cumulated in the order of values: a value's ranks with all partners follow from
+its counts by pattern. Of each value only the rank in each pattern goes back to its row; a row's ranks with its partners are
+sums over patterns, and add to the same tables in one pass.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations, combinations_with_replacement
+from collections.abc import Callable, Iterator, Sequence
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import numeric, ramp_up, written
-from .ordered import BLOCK, cumulated
+from .ordered import BLOCK
 from .results import Reason, results
 
-#: Pairs in one aggregate, which keeps the generated code small.
-PAIRS = 60
-
-
-def pearson_of(a: Column, b: Column) -> Column:
-    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-
-
-def correlations(rows: DataFrame, pairs: Sequence[tuple[str, str]], name: str) -> DataFrame:
-    """left, right and name: the correlation of each pair of columns."""
-    out = None
-    for at in range(0, len(pairs), PAIRS):
-        some = pairs[at : at + PAIRS]
-        found = rows.agg(*[pearson_of(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"p{k}") for k, (a, b) in enumerate(some)])
-        structs = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"p{k}").alias(name)) for k, (a, b) in enumerate(some)])
-        found = found.select(F.explode(structs).alias("r")).select("r.*")
-        out = found if out is None else out.unionAll(found)
-    return out
-
-
-def average_ranks(values: DataFrame, groups: Sequence[str], longest: int, block: int) -> DataFrame:
-    """values (groups, row, x) with r: the rank of x in its group, ties sharing their mean. In long groups a value's rank comes
-    from the cumulated counts, as a table that rows are joined to, so that the rows of a frequent value can be split."""
-    if longest <= block:
-        values = values.withColumn("i", F.row_number().over(Window.partitionBy(*groups).orderBy("x")))
-        return values.withColumn("r", F.avg("i").over(Window.partitionBy(*groups, "x")))
-    ranks = cumulated(values, groups).select(*groups, "x", (F.col("start") + (F.col("m") + 1) / 2).alias("r"))
-    return values.join(written(ranks, "ranks"), [*groups, "x"])
+#: Numbers of a k x k table: rows, the left column's sum and squares, and products.
+PARTS = ("n", "s", "q", "p")
+#: Pairs that a reason names.
+EXAMPLES = 3
+#: Rows that are worked on at once.
+ROWS = 1 << 13
 
 
 def numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -49,33 +36,169 @@ def numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[numeric(F.col(f"`{c}`"), kinds[c]).alias(c) for c in columns])
 
 
+def _matrix(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """Rows by columns; nulls are NaN."""
+    return np.column_stack([np.asarray(batch.column(n).to_numpy(zero_copy_only=False), np.float64) for n in names]) if names else np.zeros((batch.num_rows, 0))
+
+
+class Moments:
+    """What each two of k columns have in common; `add` takes each column's values as its partners see them."""
+
+    def __init__(self, k: int) -> None:
+        self.parts = np.zeros((4, k, k))
+
+    def add_rows(self, x: np.ndarray) -> None:
+        """Rows of values, the same for all partners; NaN is missing."""
+        there = ~np.isnan(x)
+        x, there = np.where(there, x, 0.0), there.astype(np.float64)
+        self.parts += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+
+    def add_pairs(self, x: np.ndarray) -> None:
+        """Rows of k x k values: column i's as partner j sees it; 0 where one of both is missing. Counts stay."""
+        self.parts[1:] += np.stack([x.sum(axis=0), (x * x).sum(axis=0), (x * x.transpose(0, 2, 1)).sum(axis=0)])
+
+    def batch(self) -> pa.RecordBatch:
+        k = self.parts.shape[1]
+        at = np.arange(k * k)
+        return pa.RecordBatch.from_pydict({"l": at // k, "r": at % k} | dict(zip(PARTS, self.parts.reshape(4, -1), strict=True)))
+
+
+def co_moments(rows: DataFrame, k: int, add: Callable[[Moments, pa.RecordBatch], None]) -> DataFrame:
+    """l, r (columns' numbers) and PARTS: a table for each task, added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Moments(k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                add(own, batch.slice(at, ROWS))
+        yield own.batch()
+
+    found = rows.mapInArrow(run, "l long, r long, " + ", ".join(f"{p} double" for p in PARTS))
+    return found.groupBy("l", "r").agg(*[F.sum(p).alias(p) for p in PARTS])
+
+
+def pearsons(moments: DataFrame, columns: Sequence[str], name: str, n: Column | None = None) -> DataFrame:
+    """left, right and name of each pair of columns and each with itself, left before right: null where one is constant."""
+    names = F.array(*map(F.lit, columns))
+    other = moments.select(F.col("l").alias("r"), F.col("r").alias("l"), F.col("s").alias("t"), F.col("q").alias("u"))
+    both = moments.where("l <= r").join(other, ["l", "r"])
+    n = F.col("n") if n is None else n
+    n = F.when(n > 0, n)  # else there is no row with both
+    over = lambda x, a, b: x / n - a / n * b / n
+    spread = lambda q, s: F.when(over(q, s, s) > 1e-14 * q / n, over(q, s, s))  # noqa: E731  below is what rounding leaves of a constant
+    value = over(F.col("p"), F.col("s"), F.col("t")) / F.sqrt(spread(F.col("q"), F.col("s"))) / F.sqrt(spread(F.col("u"), F.col("t")))
+    within = F.when(value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+    return both.select(names[F.col("l").cast("int")].alias("left"), names[F.col("r").cast("int")].alias("right"), within.alias(name))
+
+
+def pearson_table(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """pearsons of a table's numeric columns, in two scans: means, then moments about them."""
+    rows = numbers(df, columns)
+    means = rows.agg(*[F.coalesce(F.avg(f"`{c}`"), F.lit(0.0)).alias(f"m{k}") for k, c in enumerate(columns)]).first()
+    centre = np.array([means[f"m{k}"] for k in range(len(columns))])
+    names = list(columns)
+    return pearsons(co_moments(rows, len(names), lambda own, batch: own.add_rows(_matrix(batch, names) - centre)), columns, name)
+
+
+def class_ranks(values: DataFrame, codes: dict[str, int] | None, k: int) -> DataFrame:
+    """values: series, x, bits (which columns its row has). series, x and ranks: how many values of the series are smaller than
+    x, and half of those that are equal, by pattern (codes: their numbers) or, without codes, by column that is there as well.
+    Equal values are counted first; different ones are range-partitioned, and a task goes through its own in order."""
+    wide = k if codes is None else len(codes)
+    counted = values.groupBy("series", "x", "bits").agg(F.count("*").alias("m")).groupBy("series", "x").agg(F.collect_list(F.struct("bits", "m")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto: dict[int, np.ndarray] = {}
+
+        def out(series: list[int], x: pa.Array, rows: np.ndarray) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * wide, pa.array(rows.ravel()))
+            return pa.RecordBatch.from_pydict({"series": pa.array(series, pa.int64()), "x": x, "ranks": lists})
+
+        for batch in batches:
+            series, ranks = batch.column("series").to_pylist(), np.zeros((batch.num_rows, wide))
+            own = ranks.copy()
+            for i, found in enumerate(batch.column("m").to_pylist()):
+                for one in found:
+                    own[i, slice(None) if codes is None else codes[one["bits"]]] += one["m"] * (np.frombuffer(one["bits"].encode(), np.uint8) - 48.0 if codes is None else 1.0)
+            of = np.array(series)
+            for s in set(series):
+                at = np.flatnonzero(of == s)
+                before = upto.get(s, np.zeros(wide))
+                sums = np.cumsum(own[at], axis=0)
+                ranks[at] = before + sums - own[at] / 2
+                upto[s] = before + sums[-1]
+            yield out(series, batch.column("x"), ranks)
+        if upto:  # what the task has of each series, without an x
+            yield out(list(upto), pa.nulls(len(upto), pa.float64()), np.array(list(upto.values())))
+
+    placed = counted.repartitionByRange("series", "x").sortWithinPartitions("series", "x")
+    local = placed.mapInArrow(run, "series long, x double, ranks array<double>").withColumn("part", F.spark_partition_id())
+    local = written(local, "class-ranks")
+
+    def start(table: pa.Table) -> pa.Table:
+        """A series' sums in the parts before each: a row for each range partition that it lies in."""
+        table = table.sort_by("part")
+        sums = np.array(table.column("ranks").to_pylist()).reshape(-1, wide)
+        before = np.cumsum(sums, axis=0) - sums
+        return pa.table({"series": table.column("series"), "part": table.column("part"), "start": pa.array(list(before), pa.list_(pa.float64()))})
+
+    starts = local.where("x is null").groupBy("series").applyInArrow(start, "series long, part int, start array<double>")
+    ranks = F.zip_with("ranks", "start", lambda a, b: a + b).alias("ranks")
+    return local.where("x is not null").join(F.broadcast(starts), ["series", "part"]).select("series", "x", ranks)  # broadcast: a row a range partition and series
+
+
+def spearman_table(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """left, right and name: Spearman's correlation of each two columns, over the rows where both have a value."""
+    k = len(columns)
+    rows = numbers(df, columns).toDF(*[f"c{i}" for i in range(k)])
+    bits = F.concat(*[F.when(F.col(f"c{i}").isNull(), "0").otherwise("1") for i in range(k)])
+    rows = written(rows.select("*", bits.alias("bits")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    some = sorted(r["bits"] for r in rows.select("bits").distinct().limit(k + 1).collect())
+    codes = {b: p for p, b in enumerate(some)} if len(some) <= k else None  # few patterns: ranks by pattern are shorter
+    classes = np.array([[c == "1" for c in b] for b in some], float).reshape(-1, k)
+    common = np.zeros((k, k))
+    for r in co_moments(rows, k, lambda own, batch: own.add_rows(_matrix(batch, [f"c{i}" for i in range(k)]))).select("l", "r", "n").collect():  # k * k numbers
+        common[r["l"], r["r"]] = r["n"]
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("series"), F.col(f"c{i}").alias("x")) for i in range(k)]))
+    long = rows.select("row", "bits", each.alias("v")).select("row", "bits", "v.*").where("x is not null")
+    ranked = long.join(class_ranks(long, codes, k), ["series", "x"])
+    ranked = ranked.groupBy("row").agg(*[F.first(F.when(F.col("series") == i, F.col("ranks")), ignorenulls=True).alias(f"r{i}") for i in range(k)])
+    whole = len(some) == 1 and "0" not in some[0]
+
+    def add(own: Moments, batch: pa.RecordBatch) -> None:
+        found = [batch.column(f"r{i}") for i in range(k)]
+        there = np.column_stack([np.asarray(c.is_valid()) for c in found])
+        held = [np.asarray(c.flatten()).reshape(int(n), k if codes is None else len(codes)) for c, n in zip(found, there.sum(axis=0), strict=True)]
+        if whole:  # a column's ranks are the same with all partners
+            own.add_rows(np.concatenate(held, axis=1) - common.diagonal() / 2)
+            return
+        step = max(1, (1 << 20) // (k * k))
+        place = np.cumsum(there, axis=0) - there
+        for a in range(0, len(there), step):
+            some = there[a : a + step]
+            x = np.zeros((len(some), k, k))
+            for i in range(k):
+                own_ranks = held[i][place[a, i] : place[a, i] + int(some[:, i].sum())]
+                by_partner = own_ranks if codes is None else (own_ranks * classes[:, i]) @ classes
+                x[some[:, i], i] = by_partner - common[i] / 2  # about the middle rank
+            own.add_pairs(x * some[:, None, :])
+
+    moments = co_moments(ranked, k, add)
+    flat = F.array(*[F.lit(float(v)) for v in common.ravel()])
+    return pearsons(moments, columns, name, flat[(F.col("l") * k + F.col("r")).cast("int")])
+
+
 def heatmap(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """left, right and value: Pearson correlations of each column with each, itself included; 0 where one is constant."""
-    found = correlations(numbers(df, columns), list(combinations_with_replacement(columns, 2)), "value").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    found = pearson_table(df, columns, "value").withColumn("value", F.coalesce("value", F.lit(0.0)))
     mirrored = found.where("left <> right").select(F.col("right").alias("left"), F.col("left").alias("right"), "value")
     return found.unionAll(mirrored)
 
 
 def pair_table(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> DataFrame:
     """left, right, pearson and spearman of all pairs of numeric columns; null where one is constant."""
-    pairs = list(combinations(columns, 2))
-    rows = numbers(df, columns).withColumn("_row", F.monotonically_increasing_id())
-    filled = rows.agg(F.count("*").alias("_n"), *[F.count(f"`{c}`").alias(c) for c in columns]).first()
-    pearson = correlations(rows, pairs, "pearson")
-    if all(filled[c] == filled["_n"] for c in columns):  # a column's ranks are the same in all its pairs
-        stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("series"), F.col(f"`{c}`").alias("x")) for c in columns])).alias("p")
-        ranked = average_ranks(rows.select("_row", stacked).select("_row", "p.*"), ["series"], filled["_n"], block)
-        wide = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("series") == c, F.col("r"))).alias(c) for c in columns])
-        spearman = correlations(wide, pairs, "spearman")
-    else:
-        both = [F.struct(F.lit(k).alias("pair"), F.lit(s).alias("side"), F.when(F.col(f"`{o}`").isNotNull(), F.col(f"`{c}`")).alias("x")) for k, (a, b) in enumerate(pairs) for s, c, o in ((0, a, b), (1, b, a))]
-        long = written(rows.select("_row", F.explode(F.array(*both)).alias("p")).select("_row", "p.*").where("x is not null"), "pairs")
-        ranked = average_ranks(long, ["pair", "side"], filled["_n"], block)
-        sides = ranked.groupBy("pair", "_row").agg(F.max(F.when(F.col("side") == 0, F.col("r"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("r"))).alias("b"))
-        found = sides.groupBy("pair").agg(pearson_of(F.col("a"), F.col("b")).alias("spearman"))
-        names = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, left string, right string")
-        spearman = names.join(found, "pair", "left").select("left", "right", "spearman")
-    return pearson.join(spearman, ["left", "right"])
+    different = F.col("left") != F.col("right")
+    return pearson_table(df, columns, "pearson").where(different).join(spearman_table(df, columns, "spearman").where(different), ["left", "right"])
 
 
 def correlation(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> DataFrame:
@@ -83,15 +206,17 @@ def correlation(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> Da
     if len(columns) < 2:
         one = spark.range(1).select(F.lit("(table)").alias("series"), F.lit(len(columns)).alias("n"))
         return results(one, "correlation", {}, {}, [], least=2, short=(70.0, "limited"))
-    pairs = pair_table(df, columns, block).where("pearson is not null and spearman is not null")
+    pairs = written(pair_table(df, columns, block).where("pearson is not null and spearman is not null"), "pairs")
     most = F.greatest(F.abs("pearson"), F.abs("spearman"))
-    example = F.format_string("%s-%s: Pearson=%.3f, Spearman=%.3f", "left", "right", "pearson", "spearman")
+    names = F.array(*map(F.lit, columns))
+    order = [F.array_position(names, F.col("left")), F.array_position(names, F.col("right"))]
+    example = F.format_string("%s-%s: Pearson=%.3f, Spearman=%.3f", "left", "right", "pearson", "spearman").alias("told")
+    first = lambda least: "; ".join(r["told"] for r in pairs.where(most > least).orderBy(*order).limit(EXAMPLES).select(example).collect())
     sums = pairs.agg(
         F.count("*").alias("pairs"), F.coalesce(F.avg(F.abs("pearson")), F.lit(0.0)).alias("mean"), F.coalesce(F.max(most), F.lit(0.0)).alias("most"),
-        *[F.array_join(F.slice(F.array_sort(F.collect_list(F.when(most > m, example))), 1, 3), "; ").alias(k) for k, m in (("high", 0.99), ("very", 0.999))],
         F.sum((most > 0.99).cast("int")).alias("n_high"), F.sum((most > 0.999).cast("int")).alias("n_very"),
     ).withColumns({"series": F.lit("(table)"), "n": F.lit(len(columns))})
-    found = results(
+    return results(
         sums, "correlation",
         {"pair_count": F.col("pairs"), "average_abs_pearson": F.col("mean"), "max_abs_correlation": F.col("most"), "high_pair_count": F.coalesce("n_high", F.lit(0)), "very_high_pair_count": F.coalesce("n_very", F.lit(0))},
         {
@@ -100,9 +225,8 @@ def correlation(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> Da
             "average_correlation_penalty": F.when(F.col("pair_count") >= 3, ramp_up(F.col("average_abs_pearson"), 0.96, 1, 18)).otherwise(0.0),
         },
         [
-            Reason("Columns are almost perfectly correlated: derived or copied values?", F.col("very_high_pair_count") > 0),
-            Reason("Columns are correlated very strongly.", (F.col("very_high_pair_count") == 0) & (F.col("high_pair_count") > 0)),
+            Reason(f"Columns are almost perfectly correlated, as if derived or copied: {first(0.999)}", F.col("very_high_pair_count") > 0),
+            Reason(f"Columns are correlated so strongly that it needs an explanation: {first(0.99)}", (F.col("very_high_pair_count") == 0) & (F.col("high_pair_count") > 0)),
             Reason("Columns move together too closely on the whole.", F.col("average_correlation_penalty") > 0),
         ],
     )
-    return found

@@ -87,10 +87,32 @@ def checks(df: DataFrame, columns: Sequence[str], scenario: str | None = "auto")
     return found.select("column", "rule", "lo", "hi", "hard_rate", "soft_rate", ramp_up(F.col("hard_rate"), 0, 0.15, 28).alias("hard_penalty"), ramp_up(F.col("soft_rate"), 0.02, 0.30, 16).alias("soft_penalty"), unit.alias("unit_penalty"))
 
 
+#: What is said of a column; the order is that of the reasons.
+SHARE = "values lie between 0 and 1, though the name tells of a percentage: check the unit."
+HARD = "values lie outside the physical range: check units and entries first."
+SOFT = "values lie outside the usual range: compare with region, crop and device."
+
+
+def matched_rules(df: DataFrame, columns: Sequence[str], scenario: str | None = "auto") -> DataFrame:
+    """column, rule, its soft and hard bounds, the column's least and largest value, the shares of values outside, and notes
+    (what is to be looked at, in order), for each column with a rule and values."""
+    rules = {c: r for c in columns if (r := match_rule(c, scenario))}
+    bounds = [(k, c, *map(float, (*r.soft, *r.hard))) for k, (c, r) in enumerate(rules.items())]
+    bounds = df.sparkSession.createDataFrame(bounds, "place int, column string, soft_min double, soft_max double, hard_min double, hard_max double")
+    found = checks(df, columns, scenario)
+    share = F.col("rule").isin("humidity", "soil_moisture") & (F.col("lo") >= 0) & (F.col("hi") <= 1)
+    notes = F.array(F.when(share, SHARE), F.when(F.col("hard_penalty") > 0, HARD), F.when(F.col("soft_penalty") > 0, SOFT))
+    rates = [F.round(f"{k}_rate", 4).alias(f"{k}_out_of_range_rate") for k in ("hard", "soft")]
+    ends = [F.round("lo", 4).alias("min"), F.round("hi", 4).alias("max")]
+    penalties = [F.col(f"{k}_penalty") for k in ("hard", "soft", "unit")]
+    return found.join(F.broadcast(bounds), "column").select("place", "column", "rule", "soft_min", "soft_max", "hard_min", "hard_max", *ends, *rates, F.filter(notes, lambda n: n.isNotNull()).alias("notes"), *penalties)
+
+
 def physical(df: DataFrame, columns: Sequence[str], scenario: str | None = "auto") -> DataFrame:
-    sums = checks(df, columns, scenario).agg(
+    said = F.transform("notes", lambda n: F.concat("column", F.lit(": "), n))
+    sums = matched_rules(df, columns, scenario).agg(
         F.count("*").alias("matched"), *[F.coalesce(F.sum(f"{k}_penalty"), F.lit(0.0)).alias(k) for k in ("hard", "soft", "unit")],
-        F.coalesce(F.sum((F.col("rule").isin("humidity", "soil_moisture") & (F.col("lo") >= 0) & (F.col("hi") <= 1)).cast("int")), F.lit(0)).alias("shares"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", said.alias("said")))), lambda s: s["said"])).alias("told"),  # a row a column
     ).withColumns({"series": F.lit("(table)"), "n": F.lit(len(columns))})
     return results(
         sums, "physical",
@@ -100,9 +122,7 @@ def physical(df: DataFrame, columns: Sequence[str], scenario: str | None = "auto
             "coverage_penalty": F.when(F.lit(bool(columns)) & (F.col("rule_coverage") < 0.25), 8.0).otherwise(0.0),
         },
         [
-            Reason("Values of a percentage column lie between 0 and 1: check the unit.", F.col("shares") > 0),
-            Reason("Values lie outside the physical range: check units and entries.", F.col("hard_penalty") > 0),
-            Reason("Values lie outside the usual range: compare with region, crop and device.", F.col("soft_penalty") > 0),
             Reason("Few columns have a rule: choose a closer scenario or fuller names.", F.col("coverage_penalty") > 0),
         ],
+        told=F.col("told"),
     )

@@ -26,10 +26,10 @@ class Reason:
 
 def results(
     rows: DataFrame, indicator: str, metrics: dict[str, Column], penalties: dict[str, Column], reasons: Sequence[Reason],
-    *, least: int = 0, short: tuple[float, str] = (50.0, "insufficient_data"), attention: float = 30,
+    *, least: int = 0, short: tuple[float, str] = (50.0, "insufficient_data"), attention: float = 30, told: Column | None = None,
 ) -> DataFrame:
     """rows: one for each series, with series, n and what metrics and penalties (over the rows' columns, then over
-    metrics) are made of. Series shorter than least get the short score."""
+    metrics) are made of. Series shorter than least get the short score. told: texts (an array) that come before the reasons."""
     for name, value in (metrics | penalties).items():
         rows = rows.withColumn(name, value.cast("double"))
     penalty = sum((F.col(p) for p in penalties), F.lit(0.0))
@@ -37,6 +37,8 @@ def results(
     pairs = [x for name in (*metrics, *penalties) for x in (F.lit(name), F.col(name))]
     texts = F.array(*[F.when(r.when, F.struct(F.lit(r.text).alias("text"), F.lit(r.informational).alias("informational"))) for r in reasons])
     texts = F.filter(texts, lambda r: r.isNotNull())
+    if told is not None:
+        texts = F.concat(F.transform(told, lambda t: F.struct(t.alias("text"), F.lit(False).alias("informational"))), texts)
     note = lambda text, informational: F.array(F.struct(F.lit(text).alias("text"), F.lit(informational).alias("informational")))
     return rows.select(
         F.col("series").alias("column"), F.lit(indicator).alias("indicator"), F.col("n").cast("long").alias("n"),

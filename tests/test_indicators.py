@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,43 @@ def test_ties_are_counted_before_they_are_ranked(spark):
     assert quantiles(blocked.rows.limit(0), "x", [0.5], blocked.counts, 32).count() == 0
 
 
+@pytest.mark.parametrize("shares", [{"a": 0.2, "d": 0.5}, dict.fromkeys("abcdef", 0.4)])
+def test_correlations_under_patterns_of_nulls(spark, shares):
+    """Few patterns of nulls, and more patterns than columns; ties, a constant column, an empty one."""
+    r = np.random.default_rng(len(shares))
+    n = 400
+    data = {"a": r.normal(size=n), "b": r.integers(0, 5, n).astype(float), "c": r.normal(size=n) + 1e9, "d": r.normal(size=n), "e": np.full(n, 7.1), "f": r.integers(0, 40, n).astype(float), "g": np.full(n, np.nan)}
+    data["d"] = data["a"] ** 3 + data["b"]
+    for c, share in shares.items():
+        data[c] = np.where(r.random(n) < share, np.nan, data[c])
+    pdf = pd.DataFrame(data)
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in pdf.to_numpy()], ", ".join(f"{c} double" for c in data))
+    found = {(p["left"], p["right"]): p for p in correlation.pair_table(df.repartition(5), list(data)).collect()}
+    assert len(found) == 21
+    for (a, b), p in found.items():
+        both = pdf[[a, b]].dropna()
+        for name, method in (("pearson", "pearson"), ("spearman", "spearman")):
+            want = both.corr(method=method).iloc[0, 1] if len(both) > 1 and "e" not in (a, b) else np.nan
+            assert (p[name] is None) == bool(np.isnan(want)), (a, b, name, p[name], want)
+            assert p[name] is None or p[name] == pytest.approx(want, abs=1e-6 if "c" in (a, b) else 1e-9)
+
+
+def test_many_columns_in_two_scans(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 60)).cumsum(axis=1)
+    columns = [f"c{k}" for k in range(60)]
+    df = spark.createDataFrame([tuple(map(float, row)) for row in x], ", ".join(f"{c} double" for c in columns))
+    found = {(p["left"], p["right"]): p["value"] for p in correlation.heatmap(df, columns).collect()}
+    want = np.corrcoef(x.T)
+    assert len(found) == 3600 and all(found[f"c{i}", f"c{j}"] == pytest.approx(want[i, j], abs=1e-9) for i in range(60) for j in range(60))
+
+
+def test_pairs_are_named(spark):
+    df = spark.createDataFrame([(float(k), 3.0 * k, float(k * k % 17), -1.0 * k) for k in range(60)], "w double, x double, y double, z double")
+    text = correlation.correlation(df, ["w", "x", "y", "z"]).first()["reasons"][0]["text"]
+    assert [p for p in ("w-x: Pearson=1.000", "w-z: Pearson=-1.000", "x-z: Pearson=-1.000") if p in text] == ["w-x: Pearson=1.000", "w-z: Pearson=-1.000", "x-z: Pearson=-1.000"]
+
+
 def test_heatmap(spark):
     df = frame(spark, a=[float(k) for k in range(20)], b=[float(-k) for k in range(20)], c=[1.0] * 20)
     cells = {(h["left"], h["right"]): h["value"] for h in correlation.heatmap(df, ["a", "b", "c"]).collect()}
@@ -149,6 +187,10 @@ def test_physical(spark):
     r = {x["column"]: x for x in physical.checks(df, ["humidity", "soil_moisture", "residue"]).collect()}
     assert r["humidity"]["hard_rate"] == 0.25 and r["humidity"]["hard_penalty"] == 28
     assert r["soil_moisture"]["unit_penalty"] == 6 and r["residue"]["unit_penalty"] == 10
+    told = [x["text"] for x in one(physical.physical(df, ["residue", "soil_moisture", "humidity"]))["(table)"]["reasons"]]
+    assert [t.split(":")[0] for t in told] == [c for c in ("residue", "soil_moisture", "humidity") for n in physical.matched_rules(df, [c]).collect() for _ in n["notes"]] and told
+    matched = {x["column"]: x for x in physical.matched_rules(df, ["humidity", "soil_moisture", "residue"]).collect()}
+    assert (matched["residue"]["soft_max"], matched["residue"]["hard_max"]) == (50, 1000) and matched["humidity"]["hard_out_of_range_rate"] == pytest.approx(r["humidity"]["hard_rate"], abs=1e-4)
     total = one(physical.physical(df, ["humidity", "soil_moisture", "residue"]))["(table)"]
     assert total["score"] == pytest.approx(100 - 28 - 6 - 28 - 10)
     assert one(physical.physical(df.withColumnRenamed("humidity", "h"), ["h"]))["(table)"]["score"] == 92
