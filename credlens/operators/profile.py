@@ -1,17 +1,21 @@
 """Profiling: which column is the time, which columns are numeric, and what role every column plays.
 
-Everything about all columns comes from two aggregates over the table (counts, then distinct values in long form); only
-their results, a row for each column, reach the driver.
+Everything about all columns comes from aggregates over the table without a shuffle of its cells: counts, ends and sketches of
+different values; then, for columns that look numeric, whether any value lies apart from both ends. Whether a time never falls is
+told by the first and last value of each task's rows, put together in the rows' order. Only a row for each column reaches the driver.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import numeric
 from .ordered import BLOCK, by_block, ordered
@@ -95,7 +99,12 @@ def least_valid(rows: int, share: float) -> int:
     return min(max(8, int(rows * share)), 30)
 
 
-def column_stats(df: DataFrame, block: int = BLOCK) -> list[ColumnStats]:
+#: Relative error of the counts of different values that aren't exact.
+ABOUT = 0.02
+
+
+def column_stats(df: DataFrame, block: int = BLOCK, exact: bool = False) -> list[ColumnStats]:
+    """exact: different values are counted, by a shuffle of all cells; else numbers from 3 on are estimates."""
     kinds = {c: k for c, k in df.dtypes if c != ROW}
     texts = [c for c, k in kinds.items() if k == "string"]
     firsts = df.agg(F.count("*").alias("_n"), *[F.first(F.nullif(F.trim(f"`{c}`"), F.lit("")), ignorenulls=True).alias(f"f{k}") for k, c in enumerate(texts)]).first()
@@ -105,18 +114,79 @@ def column_stats(df: DataFrame, block: int = BLOCK) -> list[ColumnStats]:
     for i, (c, k) in enumerate(kinds.items()):
         year = F.year(times[c])
         counts += [F.count(f"`{c}`").alias(f"p{i}"), F.count(numeric(F.col(f"`{c}`"), k)).alias(f"n{i}"), F.count(times[c]).alias(f"t{i}"), F.count_if((year >= 1990) & (year <= 2100)).alias(f"y{i}")]
+        if orderable(k):
+            counts += [F.min(f"`{c}`").alias(f"a{i}"), F.max(f"`{c}`").alias(f"b{i}")] if numeric_type(k) else []
+            counts += [] if exact else [F.approx_count_distinct(F.col(f"`{c}`"), ABOUT).alias(f"d{i}")]
     row = df.agg(*counts).first()
-    values = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c, k in kinds.items() if not k.startswith("map")])
-    long = df.select(F.explode(values).alias("p")).select("p.*").where("v is not null")
-    distinct = dict(tuple(r) for r in long.groupBy("c", "v").agg(F.lit(1).alias("one")).groupBy("c").count().collect())
+    if exact:
+        distinct = exact_counts(df, [c for c, k in kinds.items() if orderable(k)])
+    else:
+        distinct = {c: row[f"d{i}"] for i, (c, k) in enumerate(kinds.items()) if orderable(k)}
+        likely = {c: i for i, c in enumerate(kinds) if c in distinct and row[f"n{i}"] >= 0.7 * firsts["_n"] > 0}
+        distinct |= {c: max(3, distinct[c]) if n > 2 else n for c, n in few_values(df, likely, {c: (row[f"a{i}"], row[f"b{i}"]) for c, i in likely.items() if numeric_type(kinds[c])}).items()}
     out = [ColumnStats(c, k, firsts["_n"], row[f"p{i}"], row[f"n{i}"], row[f"t{i}"], row[f"y{i}"], distinct.get(c, 0), form=forms.get(c)) for i, (c, k) in enumerate(kinds.items())]
     candidates = [s.column for s in out if is_candidate(s)]
     if candidates:
-        rising = increasing(df.select(*[F.unix_micros(times[c]).alias(c) for c in candidates], *([ROW] if ROW in df.columns else [F.monotonically_increasing_id().alias(ROW)])), candidates, block)
+        rising = never_falls(df.select(*[F.unix_micros(times[c]).alias(c) for c in candidates], *([ROW] if ROW in df.columns else [F.monotonically_increasing_id().alias(ROW)])), candidates, block)
         out = [ColumnStats(**(s.__dict__ | {"increasing": rising.get(s.column, False)})) for s in out]
     return out
 
 
+def orderable(kind: str) -> bool:
+    return not kind.startswith(("map", "variant")) and "map<" not in kind
+
+
+def numeric_type(kind: str) -> bool:
+    return kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+
+
+def exact_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """How many different values each column has."""
+    values = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])
+    long = df.select(F.explode(values).alias("p")).select("p.*").where("v is not null")
+    return dict(tuple(r) for r in long.groupBy("c", "v").agg(F.lit(1).alias("one")).groupBy("c").count().collect())
+
+
+def few_values(df: DataFrame, columns: Sequence[str], ends: dict[str, tuple]) -> dict[str, int]:
+    """0, 1 or 2, if a column has as many different values, else 3. ends: least and largest value of columns where they are known."""
+    if texts := [c for c in columns if c not in ends]:
+        found = df.agg(*[f(f"`{c}`").alias(f"{n}{k}") for k, c in enumerate(texts) for n, f in (("a", F.min), ("b", F.max))]).first()
+        ends = ends | {c: (found[f"a{k}"], found[f"b{k}"]) for k, c in enumerate(texts)}
+    out = {c: 0 if lo is None else 1 if lo == hi else 2 for c, (lo, hi) in ends.items()}
+    if open_ := [c for c, n in out.items() if n == 2]:
+        apart = df.agg(*[F.bool_or((F.col(f"`{c}`") != F.lit(ends[c][0])) & (F.col(f"`{c}`") != F.lit(ends[c][1]))).alias(f"m{k}") for k, c in enumerate(open_)]).first()
+        out |= {c: 3 for k, c in enumerate(open_) if apart[f"m{k}"]}
+    return out
+
+
+def never_falls(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> dict[str, bool]:
+    """Whether each column never falls, in row order and without its gaps. Each task says of its rows how they begin and end and
+    whether they fall; where tasks' rows follow one another, that is enough. Rows in any other order are put in order."""
+    names = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, list] = {}  # first row, last row, first value, last value, rises, in order
+        for batch in batches:
+            row = np.asarray(batch.column(ROW))
+            for k, c in enumerate(names):
+                there = np.asarray(batch.column(c).is_valid())
+                if there.any():
+                    x, at = np.asarray(batch.column(c).drop_null()), row[there]
+                    new = [int(at[0]), int(at[-1]), int(x[0]), int(x[-1]), bool((x[1:] >= x[:-1]).all()), bool((at[1:] > at[:-1]).all())]
+                    old = seen.get(k)
+                    seen[k] = new if old is None else [old[0], new[1], old[2], new[3], old[4] and new[4] and old[3] <= new[2], old[5] and new[5] and old[1] < new[0]]
+        if seen:
+            yield pa.RecordBatch.from_pylist([dict(zip(("k", "r0", "r1", "x0", "x1", "rises", "sorted"), (k, *v), strict=True)) for k, v in seen.items()])
+
+    pieces = df.mapInArrow(run, "k long, r0 long, r1 long, x0 long, x1 long, rises boolean, sorted boolean")
+    before = Window.partitionBy("k").orderBy("r0")  # a row a task
+    follows, higher = F.coalesce(F.lag("r1").over(before) < F.col("r0"), F.lit(True)), F.coalesce(F.lag("x1").over(before) <= F.col("x0"), F.lit(True))
+    whole = pieces.select("k", (F.col("sorted") & follows).alias("sorted"), (F.col("rises") & higher).alias("rises"))
+    found = {names[r["k"]]: r for r in whole.groupBy("k").agg(F.bool_and("sorted").alias("sorted"), F.bool_and("rises").alias("rises")).collect()}
+    rest = [c for c in names if c in found and not found[c]["sorted"]]
+    return {c: found[c]["rises"] for c in names if c in found} | (increasing(df, rest, block) if rest else {})
+
+
 def increasing(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> dict[str, bool]:
     """Whether each column never falls, in row order and without its gaps."""
     rows = ordered(df, columns, [ROW], block).spans(before=1).withColumn("falls", F.col("x") < F.lag("x").over(by_block()))
@@ -143,8 +213,9 @@ def detect_numeric(stats: Sequence[ColumnStats], time: str | None) -> list[str]:
     return [s.column for s in stats if s.column not in (time, SHEET) and not is_identifier(s.column) and s.numeric_rate >= 0.7 and s.numeric >= least_valid(s.rows, 0.08) and s.distinct >= 3]
 
 
-def profile(df: DataFrame, block: int = BLOCK) -> Profile:
-    stats = column_stats(df, block)
+def profile(df: DataFrame, block: int = BLOCK, exact: bool = False) -> Profile:
+    """exact: different values of all columns are counted one by one (column_stats)."""
+    stats = column_stats(df, block, exact)
     time = detect_time(stats)
     wanted = detect_numeric(stats, time)
     live = [s for s in stats if s.present and s.column != SHEET]

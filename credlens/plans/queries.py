@@ -82,7 +82,7 @@ def page_hinkley_events(spark: SparkSession, d: str) -> DataFrame:
 def profiled(name: str, of: str, oracle: str) -> None:
     @query(name, oracle)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = profile.profile(table(spark, d, of))
+        found = profile.profile(table(spark, d, of), exact=True)
         rows = [(s.column, s.rows, s.present, s.numeric, s.distinct, s.column == found.time, s.column in found.numeric, round(found.missing_rate, 6)) for s in found.stats]
         return spark.createDataFrame(rows, "column string, n_rows long, present long, numeric long, n_distinct long, is_time boolean, is_numeric boolean, missing_rate double")
 
@@ -95,13 +95,13 @@ profiled("profile_customer", "customer", oracles.profile("customer", None, {"c_c
 @query("screening_roles_events", oracles.SCREENING)
 def screening_roles_events(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "events")
-    return profile.screening(df, profile.profile(df)).select("column", "role", "entered_analysis", "non_null_count", "unique_count", F.round("missing_rate", 6).alias("missing_rate"))
+    return profile.screening(df, profile.profile(df, exact=True)).select("column", "role", "entered_analysis", "non_null_count", "unique_count", F.round("missing_rate", 6).alias("missing_rate"))
 
 
 @query("screening_table_events")
 def screening_table_events(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "events")
-    return profile.screening_table(profile.screening(df, profile.profile(df)))
+    return profile.screening_table(profile.screening(df, profile.profile(df, exact=True)))
 
 
 @query("prepare_preview30", oracles.PREVIEW)

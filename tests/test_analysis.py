@@ -220,3 +220,36 @@ def test_stream_agrees_with_batch(spark, small, tmp_path):
 @pytest.mark.parametrize("word", ["序号", "编号", "代码", "编码", "行政区代码"])
 def test_identifier_words(word):
     assert profile.is_identifier(f"样地{word}") and not profile.is_identifier("区划面积")
+
+
+def test_profile_without_a_shuffle_of_cells(spark):
+    n = 500
+    rows = [(k, f"2026-01-{1 + k // 24:02d} {k % 24:02d}:00", float(k % 2), [1.0, 2.0, 3.0][k % 3], str(k % 2 + 0.5), str(k * 7 % 31), None, float("nan") if k == 3 else 1.0, k * 1.5) for k in range(n)]
+    df = spark.createDataFrame(rows, f"`{profile.ROW}` long, t string, two double, three double, texts string, many string, none double, nan double, v double")
+    about, exact = ({s.column: s for s in profile.profile(df, exact=e).stats} for e in (False, True))
+    assert {c: s.distinct for c, s in exact.items()} == {"t": n, "two": 2, "three": 3, "texts": 2, "many": 31, "none": 0, "nan": 2, "v": n}
+    for c, s in about.items():
+        assert (s.distinct >= 3) == (exact[c].distinct >= 3) and s.distinct == pytest.approx(exact[c].distinct, rel=0.06)
+    found = profile.profile(df)
+    assert found.time == "t" and found.numeric == profile.profile(df, exact=True).numeric == ["three", "many", "v"]
+
+
+@pytest.mark.parametrize("fall", [None, 0, 99, 100, 250, 399])
+def test_order_from_tasks_pieces(spark, fall):
+    """Rows in order over several tasks, rows in no order, gaps, and a fall within a task or between two."""
+    x = [k // 3 if k % 5 else None for k in range(400)]
+    if fall is not None:
+        x[fall] = -1 if fall else 1000
+        x[399] = x[399] or 0
+    rows = [(k, v, 400 - k) for k, v in enumerate(x)]
+    schema = f"`{profile.ROW}` long, x long, down long"
+    values = [v for v in x if v is not None]
+    want = {"x": all(b >= a for a, b in zip(values, values[1:], strict=False)), "down": False}
+    in_order = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), schema)
+    mixed = spark.createDataFrame(random.Random(1).sample(rows, 400), schema)
+    for df in (in_order, mixed, in_order.where("x is null or x >= 0")):
+        if df is not mixed and df is not in_order:
+            values = [v for v in x if v is not None and v >= 0]
+            want = {"x": all(b >= a for a, b in zip(values, values[1:], strict=False)), "down": False}
+        assert profile.never_falls(df, ["x", "down"]) == want
+    assert profile.never_falls(in_order.limit(0), ["x"]) == {}
