@@ -9,7 +9,8 @@ A word of more than WORD characters, such as a text without spaces, is cut into
 position of its own, in learning too, and all characters and n-grams of the word are read, each once. Where words are
 labelled, a long word's label is that of its pieces together.
 
-Learning takes a bounded sample (about EACH documents of every language; see bounded_sample). Whole texts are worked on: words
+Learning takes a bounded sample (about EACH documents of every language; see bounded_sample), and of long texts spans that are
+spread over all of them, so that the driver gets about LEARNED words at most. Whole texts are labelled: words
 are packed in rows of SPAN, and a longer text's rows are joined by their transfer matrices, so that long texts need no long
 loop and no padding to the longest. Row by row, without a shuffle. Null text or text without a letter is `und` with
 score 0; without anything to learn from all are. Repeated rows are labelled alike, empty tables give empty results.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import MULTIPLIER, characters, longer, mixed, within
-from .common import bounded_sample, fold, map_batches
+from .common import bounded_sample, fold, map_batches, written
 
 EACH = 300
 BITS = 17
@@ -37,6 +38,8 @@ LENGTH, SEQUENCES, STEPS, SPAN = 24, 64, 250, 64
 AT_ONCE, FEATURED = 200_000, 10_000
 #: Characters of a position: longer words are cut.
 WORD = 40
+#: Words that the driver learns from at most, about, and words of a span where not all of a text's are among them.
+LEARNED, SPREAD = 2_000_000, 8 * 24
 
 
 def pieces(word: str) -> list[str]:
@@ -126,14 +129,31 @@ def step_gradient(scores: np.ndarray, transition: np.ndarray, gold: np.ndarray)
     return by_score / n, by_transition / n
 
 
+def spread_spans(words: list[str], most: int) -> list[str]:
+    """At most about so many of a text's words: all, or spans of SPREAD words that are evenly spread over it."""
+    if len(words) <= most:
+        return words
+    n = max(1, most // SPREAD)
+    starts = [k * (len(words) - SPREAD) // max(1, n - 1) for k in range(n)]
+    return [w for at in starts for w in words[at : at + SPREAD]]
+
+
 def fit(docs: DataFrame) -> Model:
     """docs: text and lang of the documents that may be learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     ids = bounded_sample(rows.select("doc_id", "lang"), "lang", EACH).select("doc_id").distinct()
-    got = rows.join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "lang"])  # bounded: see bounded_sample
-    got["words"] = [[w for w in cut(t) if lettered(w)] for t in got["text"]]
-    got = got[got["words"].map(len) > 0]
+    ids = written(ids, "learned")
+    most = max(SPREAD, LEARNED // max(1, ids.count()))
+
+    def lettered_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = [spread_spans([w for w in cut(t) if lettered(w)], most) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(words, pa.list_(pa.string()))], ["doc_id", "lang", "words"])
+
+    got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")
+    got = map_batches(got, "doc_id long, lang string, words array<string>", lambda: lettered_words).toPandas()  # bounded: see LEARNED
+    got["words"] = got["words"].map(list)
+    got = got[got["words"].map(len) > 0].sort_values(["doc_id", "lang"])
     languages = sorted(got["lang"].unique())
     k = len(languages)
     if not k:

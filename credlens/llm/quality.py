@@ -5,7 +5,8 @@ bytes; the maximum of each filter feeds a hidden layer, and each hidden unit's m
 combined into one probability. All weights are learned by gradient descent; as maxima pass gradients to one place each,
 the backward step touches those places alone.
 
-Learning takes a bounded sample of labelled rows (EACH of either label, whatever their length), on the driver.
+Learning takes a bounded sample of labelled rows (EACH of either label) on the driver, and of each at most LEARNED chunks,
+evenly spread over the whole text; they are cut in tasks, so that no text reaches the driver whole.
 Scoring goes over whole texts, CHUNKS chunks at a time, row by row, without a shuffle. Null text counts as empty and is
 scored as one chunk of padding. Without labels of both kinds every score is the share of label 1 (1, if there are none).
 Repeated rows are scored alike; an empty table gives an empty result.
@@ -26,8 +27,8 @@ EACH = 700
 CHUNK, OVERLAP, WIDTH, STRIDE = 264, 24, 9, 3
 EMBED, FILTERS, HIDDEN = 6, 24, 16
 EPOCHS, BATCH, RATE = 8, 16, 0.01
-#: Chunks that are worked on at once.
-CHUNKS = 4096
+#: Chunks that are worked on at once, and of a text that is learned from.
+CHUNKS, LEARNED = 4096, 512
 PAD = 256
 
 
@@ -52,10 +53,19 @@ class Network:
         return [self.embed, self.filters, self.floor, self.hidden, self.offset, self.out, self.bias]
 
 
+def chunk_count(data: bytes) -> int:
+    return max(1, -(-(len(data) - OVERLAP) // (CHUNK - OVERLAP)))
+
+
+def spread_chunks(data: bytes, most: int = LEARNED) -> list[bytes]:
+    """At most so many of a text's chunks, evenly spread."""
+    n, step = chunk_count(data), CHUNK - OVERLAP
+    return [data[at * step : at * step + CHUNK] for at in (range(n) if n <= most else np.arange(most) * n // most)]
+
+
 def chunked(data: bytes) -> np.ndarray:
     """(chunks, CHUNK) byte values; the last chunk is padded."""
-    step = CHUNK - OVERLAP
-    n = max(1, -(-(len(data) - OVERLAP) // step))
+    step, n = CHUNK - OVERLAP, chunk_count(data)
     padded = np.full((n - 1) * step + CHUNK, PAD, np.int16)
     padded[: len(data)] = np.frombuffer(data, np.uint8)
     return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::step]
@@ -146,10 +156,10 @@ def gradients(net: Network, texts: list[np.ndarray], labels: np.ndarray, weights
     return [d_embed, d_filters, d_most.sum(0), bent.T @ d_h, d_h.sum(0), both.T @ wrong, wrong.sum(keepdims=True)]
 
 
-def train(texts: list[bytes], labels: np.ndarray, share: float) -> Network:
-    """share: of label 1 among all labels; the sample's labels are weighted by it."""
+def train(texts: list[list[bytes]], labels: np.ndarray, share: float) -> Network:
+    """texts: their chunks. share: of label 1 among all labels; the sample's labels are weighted by it."""
     net, random = Network.random(), np.random.default_rng(11)
-    chunks = [chunked(t) for t in texts]
+    chunks = [np.concatenate([chunked(c) for c in t]) for t in texts]
     own = labels.mean()
     weights = np.where(labels == 1, share / own, (1 - share) / (1 - own))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
@@ -167,14 +177,20 @@ def train(texts: list[bytes], labels: np.ndarray, share: float) -> Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    got = labelled_texts(docs, labels, "quality", EACH).toPandas().sort_values("doc_id")  # about EACH rows of either label
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        chunks = [spread_chunks(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(chunks, pa.list_(pa.binary()))], ["doc_id", "label", "chunks"])
+
+    sample = labelled_texts(docs, labels, "quality", EACH).select("doc_id", "label", "text")
+    got = map_batches(sample, "doc_id long, label int, chunks array<binary>", lambda: cut).toPandas().sort_values("doc_id")  # about EACH rows of either label
     marks = got["label"].to_numpy(float)
     if not 0 < marks.sum() < len(marks):
         net = Network.random()
         net.out[:], net.bias[:] = 0, 30.0 if not len(marks) or marks[0] == 1 else -30.0
         return net
     counts = {r["quality"]: r["count"] for r in labels.where("quality in (0, 1)").groupBy("quality").count().collect()}
-    return train([t.encode() for t in got["text"]], marks, counts[1] / (counts[0] + counts[1]))
+    return train([list(c) for c in got["chunks"]], marks, counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
@@ -186,7 +202,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t.as_py().encode() for t in batch.column("text")]
-            sizes = [max(1, -(-(len(t) - OVERLAP) // (CHUNK - OVERLAP))) for t in texts]
+            sizes = [chunk_count(t) for t in texts]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probabilities(net, texts), pa.float64()), pa.array(sizes, pa.int64())], ["doc_id", "score", "n_chunks"])
 
         return one

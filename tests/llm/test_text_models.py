@@ -447,3 +447,21 @@ def test_quality_network_against_a_loop():
     want = [loop(t) for t in texts]
     assert quality.probabilities(net, texts) == pytest.approx(want, abs=1e-4)
     assert [quality.probability(net, t) for t in texts] == pytest.approx(want, abs=1e-4)
+
+
+def test_what_is_learned_of_long_texts_is_bounded(spark):
+    """Chunks and spans from all over a long text, and no more than the bound; short texts are learned from whole."""
+    data = bytes(np.random.default_rng(1).integers(97, 123, 3_000_000).astype(np.uint8))
+    chunks = quality.spread_chunks(data)
+    assert len(chunks) == quality.LEARNED and data.startswith(chunks[0]) and data.rfind(chunks[-1]) > 0.99 * len(data)
+    whole = data[:20_000]
+    assert np.array_equal(np.concatenate([quality.chunked(c) for c in quality.spread_chunks(whole)]), quality.chunked(whole))
+    words = [f"w{k}" for k in range(50_000)]
+    spans = langid.spread_spans(words, 1000)
+    assert 800 <= len(spans) <= 1000 and spans[0] == "w0" and spans[-1] == "w49999" and langid.spread_spans(words[:1000], 1000) == words[:1000]
+    good, bad = "the plain words of a text that reads well ", "zx!! qq## 0x0x ~~~~ "
+    rows = [(k, (good if k % 2 else bad) * (40_000 if k < 4 else 5), "en", "a", 0) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert all((scores[k] > 0.5) == bool(k % 2) for k in range(40))
