@@ -91,29 +91,32 @@ def sample_counts(counted: DataFrame, k: int, n: int, size: int) -> dict[tuple[f
     return {found[i][:-1]: int(t) for i, t in zip(places, times, strict=True)}
 
 
-def at_rank(scored: DataFrame, column: str, rank: int) -> tuple[float, int]:
-    """The score at a rank (from 0) of all rows in ascending order, and how many rows are up to that score: counts by bins,
-    then within the bin that holds the rank, until it holds one score."""
-    below, rows = 0, scored
-    ends = rows.agg(F.min(column), F.max(column)).first()
-    while ends[0] < ends[1]:
-        lo, width = ends[0], (ends[1] - ends[0]) / BINS
-        rows = scored.where(F.col(column).between(ends[0], ends[1]))
-        place = F.floor((F.col(column) - lo) / width) if width > 0 else F.when(F.col(column) == lo, 0).otherwise(1)
-        bins = rows.groupBy(place.alias("bin")).agg(F.sum("n"), F.min(column), F.max(column)).orderBy("bin").collect()  # BINS + 1 rows at most
-        for _, n, *ends in bins:
-            if below + n > rank:
-                break
-            below += n
-    return ends[0], below + int(scored.where(F.col(column) == ends[0]).agg(F.sum("n")).first()[0])
-
-
-def score_limit(scored: DataFrame, column: str, share: float, n: int) -> float:
-    """The quantile of all rows' scores, by linear interpolation."""
+def score_limits(scored: DataFrame, columns: Sequence[str], share: float, n: int) -> list[float]:
+    """The quantile of all rows' scores in each column, by linear interpolation. The two scores that a quantile lies between are
+    looked up by rank: counts by bins, then within the bin that holds a rank, until it holds one score; a pass serves all columns
+    and ranks."""
     at = share * (n - 1)
-    low, upto = at_rank(scored, column, floor(at))
-    high = low if upto > ceil(at) else scored.where(F.col(column) > low).agg(F.min(column)).first()[0]
-    return low + (high - low) * (at - floor(at))
+    wanted = [(c, rank) for c in columns for rank in sorted({floor(at), ceil(at)})]
+    ends = scored.agg(*[f(c).alias(f"{k}{c}") for c in columns for k, f in (("a", F.min), ("b", F.max))]).first()
+    open_ = {w: (ends[f"a{w[0]}"], ends[f"b{w[0]}"], 0) for w in wanted}  # least and greatest score left, and the rows below
+    while live := [w for w in wanted if open_[w][0] < open_[w][1]]:
+        each = []
+        for k, w in enumerate(live):
+            lo, hi, _ = open_[w]
+            width = (hi - lo) / BINS
+            place = F.floor((F.col(w[0]) - lo) / width) if width > 0 else F.when(F.col(w[0]) == lo, 0).otherwise(1)
+            each.append(F.when(F.col(w[0]).between(lo, hi), F.struct(F.lit(k).alias("k"), place.cast("long").alias("bin"), F.col(w[0]).alias("score"))))
+        found = scored.select("n", F.explode(F.filter(F.array(*each), lambda e: e.isNotNull())).alias("e"))
+        bins = found.groupBy("e.k", "e.bin").agg(F.sum("n").alias("n"), F.min("e.score").alias("a"), F.max("e.score").alias("b")).orderBy("k", "bin").collect()  # BINS + 1 rows a rank at most
+        for k, w in enumerate(live):
+            below = open_[w][2]
+            for r in (r for r in bins if r["k"] == k):
+                if below + r["n"] > w[1]:
+                    open_[w] = (r["a"], r["b"], below)
+                    break
+                below += r["n"]
+    value = lambda c, rank: open_[c, rank][0]
+    return [value(c, floor(at)) + (value(c, ceil(at)) - value(c, floor(at))) * (at - floor(at)) for c in columns]
 
 
 def vote_on_all(scaled: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
@@ -140,7 +143,8 @@ def vote_on_all(scaled: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
                     yield pd.DataFrame({m: v[some] for m, v in common.items()} | {"factor": factor, "n": times[some]})[["forest", "factor", "svm", "n"]]
 
     scored = written(counted.mapInPandas(score, "forest double, factor double, svm boolean, n long"), "anomaly-scores")
-    flags = {m: F.col(m) < score_limit(scored, m, share, n) for m in ("forest", "factor")} | {"svm": F.col("svm")}
+    limits = score_limits(scored, ("forest", "factor"), share, n)
+    flags = {m: F.col(m) < limit for m, limit in zip(("forest", "factor"), limits, strict=True)} | {"svm": F.col("svm")}
     votes = sum((f.cast("int") for f in flags.values()), F.lit(0))
     rate = lambda flag: F.sum(F.when(flag, F.col("n")).otherwise(0)) / F.sum("n")
     rates = scored.agg(
@@ -156,7 +160,7 @@ def vote(x: np.ndarray) -> dict[str, float]:
     share = min(0.12, max(0.02, 8 / n))
     k = max(1, min(20, max(5, int(n**0.5)), n - 1))
     scores = {"forest": -isolation_scores(grow_forest(x, TREES), x), "factor": -outlier_factors(x, k)}
-    flags = {m: s < np.percentile(s, 100 * share) for m, s in scores.items()} | {"svm": svm_distances(x, share) < 0}
+    flags = {m: s < np.percentile(s, 100 * share) for m, s in scores.items()} | {"svm": svm_distances(x, share) < -EXACT}
     rates, votes = {m: float(f.mean()) for m, f in flags.items()}, sum(f.astype(int) for f in flags.values())
     needed = max(2, int(np.ceil(0.66 * len(flags))))
     return {f"{m}_rate": r for m, r in rates.items()} | {

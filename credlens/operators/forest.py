@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil, log2
 
 import numpy as np
@@ -32,26 +33,55 @@ def _grow(x: np.ndarray, depth: int, most: int, random: np.random.Generator):
     return column, cut, _grow(x[left], depth + 1, most, random), _grow(x[~left], depth + 1, most, random)
 
 
-def _depths(tree, x: np.ndarray) -> np.ndarray:
-    if not isinstance(tree, tuple):
-        return np.full(len(x), tree)
-    column, cut, low, high = tree
-    left, out = x[:, column] <= cut, np.empty(len(x))
-    out[left], out[~left] = _depths(low, x[left]), _depths(high, x[~left])
-    return out
+@dataclass(frozen=True)
+class Forest:
+    """Trees as arrays, a row a tree: a node's children stand at 2 * node + 1 and 2 * node + 2, and all leaves at the last level
+    (one that ends above it has nodes below that all lead left). So all rows walk as many steps, without a look at the tree."""
+
+    columns: np.ndarray  # trees, inner nodes
+    cuts: np.ndarray
+    depths: np.ndarray  # trees, leaves
+    usual: float
+
+    @property
+    def levels(self) -> int:
+        return self.depths.shape[1].bit_length() - 1
 
 
-def grow_forest(x: np.ndarray, trees: int, seed: int = 42):
+def grow_forest(x: np.ndarray, trees: int, seed: int = 42) -> Forest:
     random = np.random.default_rng(seed)
     size = min(SUBSAMPLE, len(x))
     most = ceil(log2(max(size, 2)))
-    return [_grow(x[random.choice(len(x), size, replace=False)], 0, most, random) for _ in range(trees)], usual_depth(size)
+    columns, cuts, depths = np.zeros((trees, 2**most - 1), np.intp), np.full((trees, 2**most - 1), np.inf), np.zeros((trees, 2**most))
+
+    def put(t: int, node: int, level: int, tree) -> None:
+        if not isinstance(tree, tuple):
+            depths[t, (node + 1 << most - level) - 2**most] = tree  # the leftmost leaf below
+            return
+        columns[t, node], cuts[t, node] = tree[:2]
+        put(t, 2 * node + 1, level + 1, tree[2])
+        put(t, 2 * node + 2, level + 1, tree[3])
+
+    for t in range(trees):
+        put(t, 0, 0, _grow(x[random.choice(len(x), size, replace=False)], 0, most, random))
+    return Forest(columns, cuts, depths, usual_depth(size))
+
 
+def isolation_scores(forest: Forest, x: np.ndarray) -> np.ndarray:
+    """2 ** -(mean depth / usual depth): near 1 for values that are soon alone. A tree is walked by all rows together."""
+    flat, rows, total = np.ascontiguousarray(x, float).ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
+    for columns, cuts, depths in zip(forest.columns, forest.cuts, forest.depths, strict=True):
+        node = np.zeros(len(x), np.intp)
+        for _ in range(forest.levels):
+            node = 2 * node + 1 + (flat[rows + columns[node]] > cuts[node])
+        total += depths[node - len(cuts)]
+    return 2 ** (-total / len(forest.cuts) / max(forest.usual, 1e-9))
 
-def isolation_scores(forest, x: np.ndarray) -> np.ndarray:
-    """2 ** -(mean depth / usual depth): near 1 for values that are soon alone."""
-    trees, usual = forest
-    return 2 ** (-np.mean([_depths(t, x) for t in trees], 0) / max(usual, 1e-9))
+
+def score_steps(forest: Forest) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of one column gives steps: values up to the first end have the first score, up to the second the second, ..."""
+    ends = np.append(np.unique(forest.cuts[np.isfinite(forest.cuts)]), np.inf)
+    return ends, isolation_scores(forest, ends[:, None])
 
 
 def outlier_factors(x: np.ndarray, k: int) -> np.ndarray:
@@ -81,14 +111,44 @@ def fit_neighbours(x: np.ndarray, k: int):
     return x, k, far[:, -1], 1 / (np.maximum(far[near, -1], far).mean(1) + 1e-10)
 
 
+#: Rows beside the neighbours that are wanted whose distances are worked out exactly.
+SPARE = 8
+
+
+def nearest(x: np.ndarray, y: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k rows of x nearest to each row of y, in any order, and their distances. A product of matrices finds rows that may be
+    near; exact distances decide among them, and for all rows where the product's rounding leaves a doubt. skip: rows of y that
+    are in x as well, and leave out one row equal to them."""
+    middle = x.mean(0)
+    a, b = y - middle, x - middle
+    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None]
+    rough = squares - 2 * (a @ b.T)
+    m = min(len(x), k + 1 + SPARE)
+    near = np.argpartition(rough, m - 1, 1)[:, :m] if m < len(x) else np.broadcast_to(np.arange(len(x)), (len(y), len(x)))
+    exact = ((y[:, None] - x[near]) ** 2).sum(2)
+    own = np.flatnonzero(skip)
+    exact[own, exact[own].argmin(1)] = np.inf
+    best = np.argpartition(exact, k - 1, 1)[:, :k]
+    far = np.take_along_axis(exact, best, 1)
+    if m < len(x):
+        left_out, noise, most = np.partition(rough, m, 1)[:, m], 1e-14 * squares.max(1), far.max(1)
+        doubt = np.flatnonzero((left_out - noise < most) & (noise > 1e-9 * most) & (most > 0))
+        if len(doubt):
+            every = squared_distances(y[doubt], x)
+            mine = np.flatnonzero(skip[doubt])
+            every[mine, every[mine].argmin(1)] = np.inf
+            some = np.argpartition(every, k - 1, 1)[:, :k]
+            near = near.copy()
+            near[doubt[:, None], best[doubt]] = some
+            far[doubt] = np.take_along_axis(every, some, 1)
+    return np.take_along_axis(near, best, 1), np.sqrt(far)
+
+
 def outlier_factors_of(model, y: np.ndarray, member: np.ndarray) -> np.ndarray:
     """Local outlier factors of any rows; one that is a member of the model's rows is no neighbour of its own."""
     x, k, last, density = model
-    distance = np.sqrt(squared_distances(y, x))
-    own = np.flatnonzero(member)
-    distance[own, distance[own].argmin(1)] = np.inf
-    near = np.argpartition(distance, k - 1, 1)[:, :k]
-    reach = np.maximum(last[near], np.take_along_axis(distance, near, 1)).mean(1)
+    near, distance = nearest(x, y, k, member)
+    reach = np.maximum(last[near], distance).mean(1)
     return density[near].mean(1) * (reach + 1e-10)
 
 
@@ -135,35 +195,39 @@ def svm_distances_of(model, y: np.ndarray) -> np.ndarray:
 def isolation_rate(series: Ordered) -> DataFrame:
     """series and isolation: the share of a column's values that an isolation forest sets apart.
 
-    Forests are grown in tasks from a bounded sample of each column (SAMPLE values, by hash) and broadcast, a forest a
-    column; all values are scored where they are. The threshold is the sample's quantile at the contamination.
+    Forests are grown in tasks from a bounded sample of each column (SAMPLE values, by hash) and broadcast, a forest a column.
+    A forest of one column has one score between two cuts: values are counted by such steps where they are, and the counts of
+    all values, at most a row a step, give the threshold at the contamination.
     """
     spread = F.pmod(F.xxhash64("series", "i", F.lit(42)), F.lit(1_000_003)) / 1_000_003.0
     sample = series.rows.where(spread * F.col("n") < SAMPLE).select("series", "n", "i", "x")
 
     def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        import pickle
-
         part = part.sort_values("i").head(2 * SAMPLE)
-        x = part[["x"]].to_numpy()
-        forest = grow_forest(x, TREES)
-        share = min(0.15, max(0.02, 3 / int(part["n"].iloc[0])))
-        limit = np.percentile(-isolation_scores(forest, x), 100 * share)
-        return pd.DataFrame({"series": [key[0]], "forest": [pickle.dumps((forest, limit))]})
-
-    grown = {r["series"]: r["forest"] for r in sample.groupBy("series").applyInPandas(grow, "series string, forest binary").collect()}  # a row a column
-    shared = series.rows.sparkSession.sparkContext.broadcast(grown)
+        ends, scores = score_steps(grow_forest(part[["x"]].to_numpy(), TREES))
+        return pd.DataFrame({"series": [key[0]], "ends": [ends], "scores": [scores]})
 
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pickle
+    grown = sample.groupBy("series").applyInPandas(grow, "series string, ends array<double>, scores array<double>").collect()  # a row a column
+    shared = series.rows.sparkSession.sparkContext.broadcast({r["series"]: np.array(r["ends"]) for r in grown})
 
-        forests = {k: pickle.loads(v) for k, v in shared.value.items()}
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, rows in part.groupby("series", sort=False):
-                forest, limit = forests[name]
-                values, times = np.unique(rows["x"].to_numpy(), return_counts=True)
-                apart = -isolation_scores(forest, values[:, None]) < limit
-                yield pd.DataFrame({"series": [name], "apart": [int(times[apart].sum())], "all": [len(rows)]})
-
-    counted = series.rows.select("series", "x").mapInPandas(score, "series string, apart long, all long")
-    return counted.groupBy("series").agg((F.sum("apart") / F.sum("all")).alias("isolation"))
+                steps, times = np.unique(np.searchsorted(shared.value[name], rows["x"].to_numpy(), side="left"), return_counts=True)
+                yield pd.DataFrame({"series": name, "step": steps, "times": times})
+
+    counted = series.rows.select("series", "x").mapInPandas(place, "series string, step long, times long")
+    counted = counted.groupBy("series", "step").agg(F.sum("times").alias("times"))
+    scores = {r["series"]: np.array(r["scores"]) for r in grown}
+
+    def rate(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        score, times = -scores[key[0]][part["step"].to_numpy()], part["times"].to_numpy()
+        order = np.argsort(score)
+        score, upto = score[order], np.cumsum(times[order])
+        n = int(upto[-1])
+        at = (n - 1) * min(0.15, max(0.02, 3 / n))
+        low, high = score[np.searchsorted(upto, [np.floor(at), np.ceil(at)], side="right")]
+        apart = score < low + (high - low) * (at - np.floor(at))
+        return pd.DataFrame({"series": [key[0]], "isolation": [times[order][apart].sum() / n]})
+
+    return counted.groupBy("series").applyInPandas(rate, "series string, isolation double")

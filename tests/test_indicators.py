@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credlens.operators import anomaly, changepoint, correlation, digits, drift, outliers, physical, sampling, smoothness, timeseries
-from credlens.operators.forest import fit_neighbours, fit_svm, grow_forest, isolation_scores, outlier_factors, outlier_factors_of, svm_distances, svm_distances_of
+from credlens.operators.forest import _grow, fit_neighbours, fit_svm, grow_forest, isolation_scores, nearest, outlier_factors, outlier_factors_of, score_steps, svm_distances, svm_distances_of
 from credlens.operators.ordered import cumulated, ordered, quantiles
 
 
@@ -242,7 +242,8 @@ def test_anomaly_scores_all_rows(spark):
     assert sum(sample.values()) == 800 and 210 <= sample[5.0, 5.0] <= 325  # a third of the rows
     scored = counted.withColumnRenamed("x0", "s")
     for share in (0.0, 0.02, 0.5, 0.9, 1.0):
-        assert anomaly.score_limit(scored, "s", share, 6000) == pytest.approx(np.percentile([a for a, _ in rows], 100 * share), abs=1e-12)
+        found = anomaly.score_limits(scored, ("s", "x1"), share, 6000)
+        assert found == [pytest.approx(np.percentile([r[k] for r in rows], 100 * share), abs=1e-12) for k in (0, 1)]
     ranked, plain = (anomaly.robust_scale(df.select("a", "b"), ["a", "b"], 6000, block).agg(F.sum(F.abs("a")), F.sum(F.abs("b"))).first() for block in (1000, 10_000))
     assert ranked == pytest.approx(plain)
 
@@ -254,6 +255,47 @@ def test_fitted_models_agree_with_their_own_rows():
     assert svm_distances_of(fit_svm(x, 0.05), x) == pytest.approx(svm_distances(x, 0.05), abs=1e-9)
 
 
+def test_forest_arrays_give_the_depths_of_the_trees():
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.normal(size=(400, 3)), np.ones((50, 3)), r.normal(size=(5, 3)) * 40])
+    forest, random, size = grow_forest(x, 20), np.random.default_rng(42), 256
+
+    def depth(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    trees = [_grow(x[random.choice(len(x), size, replace=False)], 0, 8, random) for _ in range(20)]
+    want = [2 ** (-np.mean([depth(t, row) for t in trees]) / forest.usual) for row in x]
+    assert isolation_scores(forest, x) == pytest.approx(want, abs=1e-12)
+    one = grow_forest(x[:, :1], 30)
+    ends, scores = score_steps(one)
+    assert scores[np.searchsorted(ends, x[:, 0], side="left")] == pytest.approx(isolation_scores(one, x[:, :1]), abs=1e-12)
+    assert isolation_scores(grow_forest(np.ones((5, 1)), 3), np.ones((2, 1))) == pytest.approx([0.5, 0.5], abs=0.2)
+
+
+def test_nearest_rows_are_exact():
+    r = np.random.default_rng(10)
+    far = 1e7 + r.normal(size=(40, 2)) * 1e-3  # a cluster so far out that a product of matrices can't tell its rows apart
+    x = np.concatenate([r.normal(size=(300, 2)), np.ones((60, 2)), far])
+    for y, member in ((x, True), (np.concatenate([r.normal(size=(50, 2)), far + 1e-4]), False)):
+        skip = np.full(len(y), member)
+        near, distance = nearest(x, y, 10, skip)
+        for i, row in enumerate(y):
+            d = np.sqrt(((x - row) ** 2).sum(1))
+            if member:
+                d[i] = np.inf
+            assert sorted(distance[i]) == pytest.approx(sorted(d)[:10], rel=1e-9, abs=1e-12)
+            assert len(set(near[i].tolist())) == 10
+
+
+def test_outlier_forest_threshold_counts_all_values(spark):
+    """Every value far out is apart, however few of them the sample holds; the share is that of all values."""
+    values = [float(k % 1000) for k in range(9000)] + [50_000.0 + k for k in range(100)]
+    found = one(outliers.outliers(ordered(frame(spark, a=values), ["a"], ["i"])))["a"]
+    assert found["metrics"]["isolation_forest_rate"] == pytest.approx(0.02, abs=0.003)
+
+
 def test_outlier_forest_rate(spark):
     r = random.Random(4)
     found = one(outliers.outliers(ordered(frame(spark, a=[r.gauss(0, 1) for _ in range(300)]), ["a"], ["i"])))["a"]
