@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,7 +99,7 @@ EACH_SHEET, ALL_SHEETS = 3, 10
 
 def table_checks(sheets: dict[str, Analysis]) -> dict[str, dict]:
     """For each check of whole tables: its score over sheets (a mean weighted by rows), its risk, each sheet's score, and
-    reasons. Sheets with too few columns to correlate take no part in that check."""
+    reasons. Sheets with too few columns to correlate take no part in that check, which is told as skipped if none does."""
     held: dict[str, list[tuple[str, int, dict]]] = {}
     for name, a in sheets.items():
         for r in a.results.where(F.col("column") == "(table)").collect():  # a row a check
@@ -111,8 +111,12 @@ def table_checks(sheets: dict[str, Analysis]) -> dict[str, dict]:
         told = [f"{n}: {x['text']}" for n, _, r in found for x in r["reasons"][:EACH_SHEET]][:ALL_SHEETS]
         out[indicator] = {
             "score": score, "risk": "ok" if score >= 70 else "attention", "per_sheet_scores": {n: round(r["score"], 2) for n, _, r in found},
-            "reasons": told or ["No sheet shows a clear risk as a whole."],
+            "reasons": told or ["No sheet shows a clear risk as a whole."], "skipped": False,
         }
+    if "correlation" not in out:
+        chosen = any("correlation" in a.selected for a in sheets.values())
+        why = "No sheet has columns enough for this check." if chosen else "This check wasn't selected."
+        out["correlation"] = {"score": None, "risk": "skipped", "per_sheet_scores": {}, "reasons": [why], "skipped": True}
     return out
 
 
@@ -130,6 +134,8 @@ def analyze_workbook(book: Workbook, scenario: str | None = "auto", indicators=N
     rows = [(n, a.profile.rows, k, s) for n, a in sheets.items() for k, s in a.sub_scores.items()]
     rolled = scoring.roll_up(spark.createDataFrame(rows, "sheet string, rows long, indicator string, score double"))
     found = profile.profile(book.df, block)
+    if own := list(dict.fromkeys(c for a in sheets.values() for c in a.profile.numeric)):  # what is scored are the sheets' columns
+        found = replace(found, numeric=own)
     out = Analysis(found, profile.screening(book.df, found), first.selected, first.weights, sheets=sheets, strategy="separate", preview=profile.preview(book.df, found))
     prefixed = [a.results.withColumn("column", F.concat(F.lit(f"{n} / "), "column")) for n, a in sheets.items()]
     out.results = reduce(lambda a, b: a.unionByName(b), prefixed)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ..operators.profile import ROLES
 from . import config
 
-KEYS = {"events": "ts, event_id", "orders": "o_orderdate, o_orderkey", "lineitem": "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"}
+KEYS = {"events": "ts, event_id", "wide": "ts, event_id", "orders": "o_orderdate, o_orderkey", "lineitem": "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"}
 SMOOTH = ["normalized_mean_abs_diff", "diff_cv", "second_diff_std_ratio", "low_rolling_variance_rate", "pct_change_std"]
 TIMESERIES = ["acf_lag1", "acf_lag2", "acf_lag12", "sign_change_rate", "trend_strength", "high_order_acf_max"]
 DRIFT = ["mean_shift_ratio", "variance_shift_ratio", "rolling_slope_ratio", "cusum_range", "sign_imbalance"]
@@ -125,6 +126,14 @@ SCREENING = "WITH r AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", '{r}' AS role, {str(r == 'numeric').lower()} AS entered_analysis, count({c}) AS non_null_count, count(DISTINCT {c}) AS unique_count, round(1 - count({c}) / count(*), 6) AS missing_rate FROM events"
     for c, r in (("event_id", "identifier"), ("ts", "time"), ("user_id", "identifier"), ("event_type", "text"), ("value", "numeric"), ("props", "text"))
 ) + ") SELECT * FROM r"
+#: The screening as it is shown; what is said of a role stands in the operator's table of roles.
+SCREENING_TABLE = "WITH s AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS present, count(*) AS n, count(DISTINCT {c}) AS unique_count, count(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) AS numbers, {'count(' + c + ')' if c == 'ts' else '0'} AS times FROM events"
+    for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
+) + f""") SELECT "column", role, role = 'numeric' AS entered_analysis, present AS non_null_count, printf('%.1f%%', 100.0 * (n - present) / n) AS missing_rate, unique_count,
+  printf('%.1f%%', 100.0 * numbers / n) AS numeric_valid_rate, printf('%.1f%%', 100.0 * times / n) AS datetime_valid_rate, handling
+FROM s JOIN (VALUES ('event_id', 'identifier'), ('ts', 'time'), ('user_id', 'identifier'), ('event_type', 'text'), ('value', 'numeric'), ('props', 'text')) r(c, role) ON "column" = c
+JOIN (VALUES {", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in ROLES.items())}) h(k, handling) ON role = k"""
 PREVIEW = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, event_type, round(value, 6) AS value FROM events ORDER BY events.ts, event_id LIMIT 30"
 UNION = """SELECT nationkey, count(*) AS n, count(segment) AS n_segment, round(sum(acctbal), 4) AS acctbal FROM (
 SELECT c_acctbal AS acctbal, c_nationkey AS nationkey, c_mktsegment AS segment FROM customer UNION ALL SELECT s_acctbal, s_nationkey, NULL FROM supplier) GROUP BY nationkey"""
@@ -178,6 +187,23 @@ ROLLUP = """WITH s AS (SELECT event_type, count(*) AS n, 100 * avg(CAST(value >
 SELECT 'share_over_20' AS indicator, round(sum(score * n) / sum(n), 2) AS score FROM s"""
 
 
+def matched(columns: dict[str, tuple[str, str, tuple, tuple]]) -> str:
+    """columns: source column by name, rule, soft and hard bounds."""
+    parts = []
+    for name, (source, rule, soft, hard) in columns.items():
+        outside = lambda b, source=source: f"({source} < {b[0]} OR {source} > {b[1]})"
+        parts.append(f"""SELECT '{name}' AS "column", '{rule}' AS rule, {soft[0]}::DOUBLE AS soft_min, {soft[1]}::DOUBLE AS soft_max, {hard[0]}::DOUBLE AS hard_min, {hard[1]}::DOUBLE AS hard_max,
+  round(min({source})::DOUBLE, 4) AS min, round(max({source})::DOUBLE, 4) AS max, avg({outside(hard)}::INT) AS h, avg(({outside(soft)} AND NOT {outside(hard)})::INT) AS s FROM lineitem""")
+    return f"""SELECT "column", rule, soft_min, soft_max, hard_min, hard_max, min, max, round(h, 4) AS hard_out_of_range_rate, round(s, 4) AS soft_out_of_range_rate,
+  ((rule IN ('humidity', 'soil_moisture') AND min >= 0 AND max <= 1)::INT + (h > 0)::INT + (s > 0.02)::INT) AS notes FROM ({' UNION ALL '.join(parts)})"""
+
+
+MATCHED = matched({
+    "rainfall": ("l_quantity", "rainfall", (0, 300), (0, 1000)), "leaf_temperature": ("l_extendedprice", "temperature", (-20, 60), (-50, 80)),
+    "soil_moisture": ("l_discount", "soil_moisture", (0, 100), (0, 100)), "co2": ("l_tax", "co2", (250, 5000), (0, 10000)),
+})
+
+
 def total(table: str, column: str, time: str) -> str:
     w = config.weights(["smoothness", "digit", "timeseries", "drift"])
     parts = {"smoothness": smooth, "digit": digit, "timeseries": timeseries, "drift": drift}
@@ -189,3 +215,11 @@ SELECT raw_total_score, core, total_score, CASE WHEN total_score >= 70 THEN 'low
 
 
 WINDOWED = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS lo, max(value) AS hi FROM events GROUP BY day"
+
+
+#: Types of the events table; `wide` has a column for each type's values.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+_WIDE = "SELECT ts, event_id, " + ", ".join(f"CASE WHEN event_type = '{t}' THEN value END AS t_{t}" for t in EVENT_TYPES) + " FROM events"
+DRIFT_ROLLUP = f"""WITH scores AS ({drift("wide", [f"t_{t}" for t in EVENT_TYPES]).replace("WITH s AS", f"WITH wide AS ({_WIDE}), s AS", 1)}),
+rows AS (SELECT 't_' || event_type AS sheet, count(*) AS n FROM events GROUP BY 1)
+SELECT 'drift' AS indicator, round(sum(score * rows.n) / sum(rows.n), 2) AS score FROM scores JOIN rows ON "column" = sheet"""

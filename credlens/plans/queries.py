@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, changepoint, correlation, digits, drift, outliers, physical, profile, sampling, smoothness, timeseries
-from ..operators.ordered import Ordered, ordered
+from ..operators.ordered import BLOCK, Ordered, ordered
 from ..sources.readers import union_by_name, with_rows
 from ..sources.workbook import jaccard, sheet_strategy
 from ..streaming.windows import windowed_checks
@@ -40,8 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def series(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> Ordered:
-    return ordered(table(spark, sf_dir, name), columns, ORDER[name])
+def series(spark: SparkSession, sf_dir: str, name: str, columns: list[str], block: int = BLOCK) -> Ordered:
+    return ordered(table(spark, sf_dir, name), columns, ORDER[name], block)
 
 
 def flat(results: DataFrame, names: list[str]) -> DataFrame:
@@ -49,8 +49,12 @@ def flat(results: DataFrame, names: list[str]) -> DataFrame:
     return results.select("column", "n", F.round("score", 6).alias("score"), *[F.round(F.col("metrics")[m], 6).alias(m) for m in names])
 
 
-def indicator(name: str, run: Callable[[Ordered], DataFrame], of: str, columns: list[str], metrics: list[str], oracle: str) -> None:
-    query(name, oracle)(lambda spark, d: flat(run(series(spark, d, of, columns)), metrics))
+#: Values of a block where a query shows what long series go through: range partitions, halos, cumulated counts.
+SMALL = 700
+
+
+def indicator(name: str, run: Callable[[Ordered], DataFrame], of: str, columns: list[str], metrics: list[str], oracle: str, block: int = BLOCK) -> None:
+    query(name, oracle)(lambda spark, d: flat(run(series(spark, d, of, columns, block)), metrics))
 
 
 indicator("smooth_score_events", smoothness.smoothness, "events", ["value"], oracles.SMOOTH, oracles.smooth("events", ["value"]))
@@ -66,6 +70,11 @@ indicator("digit_score_lineitem", digits.digits, "lineitem", LINE, oracles.DIGIT
 indicator("digit_score_events", digits.digits, "events", ["value"], oracles.DIGIT, oracles.digit("events", ["value"]))
 indicator("outlier_rule_score_orders", lambda s: outliers.outliers(s, forest=False), "orders", ["o_totalprice"], oracles.OUTLIER, oracles.outlier("orders", ["o_totalprice"]))
 indicator("outlier_rule_score_lineitem", lambda s: outliers.outliers(s, forest=False), "lineitem", LINE, oracles.OUTLIER, oracles.outlier("lineitem", LINE))
+indicator("smooth_score_orders_in_blocks", smoothness.smoothness, "orders", ["o_totalprice"], oracles.SMOOTH, oracles.smooth("orders", ["o_totalprice"]), SMALL)
+indicator("ts_score_orders_in_blocks", timeseries.timeseries, "orders", ["o_totalprice"], oracles.TIMESERIES, oracles.timeseries("orders", ["o_totalprice"]), SMALL)
+indicator("outlier_rule_score_orders_in_blocks", lambda s: outliers.outliers(s, forest=False), "orders", ["o_totalprice"], oracles.OUTLIER, oracles.outlier("orders", ["o_totalprice"]), SMALL)
+indicator("drift_score_events_in_blocks", drift.drift, "events", ["value"], oracles.DRIFT, oracles.drift("events", ["value"]), SMALL)
+indicator("cp_score_events_in_blocks", changepoint.changepoint, "events", ["value"], oracles.CHANGEPOINT, oracles.changepoint("events", ["value"]), SMALL)
 
 
 @query("outlier_forest_events")
@@ -98,7 +107,7 @@ def screening_roles_events(spark: SparkSession, d: str) -> DataFrame:
     return profile.screening(df, profile.profile(df, exact=True)).select("column", "role", "entered_analysis", "non_null_count", "unique_count", F.round("missing_rate", 6).alias("missing_rate"))
 
 
-@query("screening_table_events")
+@query("screening_table_events", oracles.SCREENING_TABLE)
 def screening_table_events(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "events")
     return profile.screening_table(profile.screening(df, profile.profile(df, exact=True)))
@@ -196,6 +205,25 @@ def analysis_events(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "indicator string, score double, weight double, raw_total_score double, total_score double, risk_level string, first_reason string")
 
 
+@query("sheet_drift_rollup", oracles.DRIFT_ROLLUP)
+def sheet_drift_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Event types as sheets: a series of each sheet's values in one plan, its drift score, and the scores weighted by rows."""
+    df = table(spark, d, "events")
+    types = sorted(r["event_type"] for r in df.select("event_type").distinct().collect())  # a row a sheet
+    wide = df.select(*ORDER["events"], *[F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in types])
+    scores = drift.drift(ordered(wide, types, ORDER["events"])).select(F.col("column").alias("sheet"), "score")
+    rows = df.groupBy(F.col("event_type").alias("sheet")).agg(F.count("*").alias("rows"))
+    return scoring.roll_up(rows.join(scores, "sheet").withColumn("indicator", F.lit("drift")))
+
+
+@query("matched_rules_lineitem", oracles.MATCHED)
+def matched_rules_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    """What the rules say of each column, with bounds, extremes and shares outside."""
+    df = table(spark, d, "lineitem").withColumnsRenamed({"l_quantity": "rainfall", "l_extendedprice": "leaf_temperature", "l_discount": "soil_moisture", "l_tax": "co2"})
+    found = physical.matched_rules(df, ["rainfall", "leaf_temperature", "soil_moisture", "co2"])
+    return found.select("column", "rule", "soft_min", "soft_max", "hard_min", "hard_max", "min", "max", "hard_out_of_range_rate", "soft_out_of_range_rate", F.size("notes").alias("notes"))
+
+
 @query("sheet_weighted_rollup", oracles.ROLLUP)
 def sheet_weighted_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Event types as sheets: each sheet's rule scores, weighted by its rows."""

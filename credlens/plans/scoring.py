@@ -69,3 +69,13 @@ def roll_up(per_sheet: DataFrame) -> DataFrame:
     """indicator and score over sheets: means weighted by rows (1 at least). per_sheet: sheet, rows, indicator, score."""
     w = F.greatest("rows", F.lit(1))
     return per_sheet.groupBy("indicator").agg(F.round(F.sum(F.col("score") * w) / F.sum(w), 2).alias("score"))
+
+
+def sub_score_table(scores: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """The sub-scores for display, in their order: label, score and risk level, and the weight as a percentage if weights are given."""
+    label = F.create_map(*[F.lit(x) for pair in config.LABELS.items() for x in pair])[F.col("indicator")]
+    rows = scores.orderBy("seq").select("indicator", label.alias("label"), "score", risk_level(F.col("score")).alias("risk"))
+    if weights is None:
+        return rows
+    share = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))])[F.col("indicator")]
+    return rows.withColumn("weight", F.format_string("%.0f%%", F.coalesce(share, F.lit(0.0)) * 100))

@@ -141,7 +141,10 @@ def test_workbooks(spark):
     scores, rows = a.table_checks["sampling"]["per_sheet_scores"], {n: s.profile.rows for n, s in a.sheets.items()}
     assert a.table_checks["sampling"]["score"] == pytest.approx(sum(scores[n] * rows[n] for n in rows) / sum(rows.values()), abs=0.02)
     assert all(len(c["reasons"]) <= 10 and c["risk"] == ("ok" if c["score"] >= 70 else "attention") for c in a.table_checks.values())
-    assert set(a.sheets) == {"x", "y"}
+    assert set(a.sheets) == {"x", "y"} and a.profile.numeric == ["a", "b", "c", "d"]  # the sheets' columns, in their order
+    assert not a.table_checks["correlation"]["skipped"]
+    few = analyze_workbook(read_xlsx(spark, xlsx({"x": sheet("a", 30, 1), "y": sheet("c", 12, 2)})), indicators=["digit", "correlation"])
+    assert few.table_checks["correlation"] == {"score": None, "risk": "skipped", "per_sheet_scores": {}, "reasons": ["No sheet has columns enough for this check."], "skipped": True}
     want = sum(s.sub_scores["digit"] * s.profile.rows for s in a.sheets.values()) / 40
     assert a.sub_scores["digit"] == pytest.approx(want, abs=0.01)
     assert {r["column"] for r in a.results.collect()} >= {"x / a", "y / c"}
@@ -253,3 +256,28 @@ def test_order_from_tasks_pieces(spark, fall):
             want = {"x": all(b >= a for a, b in zip(values, values[1:], strict=False)), "down": False}
         assert profile.never_falls(df, ["x", "down"]) == want
     assert profile.never_falls(in_order.limit(0), ["x"]) == {}
+
+
+def test_sub_score_table(spark):
+    scores = spark.createDataFrame([(1, "digit", 49.5), (0, "smoothness", 71.0)], "seq int, indicator string, score double")
+    assert [tuple(r) for r in scoring.sub_score_table(scores).collect()] == [("smoothness", "Smoothness", 71.0, "low"), ("digit", "Digit patterns", 49.5, "high")]
+    assert [r["weight"] for r in scoring.sub_score_table(scores, {"smoothness": 0.254}).collect()] == ["25%", "0%"]
+
+
+def test_bar_chart(spark):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([1.25, 3.15, 7.0, 0.5, 2.25, None])], "i long, v double")
+    assert {r["digit"]: r["count"] for r in report.bar_chart(ordered(df, ["v"], ["i"])).collect()} == {5: 4, 7: 1}
+
+
+def test_report_names():
+    from credlens.__main__ import report_path
+
+    assert str(report_path("out", "hdfs://x/a b/plot 7*.csv")) == "out/plot_7_.csv.html"
+    assert len(report_path("o", "/" + "n" * 300).name) == 85
+
+
+def test_short_tables_are_told(spark):
+    """A check that has too few values says so among the first reasons."""
+    df = spark.createDataFrame([(f"2026-01-01 00:{k:02d}", float(k * k % 7)) for k in range(12)], "at string, well_ph double")
+    a = analyze(df, indicators=["outlier", "drift", "changepoint"])
+    assert a.reasons[0].endswith("There are too few values for this check.") and sum("too few values" in r for r in a.reasons) >= 2
