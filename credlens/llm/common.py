@@ -51,6 +51,17 @@ def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return whole
 
 
+#: Bytes of a batch that Spark hands to a task's Python worker, at most.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: Spark's batches of 64 MB (held by the JVM, the pipe and the worker at once) are made smaller in this session."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "67108864b", "64MB"):
+        spark.conf.set(name, f"{BATCH}b")
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """mapInArrow with state made once a task: make() returns the function that maps each slice of a batch."""
 
@@ -60,6 +71,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
             if batch.num_rows:
                 yield from map(one, slices(batch))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(released(run), schema)
 
 
