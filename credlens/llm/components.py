@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import discard
 from .common import written
 
 
@@ -32,4 +33,5 @@ def components(links: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself are linked to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(*_links(F.col("v"), F.col("m"))).where("u <> v")
-        edges = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, edges = edges, written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old)
