@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ramp_down, ramp_up, safe_ratio
+from ..functions import ramp_down, ramp_up, safe_ratio, written
 from .ordered import Ordered, by_block, quantiles
 from .results import Reason, results
 
@@ -37,7 +37,8 @@ def features(series: Ordered) -> DataFrame:
 
 
 def smoothness(series: Ordered) -> DataFrame:
-    values = features(series)
+    # written, for the quantile and the rates both need them: windows over all values are worked out once
+    values = written(features(series).select("series", "n", "lo", "hi", "d", "dd", "change", "variance"), "smoothness")
     low = quantiles(values, "variance", [0.2], series.counts, series.block)
     rates = values.join(F.broadcast(low), "series", "left").groupBy("series").agg(
         F.first("n").alias("n"), (F.first("hi") - F.first("lo")).alias("range"), F.avg(F.abs("d")).alias("mean_abs"), F.avg("d").alias("mean_d"),

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scratch
 from ..operators import anomaly, changepoint, correlation, digits, drift, outliers, physical, profile, sampling, smoothness, timeseries
 from ..operators.ordered import BLOCK, Ordered, ordered
 from ..sources.readers import read, with_rows
@@ -69,6 +70,11 @@ def indicator_results(df: DataFrame, found: profile.Profile, selected: Sequence[
 
 def analyze(df: DataFrame, scenario: str | None = "auto", indicators=None, *, mismatch: float = 0.0, skipped: int = 0, block: int = BLOCK) -> Analysis:
     """One table."""
+    with scratch(df.sparkSession):  # all that is lazy in the end reads df alone
+        return _analyze(df, scenario, indicators, mismatch, skipped, block)
+
+
+def _analyze(df: DataFrame, scenario: str | None, indicators, mismatch: float, skipped: int, block: int) -> Analysis:
     df = df if profile.ROW in df.columns else with_rows(df)
     found = profile.profile(df, block)
     selected = config.selection(indicators)

@@ -281,3 +281,22 @@ def test_short_tables_are_told(spark):
     df = spark.createDataFrame([(f"2026-01-01 00:{k:02d}", float(k * k % 7)) for k in range(12)], "at string, well_ph double")
     a = analyze(df, indicators=["outlier", "drift", "changepoint"])
     assert a.reasons[0].endswith("There are too few values for this check.") and sum("too few values" in r for r in a.reasons) >= 2
+
+
+def test_tables_between_steps_are_removed(spark):
+    from pathlib import Path
+
+    from credlens.functions import discard, scratch, written
+    from credlens.functions.tables import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    kept = written(spark.range(5), "kept")
+    before = set(folder.iterdir())
+    with scratch(spark):
+        inner = written(spark.range(3), "inner")
+        assert inner.count() == 3 and len(set(folder.iterdir()) - before) == 1
+    a = analyze(spark.createDataFrame(natural(), SCHEMA), indicators=list(config.ALL), block=16)
+    assert a.ok and a.preview.count() == 30 and a.results.count() > 9 and set(folder.iterdir()) == before
+    discard(kept)
+    discard(spark.range(1))
+    assert len(before - set(folder.iterdir())) == 1
