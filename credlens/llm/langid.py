@@ -12,12 +12,14 @@ labelled, a long word's label is that of its pieces together.
 Learning takes a bounded sample (about EACH documents of every language; see bounded_sample), and of long texts spans that are
 spread over all of them, so that the driver gets about LEARNED words at most. Whole texts are labelled: words
 are packed in rows of SPAN, and a longer text's rows are joined by their transfer matrices, so that long texts need no long
-loop and no padding to the longest. Row by row, without a shuffle. Null text or text without a letter is `und` with
+loop and no padding to the longest; with so many languages that the matrices of a text would take over 32 MB, it is gone through
+word by word in segments instead. Row by row, without a shuffle. Null text or text without a letter is `und` with
 score 0; without anything to learn from all are. Repeated rows are labelled alike, empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -40,6 +42,8 @@ AT_ONCE, FEATURED = 200_000, 10_000
 WORD = 40
 #: Words that the driver learns from at most, about, and words of a span where not all of a text's are among them.
 LEARNED, SPREAD = 2_000_000, 8 * 24
+#: Numbers in the transfer matrices that are held at once (8 bytes each), and words of a segment of a text that would need more.
+MATRICES, SEGMENT = 1 << 22, 4096
 
 
 def pieces(word: str) -> list[str]:
@@ -187,10 +191,40 @@ def fit(docs: DataFrame) -> Model:
     return Model(languages, weights.astype(np.float32), transition)
 
 
+def in_segments(scores: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """forward_backward of one text, word after word with vectors alone; of the first pass, only where segments begin is kept."""
+    n, k = scores.shape
+    starts, x, entered = range(0, n, SEGMENT), np.full(k, 1.0 / k), []
+    of = lambda s: np.exp((part := scores[s : s + SEGMENT]) - part.max(1, keepdims=True))
+
+    def forward(x: np.ndarray, e: np.ndarray) -> Iterator[np.ndarray]:
+        for own in e:
+            y = x @ a * own
+            x = y / y.sum()
+            yield x
+
+    for s in starts:
+        entered.append(x)
+        for x in forward(x, of(s)):  # noqa: B007
+            pass
+    out, leave = np.empty((n, k)), np.ones(k)
+    for s, x in zip(reversed(starts), reversed(entered), strict=True):
+        e = of(s)
+        out[s : s + len(e)] = list(forward(x, e))
+        for t in range(len(e) - 1, -1, -1):
+            out[s + t] *= leave
+            leave = a @ (leave * e[t])
+            leave /= leave.sum()
+    out /= out.sum(1, keepdims=True)
+    return out
+
+
 def forward_backward(scores: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """Each word's probabilities. scores: all documents' words after each other; sizes: words of each document."""
     k, a = scores.shape[1], np.exp(transition - transition.max())
     rows = -(-sizes // SPAN)
+    if len(rows) == 1 < rows[0] and rows[0] * k * k > MATRICES:
+        return in_segments(scores, a)
     first, n = np.cumsum(rows) - rows, int(rows.sum())
     row = np.repeat(first, sizes) + within(np.cumsum(sizes) - sizes, sizes, len(scores)) // SPAN  # of each word
     lengths = np.bincount(row, minlength=n)
@@ -239,10 +273,10 @@ def label_texts(texts: list[str], model: Model) -> list[tuple[np.ndarray, np.nda
     """For each text, the probabilities of its words (a long one's pieces) and which of them have a letter."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     k, start = len(model.languages), 0
-    words = [cut(t) for t in texts]
+    words, at_once = [cut(t) for t in texts], min(AT_ONCE, max(SPAN, SPAN * MATRICES // max(1, k * k)))
     while start < len(words):
         stop, total = start, 0
-        while stop < len(words) and (stop == start or total + len(words[stop]) <= AT_ONCE):
+        while stop < len(words) and (stop == start or total + len(words[stop]) <= at_once):
             total += len(words[stop])
             stop += 1
         sizes = np.array([len(w) for w in words[start:stop]])

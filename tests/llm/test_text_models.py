@@ -465,3 +465,23 @@ def test_what_is_learned_of_long_texts_is_bounded(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
     scores = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, labels)).collect()}
     assert all((scores[k] > 0.5) == bool(k % 2) for k in range(40))
+
+
+def test_forward_backward_of_many_languages_is_bounded(monkeypatch):
+    r = np.random.default_rng(2)
+    for n, k in ((1, 3), (64, 3), (65, 5), (9000, 4)):
+        scores, transition = r.normal(size=(n, k)) * 3, r.normal(size=(k, k))
+        want = langid.forward_backward(scores, np.array([n]), transition)
+        assert langid.in_segments(scores, np.exp(transition - transition.max())) == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(langid, "MATRICES", 10)  # every text longer than a row goes the other way
+    assert langid.forward_backward(scores, np.array([n]), transition) == pytest.approx(want, abs=1e-9)
+    monkeypatch.undo()
+    import tracemalloc
+
+    languages, words = 200, 20_000
+    scores = r.normal(size=(words, languages))
+    tracemalloc.start()
+    found = langid.forward_backward(scores, np.array([words]), np.zeros((languages, languages)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.shape == scores.shape and peak < 3 * scores.nbytes
