@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric, ramp_up, written
@@ -77,13 +77,12 @@ def co_moments(rows: DataFrame, k: int, add: Callable[[Moments, pa.RecordBatch],
     return found.groupBy("l", "r").agg(*[F.sum(p).alias(p) for p in PARTS])
 
 
-def pearsons(moments: DataFrame, columns: Sequence[str], name: str, n: Column | None = None) -> DataFrame:
+def pearsons(moments: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     """left, right and name of each pair of columns and each with itself, left before right: null where one is constant."""
     names = F.array(*map(F.lit, columns))
     other = moments.select(F.col("l").alias("r"), F.col("r").alias("l"), F.col("s").alias("t"), F.col("q").alias("u"))
     both = moments.where("l <= r").join(other, ["l", "r"])
-    n = F.col("n") if n is None else n
-    n = F.when(n > 0, n)  # else there is no row with both
+    n = F.when(F.col("n") > 0, F.col("n"))  # else there is no row with both
     over = lambda x, a, b: x / n - a / n * b / n
     spread = lambda q, s: F.when(over(q, s, s) > 1e-14 * q / n, over(q, s, s))  # noqa: E731  below is what rounding leaves of a constant
     value = over(F.col("p"), F.col("s"), F.col("t")) / F.sqrt(spread(F.col("q"), F.col("s"))) / F.sqrt(spread(F.col("u"), F.col("t")))
@@ -156,8 +155,9 @@ def spearman_table(df: DataFrame, columns: Sequence[str], name: str) -> DataFram
     some = sorted(r["bits"] for r in rows.select("bits").distinct().limit(k + 1).collect())
     codes = {b: p for p, b in enumerate(some)} if len(some) <= k else None  # few patterns: ranks by pattern are shorter
     classes = np.array([[c == "1" for c in b] for b in some], float).reshape(-1, k)
+    counts = written(co_moments(rows, k, lambda own, batch: own.add_rows(_matrix(batch, [f"c{i}" for i in range(k)]))).select("l", "r", "n"), "common")
     common = np.zeros((k, k))
-    for r in co_moments(rows, k, lambda own, batch: own.add_rows(_matrix(batch, [f"c{i}" for i in range(k)]))).select("l", "r", "n").collect():  # k * k numbers
+    for r in counts.collect():  # k * k numbers
         common[r["l"], r["r"]] = r["n"]
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("series"), F.col(f"c{i}").alias("x")) for i in range(k)]))
     long = rows.select("row", "bits", each.alias("v")).select("row", "bits", "v.*").where("x is not null")
@@ -183,9 +183,7 @@ def spearman_table(df: DataFrame, columns: Sequence[str], name: str) -> DataFram
                 x[some[:, i], i] = by_partner - common[i] / 2  # about the middle rank
             own.add_pairs(x * some[:, None, :])
 
-    moments = co_moments(ranked, k, add)
-    flat = F.array(*[F.lit(float(v)) for v in common.ravel()])
-    return pearsons(moments, columns, name, flat[(F.col("l") * k + F.col("r")).cast("int")])
+    return pearsons(co_moments(ranked, k, add).drop("n").join(counts, ["l", "r"]), columns, name)
 
 
 def heatmap(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -345,7 +345,7 @@ def read_xlsx(spark: SparkSession, source: str | bytes, direct: bool | None = No
     default if the driver can open the first)."""
     content = source if isinstance(source, bytes) else None
     if content is None:
-        files = sorted(r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(source).select("path").collect())
+        files = sorted(r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(source).select("path").collect() if "/~$" not in r["path"])
         if not files:
             raise ValueError(f"there is no workbook in {source}")
         if direct is None:

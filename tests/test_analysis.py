@@ -171,8 +171,12 @@ def test_folder_of_workbooks(spark, tmp_path):
 
 
 def test_file_from_disk(spark, tmp_path):
-    path = tmp_path / "b.xlsx"
-    path.write_bytes(xlsx({"only": sheet("ab", 25, 3)}))
+    for name in ("b.xlsx", "two words.XLSX"):
+        path = tmp_path / name
+        path.write_bytes(xlsx({"only": sheet("ab", 25, 3)}))
+        (tmp_path / f"~${name}").write_text("an open workbook's lock")
+        assert read(spark, str(path)).df.count() == 25
+    assert read_xlsx(spark, str(tmp_path)).df.count() == 50
     assert analyze_file(spark, str(path)).ok
 
 

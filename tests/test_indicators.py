@@ -125,6 +125,9 @@ def test_many_columns_in_two_scans(spark):
     df = spark.createDataFrame([tuple(map(float, row)) for row in x], ", ".join(f"{c} double" for c in columns))
     found = {(p["left"], p["right"]): p["value"] for p in correlation.heatmap(df, columns).collect()}
     want = np.corrcoef(x.T)
+    pairs = correlation.pair_table(df.select(*columns[:25]), columns[:25]).collect()
+    ranks = pd.DataFrame(x[:, :25]).corr(method="spearman").to_numpy()
+    assert len(pairs) == 300 and all(p["spearman"] == pytest.approx(ranks[int(p["left"][1:]), int(p["right"][1:])], abs=1e-9) for p in pairs)
     assert len(found) == 3600 and all(found[f"c{i}", f"c{j}"] == pytest.approx(want[i, j], abs=1e-9) for i in range(60) for j in range(60))
 
 
