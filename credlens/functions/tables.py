@@ -26,12 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and outlives executors. Within `scratch` it is removed at
-    the scope's end; `discard` removes it before."""
+    the scope's end; `discard` removes it before. options: those of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if _scopes:
         _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)

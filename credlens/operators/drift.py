@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ramp_up
-from .ordered import Ordered, by_block, running
+from .ordered import Ordered, Piece, Stats, each_piece, earlier, moment_columns, moments, spread, with_means
 from .results import Reason, results
-from .smoothness import rolling
 
 LEAST, TINY = 20, 1e-9
 
@@ -17,27 +17,44 @@ def slope_window(n: int) -> int:
     return min(max(5, n // 8), 20)
 
 
-def scale() -> Column:
-    return F.greatest(F.col("hi") - F.col("lo"), F.col("sd"), F.lit(TINY))
+def scale(of: Stats) -> float:
+    return max(of.hi - of.lo, of.sd, TINY)
 
 
-def positive_sd() -> Column:
-    return F.when(F.col("sd") > 0, F.col("sd")).otherwise(TINY)
+def positive_sd(of: Stats) -> float:
+    return of.sd if of.sd > 0 else TINY
+
+
+def of_series(series: Ordered) -> DataFrame:
+    """series, n, scale and sd."""
+    return series.df.sparkSession.createDataFrame([(k, s.n, scale(s), positive_sd(s)) for k, s in series.stats.items()], "series string, n long, scale double, sd double")
+
+
+def sums(p: Piece) -> dict[str, float | None]:
+    """Of the piece: values near the series' ends, means of windows against their places, the running sum's ends, signs of steps."""
+    n, at, w = p.of.n, p.at, slope_window(p.of.n)
+    end, i = max(5, n // 5), np.arange(p.at, p.at + len(p.x))
+    total = np.cumsum(p.x - p.of.mean)
+    away = np.concatenate([[0.0], np.cumsum(p.since - p.of.mean)])
+    rolling = (away[w:] - away[:-w])[max(len(p.before) - w + 1, 0) :] / w
+    place = np.arange(len(rolling)) + (at + len(p.x) - len(rolling)) - n / 2
+    d = np.diff(p.since)[max(len(p.before) - 1, 0) :]
+    return moments("head", p.x[i < end]) | moments("tail", p.x[i >= n - end]) | {
+        "windows": len(rolling), "i": place.sum(), "r": rolling.sum(), "ii": (place * place).sum(), "ir": (place * rolling).sum(),
+        "total": total[-1], "low": total.min(), "high": total.max(), "moves": int((d != 0).sum()), "signs": np.sign(d).sum(),
+    }
 
 
 def drift(series: Ordered) -> DataFrame:
-    rows = series.spans(before=20)
-    rows = rows.withColumn("rolling", rolling(series, slope_window, F.col("x"), F.avg)).withColumn("d", F.col("x") - F.lag("x").over(by_block()))
-    rows = running(rows.where("own"), series, F.col("x") - F.col("mean"), "cusum")
-    end = F.greatest(F.lit(5), F.floor(F.col("n") / 5))
-    head, tail = F.col("i") < end, F.col("i") >= F.col("n") - end
-    rates = rows.groupBy("series").agg(
-        F.first("n").alias("n"), F.first(scale()).alias("scale"), F.first(positive_sd()).alias("sd"),
-        F.avg(F.when(head, F.col("x"))).alias("head"), F.avg(F.when(tail, F.col("x"))).alias("tail"),
-        F.stddev_pop(F.when(head, F.col("x"))).alias("head_sd"), F.stddev_pop(F.when(tail, F.col("x"))).alias("tail_sd"),
-        F.regr_slope("rolling", F.when(F.col("rolling").isNotNull(), F.col("i").cast("double"))).alias("slope"), F.count("rolling").alias("windows"),
-        (F.max("cusum") - F.min("cusum")).alias("cusum"), F.avg(F.when(F.col("d") != 0, F.signum("d"))).alias("sign"),
+    parts = each_piece(series, f"series string, at long, {moment_columns('head', 'tail')}, windows long, i double, r double, ii double, ir double, total double, low double, high double, moves long, signs double", sums)
+    parts = with_means(parts.withColumn("upto", F.coalesce(earlier(F.col("total")), F.lit(0.0))), "head", "tail")
+    rates = parts.groupBy("series").agg(
+        F.first("a_head").alias("head"), F.first("a_tail").alias("tail"), spread("head", 0).alias("head_sd"), spread("tail", 0).alias("tail_sd"),
+        *[F.sum(c).alias(c) for c in ("windows", "i", "r", "ii", "ir")],
+        (F.max(F.col("upto") + F.col("high")) - F.min(F.col("upto") + F.col("low"))).alias("cusum"), F.try_divide(F.sum("signs"), F.sum("moves")).alias("sign"),
     )
+    slope = F.try_divide(F.col("ir") - F.col("i") * F.try_divide("r", "windows"), F.col("ii") - F.col("i") * F.try_divide("i", "windows"))
+    rates = rates.withColumn("slope", slope).join(F.broadcast(of_series(series)), "series")
     return results(
         rates, "drift",
         {

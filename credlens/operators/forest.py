@@ -208,7 +208,7 @@ def isolation_rate(series: Ordered) -> DataFrame:
         return pd.DataFrame({"series": [key[0]], "ends": [ends], "scores": [scores]})
 
     grown = sample.groupBy("series").applyInPandas(grow, "series string, ends array<double>, scores array<double>").collect()  # a row a column
-    shared = series.rows.sparkSession.sparkContext.broadcast({r["series"]: np.array(r["ends"]) for r in grown})
+    shared = series.df.sparkSession.sparkContext.broadcast({r["series"]: np.array(r["ends"]) for r in grown})
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -216,7 +216,7 @@ def isolation_rate(series: Ordered) -> DataFrame:
                 steps, times = np.unique(np.searchsorted(shared.value[name], rows["x"].to_numpy(), side="left"), return_counts=True)
                 yield pd.DataFrame({"series": name, "step": steps, "times": times})
 
-    counted = series.rows.select("series", "x").mapInPandas(place, "series string, step long, times long")
+    counted = series.values.select("series", "x").mapInPandas(place, "series string, step long, times long")
     counted = counted.groupBy("series", "step").agg(F.sum("times").alias("times"))
     scores = {r["series"]: np.array(r["scores"]) for r in grown}
 

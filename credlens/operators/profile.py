@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numeric
-from .ordered import BLOCK, by_block, ordered
+from .ordered import BLOCK, each_piece, ordered
 
 SHEET, ROW = "__sheet__", "__row__"
 # Words that make a column an identifier or hint at a time.
@@ -189,8 +189,9 @@ def never_falls(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> di
 
 def increasing(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> dict[str, bool]:
     """Whether each column never falls, in row order and without its gaps."""
-    rows = ordered(df, columns, [ROW], block).spans(before=1).withColumn("falls", F.col("x") < F.lag("x").over(by_block()))
-    found = rows.where("own").groupBy("series").agg(F.coalesce(F.bool_or("falls"), F.lit(False)).alias("falls"))
+    series = ordered(df, columns, [ROW], block)
+    pieces = each_piece(series, "series string, at long, falls boolean", lambda p: {"falls": bool((np.diff(p.since) < 0).any())})
+    found = pieces.groupBy("series").agg(F.bool_or("falls").alias("falls"))
     return {r["series"]: not r["falls"] for r in found.collect()}  # a row a column
 
 

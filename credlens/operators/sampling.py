@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ramp_up
-from .ordered import BLOCK, by_block, ordered, quantiles
+from .ordered import BLOCK, each_piece, ordered, quantiles
 from .results import Reason, results
 
 NO_TIME, FEW_TIMES = 18.0, 14.0
@@ -16,8 +18,8 @@ def intervals(df: DataFrame, time: str, block: int = BLOCK):
     """The positive intervals (seconds) between the distinct times of a column, and their count."""
     times = df.select(F.unix_micros(F.col(f"`{time}`").cast("timestamp")).alias("t")).where("t is not null").distinct()
     series = ordered(times, ["t"], ["t"], block)
-    rows = series.spans(before=1).withColumn("seconds", (F.col("x") - F.lag("x").over(by_block())) / 1e6)
-    return rows.where("own and seconds > 0").select("series", "seconds"), series
+    gaps = lambda p: {"seconds": (v := np.diff(p.since)[max(len(p.before) - 1, 0) :] / 1e6), "series": pa.repeat(p.series, len(v))}
+    return each_piece(series, "series string, seconds double", gaps).where("seconds > 0"), series
 
 
 def sampling(df: DataFrame, time: str | None, mismatch: float = 0.0, skipped: int = 0, block: int = BLOCK) -> DataFrame:

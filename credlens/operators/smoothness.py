@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ramp_down, ramp_up, safe_ratio, written
-from .ordered import Ordered, by_block, quantiles
+from ..functions import ramp_down, ramp_up, safe_ratio
+from .ordered import Ordered, Piece, each_piece, moment_columns, moments, ranked, spread, with_means
 from .results import Reason, results
 
 LEAST = 8
@@ -16,35 +18,39 @@ def window_of(n: int) -> int:
     return min(7, max(3, n // 8))
 
 
-def rolling(series: Ordered, size, value: Column, fold) -> Column:
-    """fold(value) over the last w rows, w = size(n) of each series; null until there are w."""
-    out = F.lit(None).cast("double")
-    for w in sorted({size(n) for n in series.counts.values()}):
-        of = [k for k, n in series.counts.items() if size(n) == w]
-        out = F.when(F.col("series").isin(of) & (F.col("i") >= w - 1), fold(value).over(by_block().rowsBetween(-(w - 1), 0))).otherwise(out)
-    return out
+def variances(p: Piece) -> np.ndarray:
+    """Of the windows that end in the piece, step by step as Spark's and rounded, so that windows with the same values tie."""
+    w, since = window_of(p.of.n), p.since
+    if len(since) < w:
+        return np.empty(0)
+    mean = square = 0.0
+    for k in range(w):
+        v = since[max(len(p.before) - w + 1, 0) + k : len(since) - w + 1 + k]
+        away = v - mean
+        step = away / (k + 1)
+        mean, square = mean + step, square + away * (away - step)
+    found = square / (w - 1)
+    return np.where(found < 2**53 / 1e12, np.floor(found * 1e12 + 0.5) / 1e12, found)
 
 
-def features(series: Ordered) -> DataFrame:
-    """A row for each value: difference, second difference, relative change and rolling variance."""
-    rows = series.spans(before=8)
-    before = F.lag("x").over(by_block())
-    rows = rows.withColumn("d", F.col("x") - before).withColumn("change", F.try_divide(F.col("x"), before) - 1)
-    # rounded, so that windows with the same values tie whatever the order of their sums
-    variance = F.round(rolling(series, window_of, F.col("x"), F.var_samp), 12)
-    rows = rows.withColumn("dd", F.col("d") - F.lag("d").over(by_block())).withColumn("variance", variance)
-    return rows.where("own")
+def steps(p: Piece) -> dict[str, float]:
+    """Differences, second differences and relative changes of the piece's values."""
+    since, k = p.since, len(p.before)
+    d, dd, last = np.diff(since)[max(k - 1, 0) :], np.diff(since, 2)[max(k - 2, 0) :], since[max(k - 1, 0) : -1]
+    change = since[max(k - 1, 0) + 1 :][last != 0] / last[last != 0] - 1
+    return {"abs": float(np.abs(d).sum())} | moments("d", d) | moments("dd", dd) | moments("change", change)
 
 
 def smoothness(series: Ordered) -> DataFrame:
-    # written, for the quantile and the rates both need them: windows over all values are worked out once
-    values = written(features(series).select("series", "n", "lo", "hi", "d", "dd", "change", "variance"), "smoothness")
-    low = quantiles(values, "variance", [0.2], series.counts, series.block)
-    rates = values.join(F.broadcast(low), "series", "left").groupBy("series").agg(
-        F.first("n").alias("n"), (F.first("hi") - F.first("lo")).alias("range"), F.avg(F.abs("d")).alias("mean_abs"), F.avg("d").alias("mean_d"),
-        F.stddev_samp("d").alias("sd_d"), F.stddev_samp("dd").alias("sd_dd"), F.stddev_samp("change").alias("sd_change"),
-        F.avg((F.col("variance") < F.col("q0")).cast("double")).alias("low_rate"), F.count("change").alias("changes"),
+    parts = with_means(each_piece(series, f"series string, at long, abs double, {moment_columns('d', 'dd', 'change')}", steps), "d", "dd", "change")
+    rates = parts.groupBy("series").agg(
+        F.try_divide(F.sum("abs"), F.sum("n_d")).alias("mean_abs"), F.first("a_d").alias("mean_d"), spread("d").alias("sd_d"), spread("dd").alias("sd_dd"),
+        spread("change").alias("sd_change"), F.sum("n_change").alias("changes"),
     )
+    windows = each_piece(series, "series string, variance double", lambda p: {"variance": (v := variances(p)), "series": pa.repeat(p.series, len(v))})
+    low = {s: below / total for s, [(_, below, total)] in ranked(windows, "variance", [0.2]).items()}
+    known = [(s, of.n, of.hi - of.lo, low.get(s)) for s, of in series.stats.items()]
+    rates = rates.join(F.broadcast(series.df.sparkSession.createDataFrame(known, "series string, n long, range double, low_rate double")), "series")
     moves = F.col("range") > 0
     return results(
         rates, "smoothness",

@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ramp_down, ramp_up
-from .ordered import Ordered, by_block
+from .ordered import Ordered, Piece, each_piece
 from .results import Reason, results
 
 LEAST, LAGS = 12, 12
 
 
+def products(p: Piece) -> dict[str, float]:
+    """Products of the piece's values, less the mean, with those before them; turns; places against values."""
+    away, k = p.since - p.of.mean, len(p.before)
+    own, i = away[k:], p.at + np.arange(len(p.x)) - (p.of.n - 1) / 2
+    sign = np.sign(np.diff(p.since)[max(k - 2, 0) :])
+    lags = {f"c{lag}": float(own[max(lag - k, 0) :] @ away[max(k - lag, 0) : max(len(away) - lag, 0)]) for lag in range(1, LAGS + 1)}
+    return lags | {"square": own @ own, "turns": int((sign[1:] != sign[:-1]).sum()), "ii": i @ i, "ix": i @ own}
+
+
 def timeseries(series: Ordered) -> DataFrame:
-    rows = series.spans(before=LAGS + 1)
-    centred = F.col("x") - F.col("mean")
-    rows = rows.withColumn("c", centred).withColumn("d", F.col("x") - F.lag("x").over(by_block()))
-    rows = rows.withColumn("turn", F.when(F.col("i") >= 2, (F.signum("d") != F.signum(F.lag("d").over(by_block()))).cast("long")))
-    for k in range(1, LAGS + 1):
-        rows = rows.withColumn(f"c{k}", F.col("c") * F.lag("c", k).over(by_block()))
-    own = rows.where("own")
-    square = F.sum(F.col("c") * F.col("c"))
-    acf = [F.when(F.first("n") >= 2 * k, F.try_divide(F.coalesce(F.sum(f"c{k}"), F.lit(0.0)), square)).alias(f"acf_lag{k}") for k in range(1, LAGS + 1)]
-    trend = F.try_divide(F.covar_pop(F.col("i").cast("double"), "x"), F.stddev_pop("i") * F.stddev_pop("x"))
-    rates = own.groupBy("series").agg(F.first("n").alias("n"), *acf, F.sum("turn").alias("turns"), F.abs(trend).alias("trend"))
+    names = [f"c{k}" for k in range(1, LAGS + 1)]
+    parts = each_piece(series, "series string, at long, " + ", ".join(f"{c} double" for c in names) + ", square double, turns long, ii double, ix double", products)
+    known = series.df.sparkSession.createDataFrame(list(series.counts.items()), "series string, n long")
+    sums = parts.groupBy("series").agg(*[F.sum(c).alias(c) for c in (*names, "square", "turns", "ii", "ix")]).join(F.broadcast(known), "series")
+    acf = [F.when(F.col("n") >= 2 * k, F.try_divide(f"c{k}", "square")).alias(f"acf_lag{k}") for k in range(1, LAGS + 1)]
+    trend = F.try_divide(F.col("ix"), F.sqrt("ii") * F.sqrt("square"))
+    rates = sums.select("series", "n", *acf, "turns", F.abs(trend).alias("trend"))
     high = F.greatest(*[F.abs(f"acf_lag{k}") for k in range(2, LAGS + 1)])
     return results(
         rates, "timeseries",

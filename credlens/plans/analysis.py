@@ -81,11 +81,10 @@ def _analyze(df: DataFrame, scenario: str | None, indicators, mismatch: float, s
     out = Analysis(found, profile.screening(df, found), selected, config.weights(selected, scenario), preview=profile.preview(df, found))
     if found.numeric:
         series = series_of(profile.prepare(df, found), found, block)
-        series = Ordered(series.rows.persist(), series.counts, series.block)  # for all column indicators
-        try:  # the results number a row for each column and indicator
-            out.results = df.sparkSession.createDataFrame(indicator_results(df, found, selected, scenario, mismatch, skipped, block, series).collect(), results_schema())
-        finally:
-            series.rows.unpersist()
+        if any(n in config.COLUMN for n in selected):
+            series.pieces  # cut first, all column indicators read them
+        # the results number a row for each column and indicator
+        out.results = df.sparkSession.createDataFrame(indicator_results(df, found, selected, scenario, mismatch, skipped, block, series).collect(), results_schema())
         scores = scoring.sub_scores(out.results, selected)
         out.sub_scores = {r["indicator"]: r["score"] for r in scores.orderBy("seq").collect()}
         out.total = scoring.total(scores, out.weights).first().asDict()

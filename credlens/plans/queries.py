@@ -236,7 +236,6 @@ def sheet_weighted_rollup(spark: SparkSession, d: str) -> DataFrame:
 def total_score_events(spark: SparkSession, d: str) -> DataFrame:
     """The weighted total over indicators that SQL can say: smoothness, digits, time-series nature and drift."""
     s = series(spark, d, "events", ["value"])
-    s = Ordered(s.rows.persist(), s.counts, s.block)
     names = ["smoothness", "digit", "timeseries", "drift"]
     parts = [f(s) for f in (smoothness.smoothness, digits.digits, timeseries.timeseries, drift.drift)]
     results = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

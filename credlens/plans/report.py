@@ -73,7 +73,7 @@ def line_chart(series: Ordered, points: int = 500) -> DataFrame:
 def changepoint_chart(series: Ordered, points: int = 500) -> DataFrame:
     """The rows of the line chart with mark: whether the likely change point lies in the stretch."""
     point = changepoint(series).select(F.col("column").alias("series"), F.col("metrics")["likely_changepoint_index"].alias("point"))
-    counts = series.rows.sparkSession.createDataFrame(list(series.counts.items()), "series string, n long")
+    counts = series.df.sparkSession.createDataFrame(list(series.counts.items()), "series string, n long")
     marks = counts.join(point, "series", "left").select("series", F.floor(F.col("point") * F.least(F.lit(points), F.col("n")) / F.col("n")).alias("marked"))
     chart = line_chart(series, points).join(F.broadcast(marks), "series", "left")
     return chart.withColumn("mark", F.coalesce(F.col("at") == F.col("marked"), F.lit(False))).drop("marked")
@@ -83,4 +83,4 @@ def bar_chart(series: Ordered) -> DataFrame:
     """series, digit and count: how often each last digit occurs."""
     from ..operators.digits import last_digit, places
 
-    return series.rows.groupBy("series", last_digit(F.col("x"), places(F.col("x"))).alias("digit")).count()
+    return series.values.groupBy("series", last_digit(F.col("x"), places(F.col("x"))).alias("digit")).count()
