@@ -15,10 +15,10 @@ LEAST = 12
 
 def outliers(series: Ordered, forest: bool = True) -> DataFrame:
     """forest=False leaves out the isolation rate (then null, and not part of the combined rate)."""
-    bounds = quantiles(series.rows, "x", [0.25, 0.75], series.counts, series.block)
+    bounds = quantiles(series.values, "x", [0.25, 0.75], series.counts, series.block)
     iqr = F.when(F.col("q1") > F.col("q0"), F.col("q1") - F.col("q0")).otherwise(1e-9)
     sd = F.when(F.col("sd") > 0, F.col("sd")).otherwise(1e-9)
-    rows = series.rows.join(F.broadcast(bounds), "series")
+    rows = series.values.join(F.broadcast(bounds), "series")
     rate = lambda condition: F.avg(condition.cast("double"))
     rates = rows.groupBy("series").agg(
         F.first("n").alias("n"), F.first(sd).alias("spread"), F.first("mean").alias("mean"),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from credlens.functions import tables
-from credlens.operators import changepoint, drift, ordered, smoothness, timeseries
+from credlens.operators import changepoint, digits, drift, ordered, outliers, smoothness, timeseries
 
 from .test_indicators import frame
 
@@ -62,3 +62,9 @@ def test_ranked_counts_only_what_is_near(spark, labels):
     for share, (q, below, total) in zip((0.0, 0.2, 0.5, 1.0), ordered.ranked(values, "x", [0.0, 0.2, 0.5, 1.0])["a"], strict=True):
         assert q == pytest.approx(np.quantile(x, share)) and below == (x < q).sum() and total == len(x)
     assert labels == []
+
+
+@pytest.mark.parametrize("run", [digits.digits, lambda s: outliers.outliers(s, forest=False)])
+def test_what_needs_no_order_is_not_ordered(spark, labels, run):
+    assert len(run(blocked(spark)[0]).collect()) == 2
+    assert labels == []
