@@ -45,7 +45,7 @@ def named(hints: tuple[str, ...]) -> Column:
 def shares(series: Ordered) -> DataFrame:
     """The counts that the rates are made of, a row for each series. Values are counted per series and value first, so
     that distinct values and the largest counts need no list of values, and digits are looked at once a value, not once a row."""
-    by_value = series.rows.groupBy("series", "x").agg(F.count("*").alias("k"), F.first("n").alias("n")).withColumn("places", places(F.col("x")))
+    by_value = series.values.groupBy("series", "x").agg(F.count("*").alias("k"), F.first("n").alias("n")).withColumn("places", places(F.col("x")))
     by_value = by_value.withColumn("last", last_digit(F.col("x"), F.col("places"))).withColumn("whole", near_zero(F.pmod("x", F.lit(1.0))))
     by_value = by_value.withColumn("digits", F.when(F.col("whole"), F.length(F.abs(F.bround("x", 0)).cast("decimal(38,0)").cast("string"))))
     count = lambda c, v: F.sum(F.when(F.col(c) == v, F.col("k")).otherwise(0))
