@@ -47,17 +47,23 @@ def column_quantiles(rows: DataFrame, columns: Sequence[str], shares: Sequence[f
     return [got[i] for i in range(len(columns))]
 
 
-def robust_scale(rows: DataFrame, columns: Sequence[str], n: int = 0, block: int = BLOCK) -> DataFrame:
+def robust_scale(rows: DataFrame, columns: Sequence[str], n: int | None = None, block: int = BLOCK) -> DataFrame:
     """Columns with gaps filled by the median, minus the median, by the interquartile range (of the filled column; 1 if 0).
-    n: how many rows there are, if known; columns of more than block rows are ranked by range partitions."""
+    n: how many rows there are, if known. Quantiles of more than block rows need no task that reads a column's values."""
+    if n is None:
+        n = rows.count()
     if n > block:
-        middle = [q[0] for q in column_quantiles(rows, columns, [0.5], n, block)]
+        there = rows.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        found = column_quantiles(rows, columns, [0.25, 0.5, 0.75], n, block)
+        middle, ends = [q[1] for q in found], [[q[0], q[2]] for q in found]
     else:
         one = rows.agg(*[F.median(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)]).first()
         middle = [one[f"m{i}"] for i in range(len(columns))]
     filled = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(middle[i])).alias(c) for i, c in enumerate(columns)])
     if n > block:
-        ends = column_quantiles(filled, columns, [0.25, 0.75], n, block)
+        if gaps := [i for i in range(len(columns)) if there[f"n{i}"] < n]:  # the medians that fill them move the quartiles
+            for i, q in zip(gaps, column_quantiles(filled, [columns[i] for i in gaps], [0.25, 0.75], n, block), strict=True):
+                ends[i] = q
     else:
         one = filled.agg(*[F.percentile(f"`{c}`", F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns)]).first()
         ends = [one[f"q{i}"] for i in range(len(columns))]

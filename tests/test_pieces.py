@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from credlens.functions import tables
-from credlens.operators import changepoint, digits, drift, ordered, outliers, smoothness, timeseries
+from credlens.operators import anomaly, changepoint, digits, drift, ordered, outliers, smoothness, timeseries
 
 from .test_indicators import frame
 
@@ -68,3 +68,15 @@ def test_ranked_counts_only_what_is_near(spark, labels):
 def test_what_needs_no_order_is_not_ordered(spark, labels, run):
     assert len(run(blocked(spark)[0]).collect()) == 2
     assert labels == []
+
+
+def test_robust_scale_counts_rows_itself(spark, monkeypatch):
+    asked = []
+    quantiles = anomaly.column_quantiles
+    monkeypatch.setattr(anomaly, "column_quantiles", lambda *a: asked.append(a[1]) or quantiles(*a))
+    a, b = [float(k * k % 101) for k in range(200)], [None if k % 4 == 0 else float(k % 17) for k in range(200)]
+    found = [tuple(r) for r in anomaly.robust_scale(frame(spark, a=a, b=b).select("a", "b"), ["a", "b"], block=50).collect()]
+    assert asked == [["a", "b"], ["b"]]  # quartiles move where gaps are filled
+    filled = [np.array(a), np.array([np.median([x for x in b if x is not None]) if x is None else x for x in b])]
+    want = np.column_stack([(v - np.median(v)) / (np.quantile(v, 0.75) - np.quantile(v, 0.25)) for v in filled])
+    assert np.array(found) == pytest.approx(want)
