@@ -27,6 +27,8 @@ from .results import Reason, results
 PARTS = ("n", "s", "q", "p")
 #: Pairs that a reason names.
 EXAMPLES = 3
+#: A value that has one in so many of the rows is frequent: its ranks go to the rows, for all its rows in one task would be too many.
+OFTEN = 1 << 12
 #: Rows that are worked on at once.
 ROWS = 1 << 13
 
@@ -100,18 +102,18 @@ def pearson_table(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame
 
 
 def class_ranks(values: DataFrame, codes: dict[str, int] | None, k: int) -> DataFrame:
-    """values: series, x, bits (which columns its row has). series, x and ranks: how many values of the series are smaller than
+    """values: series, x, bits (which columns its row has). series, x, often (how often x is there) and ranks: how many values of the series are smaller than
     x, and half of those that are equal, by pattern (codes: their numbers) or, without codes, by column that is there as well.
     Equal values are counted first; different ones are range-partitioned, and a task goes through its own in order."""
     wide = k if codes is None else len(codes)
-    counted = values.groupBy("series", "x", "bits").agg(F.count("*").alias("m")).groupBy("series", "x").agg(F.collect_list(F.struct("bits", "m")).alias("m"))
+    counted = values.groupBy("series", "x", "bits").agg(F.count("*").alias("m")).groupBy("series", "x").agg(F.collect_list(F.struct("bits", "m")).alias("m"), F.sum("m").alias("often"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upto: dict[int, np.ndarray] = {}
 
-        def out(series: list[int], x: pa.Array, rows: np.ndarray) -> pa.RecordBatch:
+        def out(series: list[int], x: pa.Array, often: pa.Array, rows: np.ndarray) -> pa.RecordBatch:
             lists = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * wide, pa.array(rows.ravel()))
-            return pa.RecordBatch.from_pydict({"series": pa.array(series, pa.int64()), "x": x, "ranks": lists})
+            return pa.RecordBatch.from_pydict({"series": pa.array(series, pa.int64()), "x": x, "often": often, "ranks": lists})
 
         for batch in batches:
             series, ranks = batch.column("series").to_pylist(), np.zeros((batch.num_rows, wide))
@@ -126,12 +128,12 @@ def class_ranks(values: DataFrame, codes: dict[str, int] | None, k: int) -> Data
                 sums = np.cumsum(own[at], axis=0)
                 ranks[at] = before + sums - own[at] / 2
                 upto[s] = before + sums[-1]
-            yield out(series, batch.column("x"), ranks)
+            yield out(series, batch.column("x"), batch.column("often"), ranks)
         if upto:  # what the task has of each series, without an x
-            yield out(list(upto), pa.nulls(len(upto), pa.float64()), np.array(list(upto.values())))
+            yield out(list(upto), pa.nulls(len(upto), pa.float64()), pa.nulls(len(upto), pa.int64()), np.array(list(upto.values())))
 
     placed = counted.repartitionByRange("series", "x").sortWithinPartitions("series", "x")
-    local = placed.mapInArrow(run, "series long, x double, ranks array<double>").withColumn("part", F.spark_partition_id())
+    local = placed.mapInArrow(run, "series long, x double, often long, ranks array<double>").withColumn("part", F.spark_partition_id())
     local = written(local, "class-ranks")
 
     def start(table: pa.Table) -> pa.Table:
@@ -143,7 +145,7 @@ def class_ranks(values: DataFrame, codes: dict[str, int] | None, k: int) -> Data
 
     starts = local.where("x is null").groupBy("series").applyInArrow(start, "series long, part int, start array<double>")
     ranks = F.zip_with("ranks", "start", lambda a, b: a + b).alias("ranks")
-    return local.where("x is not null").join(F.broadcast(starts), ["series", "part"]).select("series", "x", ranks)  # broadcast: a row a range partition and series
+    return local.where("x is not null").join(F.broadcast(starts), ["series", "part"]).select("series", "x", "often", ranks)  # broadcast: a row a range partition and series
 
 
 def spearman_table(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
@@ -161,7 +163,11 @@ def spearman_table(df: DataFrame, columns: Sequence[str], name: str) -> DataFram
         common[r["l"], r["r"]] = r["n"]
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("series"), F.col(f"c{i}").alias("x")) for i in range(k)]))
     long = rows.select("row", "bits", each.alias("v")).select("row", "bits", "v.*").where("x is not null")
-    ranked = long.join(class_ranks(long, codes, k), ["series", "x"])
+    ranks, n = class_ranks(long, codes, k), rows.count()
+    frequent = F.col("often") * OFTEN >= n
+    mine = long.join(F.broadcast(ranks.where(frequent)), ["series", "x"], "left")  # broadcast: OFTEN rows a column at most
+    rare = mine.where("ranks is null").drop("ranks", "often").join(ranks.where(~frequent), ["series", "x"])
+    ranked = mine.where("ranks is not null").unionByName(rare).select("row", "series", "ranks")
     ranked = ranked.groupBy("row").agg(*[F.first(F.when(F.col("series") == i, F.col("ranks")), ignorenulls=True).alias(f"r{i}") for i in range(k)])
     whole = len(some) == 1 and "0" not in some[0]
 
