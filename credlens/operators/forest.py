@@ -111,8 +111,8 @@ def fit_neighbours(x: np.ndarray, k: int):
     return x, k, far[:, -1], 1 / (np.maximum(far[near, -1], far).mean(1) + 1e-10)
 
 
-#: Rows beside the neighbours that are wanted whose distances are worked out exactly.
-SPARE = 8
+#: Rows beside the neighbours that are wanted whose distances are worked out exactly; rows whose neighbours are looked for at once.
+SPARE, AT_ONCE = 8, 1024
 
 
 def nearest(x: np.ndarray, y: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,17 +121,18 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.
     are in x as well, and leave out one row equal to them."""
     middle = x.mean(0)
     a, b = y - middle, x - middle
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None]
-    rough = squares - 2 * (a @ b.T)
+    own_square, squares = (a * a).sum(1), (b * b).sum(1)
+    rough = squares[None] - 2 * (a @ b.T)  # less each row's own square, which all its distances have
     m = min(len(x), k + 1 + SPARE)
-    near = np.argpartition(rough, m - 1, 1)[:, :m] if m < len(x) else np.broadcast_to(np.arange(len(x)), (len(y), len(x)))
+    order = np.argpartition(rough, m, 1)[:, : m + 1] if m < len(x) else np.broadcast_to(np.arange(len(x)), (len(y), len(x)))
+    near = order[:, :m]
     exact = ((y[:, None] - x[near]) ** 2).sum(2)
     own = np.flatnonzero(skip)
     exact[own, exact[own].argmin(1)] = np.inf
     best = np.argpartition(exact, k - 1, 1)[:, :k]
     far = np.take_along_axis(exact, best, 1)
     if m < len(x):
-        left_out, noise, most = np.partition(rough, m, 1)[:, m], 1e-14 * squares.max(1), far.max(1)
+        left_out, noise, most = np.take_along_axis(rough, order[:, m:], 1)[:, 0] + own_square, 1e-14 * (own_square + squares.max()), far.max(1)
         doubt = np.flatnonzero((left_out - noise < most) & (noise > 1e-9 * most) & (most > 0))
         if len(doubt):
             every = squared_distances(y[doubt], x)
@@ -147,6 +148,8 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.
 def outlier_factors_of(model, y: np.ndarray, member: np.ndarray) -> np.ndarray:
     """Local outlier factors of any rows; one that is a member of the model's rows is no neighbour of its own."""
     x, k, last, density = model
+    if len(y) > AT_ONCE:  # distances to all of x are to stay in a core's cache
+        return np.concatenate([outlier_factors_of(model, y[at : at + AT_ONCE], member[at : at + AT_ONCE]) for at in range(0, len(y), AT_ONCE)])
     near, distance = nearest(x, y, k, member)
     reach = np.maximum(last[near], distance).mean(1)
     return density[near].mean(1) * (reach + 1e-10)

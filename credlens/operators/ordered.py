@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -288,15 +289,18 @@ def ranked(values: DataFrame, name: str, shares: Sequence[float], margin: float
     if not sketch:
         return {}
     totals = {r["series"]: r["total"] for r in sketch}
-    bounds = [(r["series"], k, r["e"][2 * k] if ends[2 * k] > 0 else None, r["e"][2 * k + 1] if ends[2 * k + 1] < 1 else None) for r in sketch for k in range(len(shares))]
-    near = values.sparkSession.createDataFrame(bounds, "series string, k int, a double, b double").groupBy("series").agg(F.collect_list(F.struct("k", "a", "b")).alias("near"))
-    below = lambda e: F.when(e["a"].isNotNull() & (F.col("x") < e["a"]), True).otherwise(False)
-    kept = F.transform(F.filter("near", lambda e: e["b"].isNull() | (F.col("x") <= e["b"])), lambda e: F.struct(e["k"].alias("k"), F.when(~below(e), F.col("x")).alias("x")))
-    counted = values.join(F.broadcast(near), "series").select("series", F.explode(kept).alias("e")).groupBy("series", "e.k", "e.x").agg(F.count("*").alias("m"))
-    upto = F.sum("m").over(Window.partitionBy("series", "k").orderBy(F.col("x").asc_nulls_first()))
-    wanted = [(s, k, int(np.floor((t - 1) * share)), int(np.ceil((t - 1) * share))) for s, t in totals.items() for k, share in enumerate(shares)]
-    wanted = values.sparkSession.createDataFrame(wanted, "series string, k int, r0 long, r1 long")
-    places = counted.withColumn("upto", upto).join(F.broadcast(wanted), ["series", "k"]).where("x is not null")
+    bounds = [(r["series"], *[v if 0 < e < 1 else None for v, e in zip(r["e"], ends, strict=True)]) for r in sketch]  # null: no bound
+    near = values.sparkSession.createDataFrame(bounds, ", ".join(["series string", *[f"{e}{k} double" for k in range(len(shares)) for e in "ab"]]))
+    joined, x = values.join(F.broadcast(near), "series"), F.col("x")
+    below = [F.sum(F.when(x < F.col(f"a{k}"), 1).otherwise(0)).alias(f"below{k}") for k in range(len(shares))]
+    smaller = {r["series"]: r for r in joined.groupBy("series").agg(*below).collect()}  # a row a series
+    within = [~F.coalesce(x < F.col(f"a{k}"), F.lit(False)) & ~F.coalesce(x > F.col(f"b{k}"), F.lit(False)) for k in range(len(shares))]
+    of = F.explode(F.array(*[F.when(w, k) for k, w in enumerate(within)])).alias("k")
+    counted = joined.where(reduce(or_, within)).select("series", "x", of).where("k is not null").groupBy("series", "k", "x").agg(F.count("*").alias("m"))
+    wanted = [(s, k, smaller[s][f"below{k}"], int(np.floor((t - 1) * share)), int(np.ceil((t - 1) * share))) for s, t in totals.items() for k, share in enumerate(shares)]
+    wanted = values.sparkSession.createDataFrame(wanted, "series string, k int, below long, r0 long, r1 long")
+    upto = F.col("below") + F.sum("m").over(Window.partitionBy("series", "k").orderBy("x"))
+    places = counted.join(F.broadcast(wanted), ["series", "k"]).withColumn("upto", upto)
     holds = lambda r: (F.col("upto") - F.col("m") <= F.col(r)) & (F.col(r) < F.col("upto"))
     found = places.groupBy("series", "k").agg(*[F.max(F.when(holds(r), F.struct("x", (F.col("upto") - F.col("m")).alias("start"), "upto"))).alias(r) for r in ("r0", "r1")]).collect()  # a row a series and share
     got = {(r["series"], r["k"]): r for r in found if r["r0"] and r["r1"]}
