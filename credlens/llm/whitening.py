@@ -5,7 +5,8 @@ S are exact, and so are deviations n * x - S, from which rows are centred before
 never formed: each step is one distributed pass that multiplies it with a block of vectors. New blocks are orthogonalised twice
 against all before; directions that vanish are replaced by random ones (breakdown); when too many vectors are held, the best
 Ritz vectors are kept and the iteration goes on from them. It ends when all wanted residuals are at rounding level, or the whole
-space is spanned. The trace comes from the deviations, and a last pass measures the covariance of the whitened rows.
+space is spanned. The trace comes from the deviations, and a last pass measures the covariance of the whitened rows, whose variances
+put eigenvalues right that are small beside the largest.
 
 The driver holds blocks of vectors as long as a row is wide, never rows. Vectors that are null, or hold a null or non-finite entry, or one
 with |scale * c| of 2^53 or more, take no part. Vectors shorter than the longest count as 0 beyond their end. Repeated and null
@@ -173,8 +174,12 @@ def fit(rows: DataFrame, components: int = COMPONENTS, block: int = BLOCK) -> Wh
 
     seen = totals(different, wide, k * k + k, spread) / n
     mean = seen[k * k :]
-    error = np.abs(seen[: k * k].reshape(k, k) - np.outer(mean, mean) - np.eye(k)).max()
-    return Whitening(n, sums, found.vectors, found.eigenvalues, trace, float(error))
+    cov = seen[: k * k].reshape(k, k) - np.outer(mean, mean)
+    size = cov.diagonal()  # off 1 by the rounding of small eigenvalues, as a share of the largest: sums of squares know them better
+    error = np.abs(cov / np.sqrt(np.outer(size, size)) - np.eye(k)).max()
+    values = found.eigenvalues * size
+    order = np.argsort(-values, kind="stable")
+    return Whitening(n, sums, found.vectors[:, order], values[order], trace, float(error))
 
 
 def whiten(vectors: DataFrame, components: int = COMPONENTS, scale: int = SCALE, offset: int = OFFSET) -> DataFrame:

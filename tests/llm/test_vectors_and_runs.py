@@ -227,6 +227,14 @@ def test_op11_equals_a_dense_solver(spark, small):
     check_whitening(rows, QUERIES["op11_whitening"](spark, small).collect())
 
 
+def test_whitening_small_eigenvalues(spark):
+    """Down to 10^-11 of the largest, each is right by itself, not only beside the largest."""
+    r = np.random.default_rng(4)
+    vectors = [(i, [float(v) for v in r.integers(-64, 65, 3) * (2e4, 5.0, 0.125)]) for i in range(40)]
+    rows = [(i, [int(np.floor(64 * c)) + 1_000_000 for c in v]) for i, v in vectors]
+    check_whitening(rows, whitening.whiten(vectors_of(spark, vectors)).collect())
+
+
 def test_whitening_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
     good = [(1, [0.5, 1.0, -2.0]), (2, [0.5, 1.0, -2.0]), (3, [3.0, 0.25, 7.0]), (4, [1e4, -3.0, 0.0]), (5, [2.0, 2.0, 2.0]), (6, [0.1, -0.1])]
