@@ -1,7 +1,9 @@
 """Ensemble anomaly check: isolation forest, local outlier factor and one-class SVM.
 
-The models are fitted to a bounded sample of rows, on the driver; all rows are scaled by the medians and quartiles of all, and
-all are scored, equal ones once. Thresholds are quantiles of all rows' scores. A table of up to ROWS rows is its own sample.
+All rows are scaled by the medians and quartiles of all. The models are those of all rows: each tree of the forest draws its
+SUBSAMPLE rows, as the algorithm has it, from all of them; neighbours are looked for among all (`neighbours`), and the SVM is fitted
+to all (`support`). All rows are scored, equal ones once, and thresholds are quantiles of all rows' scores. A table of up to ROWS
+rows is one task's work.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, ramp_down, ramp_up
 from ..functions.tables import written
-from .forest import fit_neighbours, fit_svm, grow_forest, isolation_scores, outlier_factors, outlier_factors_of, svm_distances, svm_distances_of
+from . import neighbours, support
+from .forest import SUBSAMPLE, grow_forest, isolation_scores, outlier_factors, svm_distances
 from .ordered import BLOCK, quantiles
 from .results import Reason, results
 
@@ -125,30 +128,34 @@ def score_limits(scored: DataFrame, columns: Sequence[str], share: float, n: int
     return [value(c, floor(at)) + (value(c, ceil(at)) - value(c, floor(at))) * (at - floor(at)) for c in columns]
 
 
+def random_rows(counted: DataFrame, k: int, n: int, size: int) -> np.ndarray:
+    """`size` of the n rows (all, if fewer) in random order."""
+    sample = sample_counts(counted, k, n, size)
+    x = np.repeat(np.array(list(sample), float).reshape(-1, k), list(sample.values()), 0)
+    return np.random.default_rng(43).permutation(x)
+
+
 def vote_on_all(scaled: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
     """METRICS, over all rows: one row."""
     k = len(columns)
-    counted = written(scaled.toDF(*[f"x{i}" for i in range(k)]).groupBy(*[f"x{i}" for i in range(k)]).agg(F.count("*").alias("n")), "anomaly-rows")
+    names = [f"x{i}" for i in range(k)]
+    counted = written(scaled.toDF(*names).groupBy(*names).agg(F.count("*").alias("n")), "anomaly-rows")
     share = min(0.12, max(0.02, 8 / n))
-    sample = sample_counts(counted, k, n, ROWS)
-    x = np.repeat(np.array(list(sample), float), list(sample.values()), 0)
-    models = grow_forest(x, TREES), fit_neighbours(x, max(1, min(20, max(5, int(len(x) ** 0.5)), len(x) - 1))), fit_svm(x, share)
-    shared = counted.sparkSession.sparkContext.broadcast((models, sample))
+    drawn = random_rows(counted, k, n, TREES * SUBSAMPLE)
+    models = grow_forest(drawn, TREES, dealt=len(drawn) == TREES * SUBSAMPLE), support.fit(counted, names, n, share, drawn)
+    shared = counted.sparkSession.sparkContext.broadcast(models)
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (forest, neighbours, svm), sample = shared.value
+        forest, svm = shared.value
         for whole in parts:
             for at in range(0, len(whole), AT_ONCE):
                 part = whole.iloc[at : at + AT_ONCE]
-                y, copies = part.iloc[:, :k].to_numpy(float), part["n"].to_numpy()
-                members = np.array([sample.get(row, 0) for row in map(tuple, y.tolist())])
-                common = {"forest": -isolation_scores(forest, y), "svm": svm_distances_of(svm, y) < -EXACT}
-                for member, times in ((False, copies - members), (True, members)):
-                    some = times > 0
-                    factor = -outlier_factors_of(neighbours, y[some], np.full(some.sum(), member))
-                    yield pd.DataFrame({m: v[some] for m, v in common.items()} | {"factor": factor, "n": times[some]})[["forest", "factor", "svm", "n"]]
-
-    scored = written(counted.mapInPandas(score, "forest double, factor double, svm boolean, n long"), "anomaly-scores")
+                y = part[names].to_numpy(float)
+                yield part.assign(forest=-isolation_scores(forest, y), svm=svm.distances(y) < -EXACT)
+
+    judged = counted.mapInPandas(score, ", ".join(f"{c} double" for c in names) + ", n long, forest double, svm boolean")
+    factors = neighbours.factors(judged, names, max(1, min(20, max(5, int(n**0.5)), n - 1)), neighbours.tree_of(counted, names, counted.count()), ["n", "forest", "svm"])
+    scored = written(factors.withColumn("factor", -F.col("factor")), "anomaly-scores")
     limits = score_limits(scored, ("forest", "factor"), share, n)
     flags = {m: F.col(m) < limit for m, limit in zip(("forest", "factor"), limits, strict=True)} | {"svm": F.col("svm")}
     votes = sum((f.cast("int") for f in flags.values()), F.lit(0))

@@ -1,4 +1,4 @@
-"""Unsupervised detectors in numpy over bounded samples: isolation forest, local outlier factor, one-class SVM."""
+"""Unsupervised detectors in numpy: isolation forest, local outlier factor, one-class SVM; a column's forest over all its values."""
 
 from __future__ import annotations
 
@@ -48,7 +48,8 @@ class Forest:
         return self.depths.shape[1].bit_length() - 1
 
 
-def grow_forest(x: np.ndarray, trees: int, seed: int = 42) -> Forest:
+def grow_forest(x: np.ndarray, trees: int, seed: int = 42, dealt: bool = False) -> Forest:
+    """Each tree draws its rows from x; if x is dealt, it holds the trees' rows one after another."""
     random = np.random.default_rng(seed)
     size = min(SUBSAMPLE, len(x))
     most = ceil(log2(max(size, 2)))
@@ -63,7 +64,8 @@ def grow_forest(x: np.ndarray, trees: int, seed: int = 42) -> Forest:
         put(t, 2 * node + 2, level + 1, tree[3])
 
     for t in range(trees):
-        put(t, 0, 0, _grow(x[random.choice(len(x), size, replace=False)], 0, most, random))
+        rows = slice(t * size, (t + 1) * size) if dealt else random.choice(len(x), size, replace=False)
+        put(t, 0, 0, _grow(x[rows], 0, most, random))
     return Forest(columns, cuts, depths, usual_depth(size))
 
 
