@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import sqrt
+from math import isfinite, sqrt
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,7 @@ NEAR, WIDTH = 5e-6, 1e-6
 #: are solved for on the driver; rows that are held against the basis at once.
 AT_ONCE, STEP, ADDED, MARGIN = 256, 128, 128, 1 << 14
 SIEVED = 2048
+LEVELS = 64
 
 
 def kernel(y: np.ndarray, z: np.ndarray, gamma: float) -> np.ndarray:
@@ -146,6 +147,11 @@ def solved(x: np.ndarray, most: np.ndarray, pull: np.ndarray, mass: float, start
             return w, rho
 
 
+def level(distance: np.ndarray | float) -> np.ndarray:
+    """Of a distance, by powers of the root of 2."""
+    return np.clip(np.ceil(2 * np.log2(np.maximum(np.abs(distance), WIDTH) / WIDTH)), 0, LEVELS - 1).astype(int)
+
+
 def grown_basis(counted: DataFrame, columns: list[str], first: np.ndarray, gamma: float) -> Basis:
     """A basis for all rows."""
     spark, k, schema = counted.sparkSession, len(columns), ", ".join(f"{c} double" for c in columns)
@@ -183,6 +189,8 @@ def fit(counted: DataFrame, columns: list[str], n: int, nu: float, sample: np.nd
     k, total = len(columns), n * len(columns)
     mean = counted.agg(F.sum(F.col("n") * sum((F.col(c) for c in columns), F.lit(0.0)))).first()[0] / total
     var = counted.agg(F.sum(F.col("n") * sum(((F.col(c) - mean) ** 2 for c in columns), F.lit(0.0)))).first()[0] / total
+    if not isfinite(var):
+        raise ValueError("columns with infinite values, or too large ones, can't be modelled")
     gamma = 1 / (k * max(var, 1e-12))
     sample = sample[:MARGIN]
     basis = grown_basis(counted, columns, sample[: MARGIN // 2], gamma)
@@ -198,11 +206,11 @@ def fit(counted: DataFrame, columns: list[str], n: int, nu: float, sample: np.nd
     f = x @ w - rho
     doubt = np.abs(np.subtract(*[x @ v - r for v, r in halves]))[f <= np.quantile(f, 2 * nu)].max()
     margin, tries, room = max(doubt, WIDTH), [], MARGIN
+    counts = np.bincount(level(f), minlength=LEVELS) * (different / len(x))  # of different rows; a pass tells them
     per_doubt, centre, best = margin * sqrt(nu * len(x)), (w, rho), None
     while True:
-        about = ((np.abs(x @ centre[0] - centre[1]) <= margin).sum() + 3) / len(x) * n  # rows within the margin
-        kept = 1.0 if tries else min(1.0, room / about)
-        changed, outside, hinge, pull, rows = _pass(counted, columns, basis, centre, margin, kept, tries)
+        kept = 1.0 if tries else min(1.0, room / max(1, counts[: level(margin) + 1].sum()))
+        changed, outside, hinge, counts, pull, rows = _pass(counted, columns, basis, centre, margin, kept, tries)
         if tries and not changed:
             w, rho = tries[-1]
             return Svm(basis.rows, basis.inverse.T @ w, rho, gamma)
@@ -224,10 +232,10 @@ def fit(counted: DataFrame, columns: list[str], n: int, nu: float, sample: np.nd
 
 def _pass(
     counted: DataFrame, columns: list[str], basis: Basis, centre: tuple, margin: float, kept: float, tries: list[tuple]
-) -> tuple[int, float, float, np.ndarray, np.ndarray]:
+) -> tuple[int, float, float, np.ndarray, np.ndarray, np.ndarray]:
     """Rows are beyond the margin of centre, outside or inside, and on that side in all tries, or else on neither. Gives how many the
-    last try has brought to neither; how many are outside; what all rows come to below the centre; the sum of the features of those
-    outside; and those on neither side, or the share kept of them, with what each stands for."""
+    last try has brought to neither; how many are outside; what all rows come to below the centre; different rows by the level of their
+    distance to it; the sum of the features of those outside; and those on neither side, or the share kept of them, with what each stands for."""
     k, m = len(columns), len(basis.rows)
     models = np.column_stack([basis.inverse.T @ w for w, _ in [centre, *tries]]), np.array([rho for _, rho in [centre, *tries]])
     shared = counted.sparkSession.sparkContext.broadcast((basis.rows, basis.gamma, *models))
@@ -235,7 +243,7 @@ def _pass(
 
     def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, gamma, weights, rhos = shared.value
-        changed, outside, hinge, pull = 0, 0.0, 0.0, np.zeros(m)
+        changed, outside, hinge, counts, pull = 0, 0.0, 0.0, np.zeros(LEVELS), np.zeros(m)
         for whole in parts:
             for at in range(0, len(whole), AT_ONCE):
                 part = whole.iloc[at : at + AT_ONCE]
@@ -248,19 +256,20 @@ def _pass(
                 changed += int((left[:, -1] & ~left[:, :-1].any(1)).sum()) if len(rhos) > 1 else 0
                 out = (first[:, 0] < 0) & ~neither
                 outside += copies[out].sum()
+                counts += np.bincount(level(first[:, 0]), minlength=LEVELS)
                 hinge += copies @ np.maximum(-first[:, 0], 0)
                 pull += copies[out] @ values[out]
                 neither &= part["spread"].to_numpy() < kept * limit
                 if neither.any():
                     packed = np.column_stack([y[neither], copies[neither] / kept])
                     yield pd.DataFrame({"sums": False, "data": [np.ascontiguousarray(packed, float).tobytes()]})
-        yield pd.DataFrame({"sums": True, "data": [np.concatenate([[changed, outside, hinge], pull]).tobytes()]})
+        yield pd.DataFrame({"sums": True, "data": [np.concatenate([[changed, outside, hinge], counts, pull]).tobytes()]})
 
     spread = F.pmod(F.xxhash64(*columns, F.lit(7)), F.lit(limit)).alias("spread")
     found = counted.select(*columns, "n", spread).mapInPandas(look, "sums boolean, data binary").collect()  # m numbers a task, and the margin
     shared.destroy()
-    sums = sum((np.frombuffer(r["data"]) for r in found if r["sums"]), np.zeros(m + 3))
+    sums = sum((np.frombuffer(r["data"]) for r in found if r["sums"]), np.zeros(m + 3 + LEVELS))
     rows = [np.frombuffer(r["data"]).reshape(-1, k + 1) for r in found if not r["sums"]]
     rows = np.concatenate(rows) if rows else np.zeros((0, k + 1))
-    return int(sums[0]), sums[1], sums[2], basis.inverse @ sums[3:], rows[np.lexsort(rows.T)]
+    return int(sums[0]), sums[1], sums[2], sums[3 : 3 + LEVELS], basis.inverse @ sums[3 + LEVELS :], rows[np.lexsort(rows.T)]
 
