@@ -28,7 +28,7 @@ from .forest import squared_distances
 NEAR, WIDTH = 5e-6, 1e-6
 #: Rows that are worked on at once; basis rows that are tried at once, and those that a task adds in a pass; rows of a margin that
 #: are solved for on the driver; rows that are held against the basis at once.
-AT_ONCE, STEP, ADDED, MARGIN = 256, 128, 128, 1 << 14
+AT_ONCE, STEP, ADDED, MARGIN = 256, 128, 128, 1 << 13
 SIEVED = 2048
 LEVELS = 64
 
@@ -49,7 +49,10 @@ class Basis:
     gamma: float
 
     def features(self, y: np.ndarray) -> np.ndarray:
-        return kernel(y, self.rows, self.gamma) @ self.inverse.T
+        out = np.empty((len(y), len(self.rows)))
+        for at in range(0, len(y), AT_ONCE):
+            np.matmul(kernel(y[at : at + AT_ONCE], self.rows, self.gamma), self.inverse.T, out=out[at : at + AT_ONCE])
+        return out
 
     def beyond(self, y: np.ndarray, near: float = NEAR) -> np.ndarray:
         """Places of rows further than near. The first of the basis tell for most rows that they aren't."""
@@ -193,7 +196,7 @@ def fit(counted: DataFrame, columns: list[str], n: int, nu: float, sample: np.nd
         raise ValueError("columns with infinite values, or too large ones, can't be modelled")
     gamma = 1 / (k * max(var, 1e-12))
     sample = sample[:MARGIN]
-    basis = grown_basis(counted, columns, sample[: MARGIN // 2], gamma)
+    basis = grown_basis(counted, columns, sample, gamma)
     different = counted.count()
     if different <= MARGIN:
         rows = counted.select(*columns, "n").toPandas().sort_values(columns).to_numpy(float)
@@ -208,6 +211,7 @@ def fit(counted: DataFrame, columns: list[str], n: int, nu: float, sample: np.nd
     margin, tries, room = max(doubt, WIDTH), [], MARGIN
     counts = np.bincount(level(f), minlength=LEVELS) * (different / len(x))  # of different rows; a pass tells them
     per_doubt, centre, best = margin * sqrt(nu * len(x)), (w, rho), None
+    del x, f
     while True:
         kept = 1.0 if tries else min(1.0, room / max(1, counts[: level(margin) + 1].sum()))
         changed, outside, hinge, counts, pull, rows = _pass(counted, columns, basis, centre, margin, kept, tries)
