@@ -151,7 +151,7 @@ def vote_on_all(scaled: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
             for at in range(0, len(whole), AT_ONCE):
                 part = whole.iloc[at : at + AT_ONCE]
                 y = part[names].to_numpy(float)
-                yield part.assign(forest=-isolation_scores(forest, y), svm=svm.distances(y) < -EXACT)
+                yield part.assign(forest=-isolation_scores(forest, y), svm=svm.below(y, -EXACT))
 
     judged = counted.mapInPandas(score, ", ".join(f"{c} double" for c in names) + ", n long, forest double, svm boolean")
     factors = neighbours.factors(judged, names, max(1, min(20, max(5, int(n**0.5)), n - 1)), neighbours.tree_of(counted, names, counted.count()), ["n", "forest", "svm"])

@@ -20,7 +20,7 @@ from ..functions.tables import written
 from .forest import squared_distances
 
 #: Different rows of a leaf, about, and the rows that tell where to cut for each leaf; rows of a block within a leaf.
-LEAF, SHOWN, SMALL = 1 << 14, 32, 64
+LEAF, SHOWN, SMALL = 1 << 14, 32, 160
 
 
 @dataclass(frozen=True)
@@ -102,10 +102,10 @@ def nearest_copies(x: np.ndarray, copies: np.ndarray, asking: np.ndarray, k: int
     often as it has copies, and their squared distances. Places of rows with fewer others are -1 at the end, their distances inf."""
     parts = blocks(x)
     los, his = ends(x, parts)
-    rows, others, squares = [], [], []
     places = np.full(len(x), -1)
     places[asking] = np.arange(len(asking))
     sizes = np.array([len(p) for p in parts])
+    near, dist = np.full((len(asking), k), -1), np.full((len(asking), k), np.inf)
     for part in parts:
         own = part[places[part] >= 0]
         if not len(own):
@@ -114,34 +114,43 @@ def nearest_copies(x: np.ndarray, copies: np.ndarray, asking: np.ndarray, k: int
         far = apart(y.min(0)[None], y.max(0)[None], los, his)[0]
         order = np.argsort(far, kind="stable")
         enough = int(np.searchsorted(np.cumsum(sizes[order]), k + 1)) + 1
-        if enough < len(parts):
-            some = np.concatenate([parts[b] for b in order[:enough]])
-            reach = np.partition(squared_distances(y, x[some]), k, 1)[:, k].max()  # itself and k others
-            some = np.sort(np.concatenate([parts[b] for b in np.flatnonzero(far <= reach)]))
-        else:
-            some = np.arange(len(x))
-        d = squared_distances(y, x[some])
-        last = np.partition(d, k, 1)[:, k] if len(some) > k else np.full(len(y), np.inf)
-        i, j = np.nonzero(d <= last[:, None])
-        rows.append(places[own[i]])
-        others.append(some[j])
-        squares.append(d[i, j])
-    near, dist = np.full((len(asking), k), -1), np.full((len(asking), k), np.inf)
-    if not rows:
-        return near, dist
-    i, j, d = np.concatenate(rows), np.concatenate(others), np.concatenate(squares)
-    order = np.lexsort((j, d, i))
-    i, j, d = i[order], j[order], d[order]
-    times = copies[j] - (j == asking[i])
-    upto = np.cumsum(times)
-    first = np.searchsorted(i, np.arange(len(asking)))
-    before = upto - times - (upto - times)[first][i]
-    taken = np.clip(k - before, 0, times)
-    at = np.repeat(before, taken) + np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
-    near[np.repeat(i, taken), at], dist[np.repeat(i, taken), at] = np.repeat(j, taken), np.repeat(d, taken)
+        some = np.concatenate([parts[b] for b in order[:enough]])
+        last = np.partition(squared_distances(y, x[some]), k, 1)[:, k] if len(some) > k else np.full(len(y), np.inf)  # itself and k others
+        some = np.sort(np.concatenate([parts[b] for b in np.flatnonzero(far <= last.max())]))
+        i, j = within(y, x[some], last)
+        j = some[j]
+        d = sum(((y[i, c] - x[j, c]) ** 2 for c in range(1, x.shape[1])), (y[i, 0] - x[j, 0]) ** 2)
+        first = np.searchsorted(i, np.arange(len(own) + 1))
+        widths = np.diff(first)
+        at = np.arange(widths.max()) < widths[:, None]
+        others, squares = np.full(at.shape, -1), np.full(at.shape, np.inf)
+        others[at], squares[at] = j, d
+        order = np.argsort(squares, 1, kind="stable")
+        others, squares = np.take_along_axis(others, order, 1), np.take_along_axis(squares, order, 1)
+        times = np.where(others >= 0, copies[others] - (others == own[:, None]), 0)
+        taken = np.clip(k - (np.cumsum(times, 1) - times), 0, times)
+        filled = np.arange(k) < taken.sum(1)[:, None]
+        found, square = near[places[own]], dist[places[own]]
+        found[filled], square[filled] = np.repeat(others.ravel(), taken.ravel()), np.repeat(squares.ravel(), taken.ravel())
+        near[places[own]], dist[places[own]] = found, square
     return near, dist
 
 
+def within(y: np.ndarray, x: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows of y, and of x in order, that are no further apart than y's squares tell, and of few others: what numbers of
+    32 bits leave in doubt is within."""
+    a, b = y - y[0], x - y[0]
+    top = max(np.abs(a).max(), np.abs(b).max())
+    if not 0 < top < 1e150:
+        return np.nonzero(np.ones((len(y), len(x)), bool))
+    size = 2.0 ** -np.ceil(np.log2(top))  # no number is too large for 32 bits then
+    a, b, squares = a * size, b * size, squares * size * size
+    own, length = (a * a).sum(1), (b * b).sum(1)
+    sure = 1 - (x.shape[1] + 4) * 2.0**-21
+    rough = np.column_stack([-2 * a, np.ones(len(a))]).astype(np.float32) @ np.column_stack([b, sure * length]).astype(np.float32).T
+    return np.nonzero(rough <= np.minimum(squares - own + (1 - sure) * (own + squares) + 1e-30, 1e9)[:, None].astype(np.float32))
+
+
 def in_order(part: pd.DataFrame, columns: Sequence[str]) -> tuple[pd.DataFrame, np.ndarray]:
     """Rows in the order of their values, and the values."""
     x = part[list(columns)].to_numpy(float)
@@ -149,6 +158,16 @@ def in_order(part: pd.DataFrame, columns: Sequence[str]) -> tuple[pd.DataFrame,
     return part.iloc[order], x[order]
 
 
+def packed(x: np.ndarray) -> list[bytes]:
+    """Each row's bytes: those of many rows are had at once, as those of an array of each aren't."""
+    whole, size = np.ascontiguousarray(x).tobytes(), x.shape[1] * x.itemsize
+    return [whole[at : at + size] for at in range(0, len(whole), size)]
+
+
+def unpacked(rows: pd.Series, kind: type, k: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), kind).reshape(-1, k)
+
+
 def tree_of(counted: DataFrame, columns: Sequence[str], n: int) -> Tree:
     """For n different rows; some of them show where to cut, which no result rests on."""
     leaves = -(-n // LEAF)
@@ -220,26 +239,26 @@ def factors(counted: DataFrame, columns: Sequence[str], k: int, tree: Tree, keep
     kept = "".join(f", `{c}` {counted.schema[c].dataType.simpleString()}" for c in keep)
 
     def find(part: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        every, x = in_order(pd.concat([part.assign(own=True), others.assign(own=False)])[["id", *columns, "n", "own"]], columns)
-        ids, copies, own = every["id"].to_numpy(), every["n"].to_numpy(), np.flatnonzero(every["own"].to_numpy(bool))
+        every, x = in_order(pd.concat([part.assign(own=np.arange(len(part))), others.assign(own=-1)])[["id", *columns, "n", "own"]], columns)
+        ids, copies, place = (every[c].to_numpy() for c in ("id", "n", "own"))
+        own = np.flatnonzero(place >= 0)
         asking = own[copies[own] <= k]
         near, squares = np.repeat(own[:, None], k, 1), np.zeros((len(own), k))
         near[copies[own] <= k], squares[copies[own] <= k] = nearest_copies(x, copies, asking, k)
         rank = np.argsort(np.argsort(ids))[near].astype(np.int32)  # places among the ids that the leaf knows
         distance = np.sqrt(squares)
-        out = part.set_index("id").loc[ids[own]].reset_index()[["leaf", "id", *keep]]
-        return out.assign(reach=distance[:, -1], near=list(rank), distance=list(distance))
+        return part.iloc[place[own]][["leaf", "id", *keep]].assign(reach=distance[:, -1], near=packed(rank), distance=packed(distance))
 
-    lists = rows.groupBy("leaf").cogroup(lent.groupBy("leaf")).applyInPandas(find, f"leaf long, id long{kept}, reach double, near array<int>, distance array<double>")
+    lists = rows.groupBy("leaf").cogroup(lent.groupBy("leaf")).applyInPandas(find, f"leaf long, id long{kept}, reach double, near binary, distance binary")
     lists = written(lists, "neighbour-lists")
 
     def known(part: pd.DataFrame, others: pd.DataFrame, name: str) -> np.ndarray:
         """The neighbours' values."""
         ids, values = np.concatenate([part["id"], others["id"]]), np.concatenate([part[name], others["known"]])
-        return values[np.argsort(ids)][np.vstack(part["near"])]
+        return values[np.argsort(ids)][unpacked(part["near"], np.int32, k)]
 
     def density(part: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        reach = np.maximum(known(part, others, "reach"), np.vstack(part["distance"])).mean(1)
+        reach = np.maximum(known(part, others, "reach"), unpacked(part["distance"], float, k)).mean(1)
         return part.assign(density=1 / (reach + 1e-10))[["leaf", "id", *keep, "near", "density"]]
 
     def factor(part: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
@@ -248,5 +267,5 @@ def factors(counted: DataFrame, columns: Sequence[str], k: int, tree: Tree, keep
     def with_lent(df: DataFrame, name: str):
         return df.groupBy("leaf").cogroup(lent.select("leaf", "id").join(df.select("id", F.col(name).alias("known")), "id").groupBy("leaf"))
 
-    dense = written(with_lent(lists, "reach").applyInPandas(density, f"leaf long, id long{kept}, near array<int>, density double"), "neighbour-densities")
+    dense = written(with_lent(lists, "reach").applyInPandas(density, f"leaf long, id long{kept}, near binary, density double"), "neighbour-densities")
     return with_lent(dense, "density").applyInPandas(factor, f"{kept[2:] + ', ' if keep else ''}factor double")

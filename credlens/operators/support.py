@@ -1,13 +1,18 @@
 """One-class SVM with an RBF kernel over all rows of a table, repeated rows counted.
 
-The kernel is written in a basis: rows of the table such that no row's feature is further than the root of NEAR from their span, so
-that all kernel values, and decision values with them, are exact to NEAR. The basis is grown until a pass over all rows finds none
-further away. Its size depends on the kernel and the columns, not on the number of rows.
+Rows inside add nothing to the SVM, so only those outside or near the margin need be fitted to. A model of some rows tells which
+those may be (`looked`): all that aren't inside by more than its doubt. Another pass over all rows then holds the rest against the
+solution; if one of them isn't inside, by the root of NEAR at least, it and its like are fitted to as well.
+
+The kernel is written in a basis: rows of the table such that the feature of no row that is fitted to is further than the root of
+NEAR from their span, so that all kernel values, and decision values with them, are exact to NEAR. A row left out could err by that
+root at most, by which it is inside. The basis is grown until a pass finds none further away. Its size depends on the kernel and
+the columns, not on the number of rows.
 
 In the basis the SVM has one weight for each of its rows. A pass adds up the rows that are outside by more than a margin, and brings
-those within it to the driver, which solves for them exactly; rows inside add nothing. A solution is one for the whole table if no
-row that lay beyond the margin has left its side, which the next pass tells; rows that have are solved for as well then. Where the
-margin holds too many rows, some of them stand for the others once, for a better margin, never for the solution.
+those within it to the driver, which solves for them exactly. A solution is one for all rows if no row that lay beyond the margin
+has left its side, which the next pass tells; rows that have are solved for as well then. Where the margin holds too many rows, some
+of them stand for the others once, for a better margin, never for the solution.
 """
 
 from __future__ import annotations
@@ -30,7 +35,8 @@ NEAR, WIDTH = 5e-6, 1e-6
 #: are solved for on the driver; rows that are held against the basis at once.
 AT_ONCE, STEP, ADDED, MARGIN = 256, 128, 128, 1 << 13
 SIEVED = 2048
-LEVELS = 64
+#: How many times more rows each model is of than the one before.
+MORE, LEVELS = 16, 64
 
 
 def kernel(y: np.ndarray, z: np.ndarray, gamma: float) -> np.ndarray:
@@ -92,15 +98,75 @@ class Basis:
 
 @dataclass(frozen=True)
 class Svm:
+    """first, rest: the weights of the first rows of the basis alone, and how long the weights are elsewhere. No feature is longer
+    than 1, so that decision values are no further than rest from what the first rows give. That is worked out in numbers of 32 bits,
+    and how far those may be wrong for each row."""
+
     rows: np.ndarray
     weights: np.ndarray
     rho: float
     gamma: float
+    first: np.ndarray
+    rest: float
 
     def distances(self, y: np.ndarray) -> np.ndarray:
         """Decision values (below 0: outside)."""
         return np.concatenate([kernel(y[at : at + AT_ONCE], self.rows, self.gamma) @ self.weights for at in range(0, len(y), AT_ONCE)] or [np.zeros(0)]) - self.rho
 
+    def below(self, y: np.ndarray, limit: float) -> np.ndarray:
+        """Which rows' decision values are below the limit. The first rows of the basis tell for most that theirs aren't."""
+        out = np.zeros(len(y), bool)
+        middle, first = self.rows[: len(self.first)].mean(0), self.first.astype(np.float32)
+        b = self.rows[: len(self.first)] - middle
+        square = (b * b).sum(1)
+        right = np.column_stack([b, np.ones(len(b)), -self.gamma * square]).T.astype(np.float32)
+        for at in range(0, len(y), SIEVED):
+            part = y[at : at + SIEVED]
+            with np.errstate(all="ignore"):  # what is too large for 32 bits is told below
+                a = part - middle
+                own = (a * a).sum(1)
+                values = np.column_stack([2 * self.gamma * a, -self.gamma * own, np.ones(len(a))]).astype(np.float32) @ right
+                least = np.exp(values, out=values) @ first - np.float64(self.rho) - self.rest - noise(self.first, self.gamma, own + square.max(), y.shape[1])
+            left = np.flatnonzero(~(least >= limit))
+            out[at + left] = self.distances(part[left]) < limit
+        return out
+
+
+def noise(weights: np.ndarray, gamma: float, squares: np.ndarray | float, k: int) -> np.ndarray | float:
+    """How far sums of kernel values in 32 bits may be wrong; squares: those of the lengths of a row and of the longest it meets."""
+    return np.abs(weights).sum() * 2.0**-23 * ((k + 4) * 2 * gamma * squares + len(weights) + 8)
+
+
+def svm_of(basis: Basis, w: np.ndarray, rho: float, some: np.ndarray, limit: float) -> Svm:
+    """some, limit: rows that tell how many of the basis to begin with, for that limit; no result rests on them."""
+    x, m = basis.features(some), len(w)
+    rest = np.sqrt(np.append(np.cumsum((w * w)[::-1])[::-1], 0))
+    first = {j: basis.inverse[:j, :j].T @ w[:j] for j in [*range(STEP // 4, m, STEP // 4), m]}
+    squares = 2 * ((some - some.mean(0)) ** 2).sum(1)
+    costs = {j: j / 5 + m * (x[:, :j] @ w[:j] - rho - rest[j] - noise(v, basis.gamma, squares, some.shape[1]) < limit).mean() for j, v in first.items()}
+    j = min(costs, key=costs.get)
+    return Svm(basis.rows, basis.inverse.T @ w, rho, basis.gamma, first[j], float(rest[j]) + 1e-9)
+
+
+def looked(counted: DataFrame, looks: list[tuple[Svm, float]], last: Svm | None = None) -> DataFrame:
+    """Rows of counted that are below any look's limit; with last, the solution: those that it hasn't inside by the root of NEAR, of
+    the rows below none of the limits."""
+    shared, k = counted.sparkSession.sparkContext.broadcast((looks, last)), len(counted.columns) - 1
+
+    def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        looks, last = shared.value
+        for part in parts:
+            if last:
+                part = part[last.below(part.iloc[:, :k].to_numpy(float), sqrt(NEAR))]
+            y = part.iloc[:, :k].to_numpy(float)
+            found = np.zeros(len(y), bool)
+            for svm, limit in looks:
+                left = np.flatnonzero(~found)
+                found[left] = svm.below(y[left], limit)
+            yield part[found != bool(last)]
+
+    return counted.mapInPandas(choose, counted.schema)
+
 
 def solved(x: np.ndarray, most: np.ndarray, pull: np.ndarray, mass: float, start: np.ndarray, width: float = WIDTH) -> tuple[np.ndarray, float]:
     """w and rho that minimise |w|^2 / 2 - pull w - mass rho + sum of most * hinge(rho - x w): Newton steps, the hinge rounded over
@@ -155,10 +221,9 @@ def level(distance: np.ndarray | float) -> np.ndarray:
     return np.clip(np.ceil(2 * np.log2(np.maximum(np.abs(distance), WIDTH) / WIDTH)), 0, LEVELS - 1).astype(int)
 
 
-def grown_basis(counted: DataFrame, columns: list[str], first: np.ndarray, gamma: float) -> Basis:
-    """A basis for all rows."""
+def grown_basis(counted: DataFrame, columns: list[str], basis: Basis) -> Basis:
+    """The basis with more rows, for all rows of counted."""
     spark, k, schema = counted.sparkSession, len(columns), ", ".join(f"{c} double" for c in columns)
-    basis = Basis(first[:1], np.ones((1, 1)), gamma).grown(first)
     rows = counted.select(*columns)
     while True:
         shared = spark.sparkContext.broadcast(basis)
@@ -196,28 +261,52 @@ def fit(counted: DataFrame, columns: list[str], n: int, nu: float, sample: np.nd
         raise ValueError("columns with infinite values, or too large ones, can't be modelled")
     gamma = 1 / (k * max(var, 1e-12))
     sample = sample[:MARGIN]
-    basis = grown_basis(counted, columns, sample, gamma)
+    basis = Basis(sample[:1], np.ones((1, 1)), gamma).grown(sample)
     different = counted.count()
     if different <= MARGIN:
+        basis = grown_basis(counted, columns, basis)
         rows = counted.select(*columns, "n").toPandas().sort_values(columns).to_numpy(float)
         x = basis.features(rows[:, :-1])
         w, rho = solved(x, rows[:, -1] / (nu * n), np.zeros(x.shape[1]), 1.0, x.mean(0))
-        return Svm(basis.rows, basis.inverse.T @ w, rho, gamma)
+        return svm_of(basis, w, rho, sample[:SIEVED], 0)
     x = basis.features(sample)
     even = lambda x: solved(x, np.full(len(x), 1 / (nu * len(x))), np.zeros(x.shape[1]), 1.0, x.mean(0), 1e-4)
     (w, rho), halves = even(x), [even(x[j::2]) for j in (0, 1)]
     f = x @ w - rho
     doubt = np.abs(np.subtract(*[x @ v - r for v, r in halves]))[f <= np.quantile(f, 2 * nu)].max()
-    margin, tries, room = max(doubt, WIDTH), [], MARGIN
-    counts = np.bincount(level(f), minlength=LEVELS) * (different / len(x))  # of different rows; a pass tells them
-    per_doubt, centre, best = margin * sqrt(nu * len(x)), (w, rho), None
+    doubt, had, counts = max(doubt, WIDTH), len(x), level(f)
+    counts = np.bincount(counts, minlength=LEVELS) / had  # shares of the rows; a pass tells the numbers
     del x, f
+    counted, sizes = counted.select(*columns, "n"), [different]
+    while sizes[0] >= 8 * MORE * MARGIN:
+        sizes.insert(0, sizes[0] // MORE)
+    for size in sizes:  # some of the rows first: the better the model, the fewer of all may be near its margin
+        part, m = counted, n
+        if size < different:
+            part = counted.where(F.pmod(F.xxhash64(*columns, F.lit(13)), F.lit(1 << 32)) < int((1 << 32) * size / different))
+            m = part.agg(F.sum("n")).first()[0]
+        looks, limit = [], sqrt(NEAR) + 2 * doubt
+        while not looks or size == different and looked(part, looks, svm).count():
+            looks.append((svm_of(basis, w, rho, sample[:SIEVED], limit), limit))
+            near = written(looked(part, looks), "svm-near")
+            basis = grown_basis(near, columns, basis)
+            w = np.append(w, np.zeros(len(basis.rows) - len(w)))
+            w, rho = _fitted(near, columns, basis, m, nu, (w, rho), doubt, doubt * sqrt(nu * had), counts * size)
+            svm = svm_of(basis, w, rho, sample[:SIEVED], sqrt(NEAR))
+        doubt, had = max(doubt * sqrt(had / size), WIDTH), size
+    return svm
+
+
+def _fitted(
+    counted: DataFrame, columns: list[str], basis: Basis, n: int, nu: float, centre: tuple, margin: float, per_doubt: float, counts: np.ndarray
+) -> tuple[np.ndarray, float]:
+    """w and rho of the rows in counted, all others being inside."""
+    best, tries, room = None, [], MARGIN
     while True:
         kept = 1.0 if tries else min(1.0, room / max(1, counts[: level(margin) + 1].sum()))
         changed, outside, hinge, counts, pull, rows = _pass(counted, columns, basis, centre, margin, kept, tries)
         if tries and not changed:
-            w, rho = tries[-1]
-            return Svm(basis.rows, basis.inverse.T @ w, rho, gamma)
+            return tries[-1]
         value, mass, most = centre[0] @ centre[0] / 2 - centre[1] + hinge / (nu * n), 1 - outside / (nu * n), rows[:, -1] / (nu * n)
         if best is None or value < best[0]:
             best = value, centre
